@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ def _groups(text: Column) -> Column:
     return F.transform(present, lambda g: F.lpad(g, 4, "0"))
 
 
-def address_stages(source: str, prefix: str) -> list[Stage]:
+@lru_cache(maxsize=None)
+def address_stages(source: str, prefix: str) -> tuple[Stage, ...]:
     """Stages from the address text in `source` to the flags of `prefix + ..`.
 
     `is_v4`, `is_v6`, `number` (IPv4, also the one mapped into IPv6), `digits` (the 128 bits of
@@ -115,7 +117,7 @@ def address_stages(source: str, prefix: str) -> list[Stage]:
             prefix + "is_global": ~c(prefix + "private") & ~shared,
         }
 
-    return [kind, dotted_tail, groups, bits, numbers, private, verdict]
+    return (kind, dotted_tail, groups, bits, numbers, private, verdict)
 
 
 def _in_ipv4(number: Column, blocks: Iterable[str]) -> Column:

@@ -6,6 +6,8 @@ the stack of an executor or take quadratic time.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def unquote_attribute(value: Column) -> Column:
 
 def anchors(clean_html: Column, limit: int) -> Column:
     """Array of (raw_href, inner) for `<a href>` elements that close, in document order."""
-    segments = F.slice(F.split(clean_html, ANCHOR_START), 2, 2_147_483_647)
+    segments = F.slice(F.split(clean_html, ANCHOR_START), 2, 1_000_000_000)
     found = F.transform(segments, lambda s: F.struct(
         F.regexp_extract(s, _ANCHOR_BODY, 1).alias("value"),
         F.regexp_extract(s, _ANCHOR_BODY, 2).alias("inner")))
@@ -58,7 +60,8 @@ def anchor_text(inner: Column) -> Column:
     return collapse_space(decode_entities(F.regexp_replace(inner, TAG, "")))
 
 
-def visible_text_stages() -> list[Stage]:
+@lru_cache(maxsize=None)
+def visible_text_stages() -> tuple[Stage, ...]:
     """Stages from `html` to `clean_html` and `visible_text`."""
 
     def clean(c: Getter) -> dict[str, Column]:
@@ -78,4 +81,4 @@ def visible_text_stages() -> list[Stage]:
             F.transform(c("pieces"), decoded), lambda p: p.rlike(f"[^{SPACE}]"))
         return {"visible_text": F.array_join(shown, " ")}
 
-    return [clean, pieces, text]
+    return (clean, pieces, text)

@@ -1,22 +1,32 @@
 """Named intermediate values for long row-local derivations.
 
 A derivation such as address parsing needs dozens of intermediate values. It is written once as a
-list of stages; each stage maps a getter (`name -> Column`) to new named columns. The stages run
-over the elements of an array column, one `transform` per stage, so every value is computed once
-and the plan grows linearly with the number of stages. For plain columns a row becomes a
-one-element array that `inline` unpacks again; the generator also keeps the optimizer from copying
-the whole derivation into every filter above it.
+list of stages; each stage maps a getter (`name -> Column`) to new named columns. The same stages
+run over plain columns (`run_on_columns`: one projection per stage, all in generated code, every
+value computed once) or over the elements of an array column (`array_derivation`: one `transform`
+per stage, so that the work stays inside the row and nothing is exploded or shuffled).
+
+Building large column trees is slow on the Python side, so finished trees are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Getter = Callable[[str], Column]
 Stage = Callable[[Getter], dict[str, Column]]
+_PREFIX = "__stage_"
+ELEMENTS = "__elements"
+
+
+@lru_cache(maxsize=None)
+def _projection(stage: Stage) -> dict[str, Column]:
+    values = stage(lambda name: F.col(_PREFIX + name))
+    return {_PREFIX + name: value for name, value in values.items()}
 
 
 def run_on_columns(
@@ -25,23 +35,23 @@ def run_on_columns(
     stages: Sequence[Stage],
     outputs: Sequence[str],
 ) -> DataFrame:
-    """Add the stage values named in `outputs` to `df`."""
-    one_row = F.array(F.struct(*[v.alias(n) for n, v in inputs.items()]))
-    derived = run_on_array(one_row, lambda row: {n: row[n] for n in inputs}, stages)
-    fields = F.transform(derived, lambda row: F.struct(*[row[n].alias(n) for n in outputs]))
-    return df.select("*", F.inline(fields))
+    """Add the stage values named in `outputs` to `df`.
 
+    The results pass through a one-row `inline`: filters above stay above it instead of being
+    rewritten into copies of the whole derivation.
+    """
+    kept = df.columns
+    df = df.withColumns({_PREFIX + name: value for name, value in inputs.items()})
+    for stage in stages:
+        df = df.withColumns(_projection(stage))
+    row = F.struct(*[F.col(_PREFIX + name).alias(name) for name in outputs])
+    return df.select(*kept, F.inline(F.array(row)))
 
-def run_on_array(
-    array: Column, inputs: Callable[[Column], dict[str, Column]], stages: Sequence[Stage]
-) -> Column:
-    """Map an array column to an array of structs that hold the inputs and every stage value."""
-    names: list[str] = []
 
-    def start(element: Column) -> Column:
-        values = inputs(element)
-        names.extend(values)
-        return F.struct(*[v.alias(n) for n, v in values.items()])
+@lru_cache(maxsize=None)
+def array_derivation(inputs: tuple[str, ...], stages: tuple[Stage, ...]) -> Column:
+    """Array of structs with the fields of column `ELEMENTS` and every stage value added."""
+    names = list(inputs)
 
     def extend_with(stage: Stage) -> Callable[[Column], Column]:
         def extend(element: Column) -> Column:
@@ -53,7 +63,15 @@ def run_on_array(
 
         return extend
 
-    array = F.transform(array, start)
+    array = F.col(ELEMENTS)
     for stage in stages:
         array = F.transform(array, extend_with(stage))
     return array
+
+
+def run_on_elements(
+    df: DataFrame, elements: Column, inputs: Sequence[str], stages: Sequence[Stage], name: str
+) -> DataFrame:
+    """Add column `name`: the structs of `elements` with all stage values."""
+    derived = array_derivation(tuple(inputs), tuple(stages))
+    return df.withColumn(ELEMENTS, elements).withColumn(name, derived).drop(ELEMENTS)

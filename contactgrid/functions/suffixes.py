@@ -18,7 +18,7 @@ from contactgrid import reference_data as ref
 MAX_RULES = 20_000
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class SuffixRules:
     """Public-suffix rules by label count: plain, wildcard parents (`*.x`), exceptions (`!x`)."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ URL_FIELDS = (
 )
 
 
-def normalization_stages(rules: SuffixRules = DEFAULT_RULES) -> list[Stage]:
+@lru_cache(maxsize=None)
+def normalization_stages(rules: SuffixRules = DEFAULT_RULES) -> tuple[Stage, ...]:
     """Stages from `raw` to the fields of `URL_FIELDS` (plus working values)."""
 
     def whole(c: Getter) -> dict[str, Column]:
@@ -131,8 +134,8 @@ def normalization_stages(rules: SuffixRules = DEFAULT_RULES) -> list[Stage]:
             "query": F.when(valid, c("query")),
         }
 
-    return [whole, with_scheme, split, host_and_port, host, host_kind, encoded, suffix, verdict,
-            assembled]
+    return (whole, with_scheme, split, host_and_port, host, host_kind, encoded, suffix, verdict,
+            assembled)
 
 
 def error_message(code: Column, hostname_known: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ def _message(c: Getter) -> dict[str, Column]:
     return {"error_message": urls.error_message(c("error_code"), c("raw_host") != "")}
 
 
-def platform_stages(rules: SuffixRules = DEFAULT_RULES) -> list[Stage]:
+@lru_cache(maxsize=None)
+def platform_stages(rules: SuffixRules = DEFAULT_RULES) -> tuple[Stage, ...]:
     """Stages from `hostname`, `suffix_size` and `path` to the platform flags."""
 
     def names(c: Getter) -> dict[str, Column]:
@@ -61,7 +64,7 @@ def platform_stages(rules: SuffixRules = DEFAULT_RULES) -> list[Stage]:
             "lookalike": ~c("on_platform") & _has_platform_prefix(c("hostname")),
         }
 
-    return [names, owner, verdict]
+    return (names, owner, verdict)
 
 
 def _platform_page(host: Column, name: Column, sub: Column, low: Column) -> Column:
@@ -97,7 +100,8 @@ def _has_platform_prefix(host: Column) -> Column:
     return hit
 
 
-def classification_stages(rules: SuffixRules = DEFAULT_RULES) -> list[Stage]:
+@lru_cache(maxsize=None)
+def classification_stages(rules: SuffixRules = DEFAULT_RULES) -> tuple[Stage, ...]:
     """Stages after normalization: decision before de-duplication, duplicate key, target."""
 
     def checks(c: Getter) -> dict[str, Column]:
@@ -154,8 +158,8 @@ def classification_stages(rules: SuffixRules = DEFAULT_RULES) -> list[Stage]:
         lead = F.when((tail != "") & ~tail.startswith("/"), F.lit("/")).otherwise(F.lit(""))
         return {"canonical_url": F.concat(F.lit("https://"), netloc, port, lead, tail)}
 
-    return [_message, *hosts.address_stages("hostname", "ip_"), *platform_stages(rules), checks,
-            decision, key, target]
+    return (_message, *hosts.address_stages("hostname", "ip_"), *platform_stages(rules), checks,
+            decision, key, target)
 
 
 REVIEW_FIELDS = (
