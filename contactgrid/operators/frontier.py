@@ -20,7 +20,7 @@ from contactgrid.functions import scoring
 from contactgrid.operators.links import with_source
 
 _VISIT_SCHEMA = (
-    "site {site}, visit int, url string, depth int, score int, page_outcome string,"
+    "{name} {kind}, visit int, url string, depth int, score int, page_outcome string,"
     " fetch_outcome string, links_discovered int, stop_reason string, urls_discovered int")
 
 
@@ -83,7 +83,7 @@ def visit_sites(
             "array<string>")).alias("link_urls"),
         F.coalesce(F.transform("links", lambda k: k["score"]), F.array().cast(
             "array<int>")).alias("link_scores")).dropDuplicates([site, "url"])
-    schema = _VISIT_SCHEMA.format(site=seeds.schema[site].dataType.simpleString())
+    schema = _VISIT_SCHEMA.format(name=site, kind=seeds.schema[site].dataType.simpleString())
     return rows.groupBy(site).applyInPandas(_visitor(site, config), schema)
 
 

@@ -218,6 +218,26 @@ def _first_per_target(ordered: Column) -> Column:
         e.alias("entry"))), lambda e: e["first"])
 
 
+def resolved_anchors(
+    pages: DataFrame, config: DiscoveryConfig = DiscoveryConfig(),
+    rules: SuffixRules = DEFAULT_RULES,
+) -> DataFrame:
+    """Flat anchors with their resolved address; `url` is null when a link is no web address."""
+    found = raw_anchors(pages, config, rules)
+    rows = found.select(
+        *[c for c in found.columns if c != "found"], F.explode_outer("found").alias("a")
+    ).filter("a is not null").select(
+        *[c for c in found.columns if c not in ("found", "url")], "a.*")
+    inputs = {c: F.col(c) for c in ("href", *BASE_FIELDS)}
+    parsed = run_on_columns(
+        rows, inputs, (*resolution_stages(), *urls.normalization_stages(rules)),
+        ["normalized_url", "path"])
+    usable = ~is_rejected_scheme(F.col("href"))
+    return parsed.select(
+        "page_id", "position", "href", "link_text",
+        F.when(usable, F.col("normalized_url")).alias("url"), "path")
+
+
 @lru_cache(maxsize=None)
 def _link_arrays(names: tuple[str, ...], limit: int) -> tuple[Column, Column, Column]:
     """Columns for the usable anchors, the best anchor per target, and the ranked links."""
