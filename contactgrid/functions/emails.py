@@ -23,6 +23,7 @@ from contactgrid.functions.text import (
     collapse_space,
     decode_entities,
     evidence_snippet,
+    is_ascii,
     strip_space,
 )
 from contactgrid.functions.urls import decode_percent
@@ -168,7 +169,7 @@ def validation_stages(
         placeholder = (domain.isin(*ref.PLACEHOLDER_DOMAINS) | domain.endswith(".invalid")
                        | domain.endswith(".example"))
         rules_in_order = (
-            (~local.rlike(r"^[\x00-\x7f]*$"), "INVALID_SYNTAX",
+            (~is_ascii(local), "INVALID_SYNTAX",
              F.lit("Unicode local parts are not supported")),
             (F.length(local) > 64, "LOCAL_PART_TOO_LONG", F.concat(
                 F.lit("Local part length ("), F.length(local).cast("string"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from contactgrid import reference_data as ref
 from contactgrid.functions.stages import Getter, Stage
+from contactgrid.functions.text import is_ascii
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_TEXT = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -36,7 +37,8 @@ IPV6_PATTERN = _ipv6_pattern()
 
 
 def is_ipv4(host: Column) -> Column:
-    return host.rlike(IPV4_PATTERN)
+    # only names that end in a digit reach the pattern
+    return F.substring(host, -1, 1).between("0", "9") & host.rlike(IPV4_PATTERN)
 
 
 def is_ipv6(host: Column) -> Column:
@@ -150,7 +152,7 @@ def ascii_host(host: Column) -> Column:
     ASCII names only get the label length checks. Others go through the JVM's own IDNA 2003
     codec; `when` keeps that call off the ASCII rows, and no Python worker is involved.
     """
-    ascii_only = host.rlike(r"^[\x00-\x7f]*$")
-    labels_fit = host.rlike(r"^(?:[^.]{1,63}\.)*+[^.]{0,63}$")
+    labels_fit = ~host.startswith(".") & ~host.contains("..") & (
+        (F.length(host) <= 63) | host.rlike(r"^(?:[^.]{1,63}\.)*+[^.]{0,63}$"))
     encoded = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)
-    return F.when(ascii_only, F.when(labels_fit, host)).otherwise(encoded)
+    return F.when(is_ascii(host), F.when(labels_fit, host)).otherwise(encoded)

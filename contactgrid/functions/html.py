@@ -20,14 +20,15 @@ _HREF = r"(?:[^>]*?\s)?href\s*+=\s*+"
 ANCHOR_START = rf"(?i)<a\s{_HREF}"
 BASE_HREF = rf"""(?i)<base\s{_HREF}("[^"]++"|'[^']++'|[^\s>"']++)"""
 MAILTO_HREF = rf"""(?i)<a\s{_HREF}("\s*+mailto:[^"]*+"|'\s*+mailto:[^']*+'|mailto:[^\s>]*+)"""
-_ANCHOR_BODY = rf"""(?is)^("[^"]*+"|'[^']*+'|[^\s>]*+){_ATTRIBUTES}(.*?)</a\s*+>"""
+_ANCHOR_BODY = rf"""(?is)^(?:"[^"]*+"|'[^']*+'|[^\s>]*+){_ATTRIBUTES}(.*?</a)\s*+>"""
 # a reference cut off by the end of the document holds back the text before it
 _PENDING_REFERENCE = r"&[^\s;]{0,33}\z"
 
 
 def _without(*elements: str) -> str:
-    blocks = [rf"<{name}\b[^>]*+>.*?(?:</{name}\b[^>]*+>|\z)" for name in elements]
-    return "(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *blocks])
+    # one leading literal for all alternatives: the engine skips ahead to the next "<"
+    blocks = [rf"{name}\b[^>]*+>.*?(?:</{name}\b[^>]*+>|\z)" for name in elements]
+    return "(?is)<(?:" + "|".join([r"!--.*?(?:-->|\z)", *blocks]) + ")"
 
 
 LINK_NOISE = _without("script", "style")
@@ -40,24 +41,36 @@ def drop_noise(html: Column, noise: str) -> Column:
 
 
 def unquote_attribute(value: Column) -> Column:
-    bare = F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2")
-    return decode_entities(F.when(value.rlike(r"""(?s)^["']"""), F.substr(
-        value, F.lit(2), F.length(value) - 2)).otherwise(bare), in_attribute=True)
+    """Decoded attribute value; `value` may carry its quotes."""
+    quoted = value.startswith('"') | value.startswith("'")
+    bare = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return decode_entities(bare, in_attribute=True)
+
+
+def _leading_value(segment: Column) -> Column:
+    """Attribute value at the start of a segment, without quotes."""
+    tail = F.substr(segment, F.lit(2))
+    return F.when(segment.startswith('"'), F.substring_index(tail, '"', 1)).when(
+        segment.startswith("'"), F.substring_index(tail, "'", 1)).otherwise(
+        F.regexp_extract(segment, r"^[^\s>]*+", 0))
 
 
 def anchors(clean_html: Column, limit: int) -> Column:
-    """Array of (raw_href, inner) for `<a href>` elements that close, in document order."""
+    """Array of (value, inner) for `<a href>` elements that close, in document order."""
     segments = F.slice(F.split(clean_html, ANCHOR_START), 2, 1_000_000_000)
     found = F.transform(segments, lambda s: F.struct(
-        F.regexp_extract(s, _ANCHOR_BODY, 1).alias("value"),
-        F.regexp_extract(s, _ANCHOR_BODY, 2).alias("inner")))
-    usable = F.filter(found, lambda a: ~a["value"].isin("", '""', "''"))
-    return F.slice(usable, 1, limit)
+        _leading_value(s).alias("value"), F.regexp_extract(s, _ANCHOR_BODY, 1).alias("inner")))
+    # the inner part ends with the closing tag, so it is blank only when nothing closed
+    usable = F.filter(found, lambda a: (a["value"] != "") & (a["inner"] != ""))
+    return F.transform(F.slice(usable, 1, limit), lambda a: F.struct(
+        a["value"].alias("value"),
+        F.substr(a["inner"], F.lit(1), F.length(a["inner"]) - 3).alias("inner")))
 
 
 def anchor_text(inner: Column) -> Column:
     """Text of an anchor: tags removed without a gap, entities decoded, blanks collapsed."""
-    return collapse_space(decode_entities(F.regexp_replace(inner, TAG, "")))
+    plain = F.when(inner.contains("<"), F.regexp_replace(inner, TAG, "")).otherwise(inner)
+    return collapse_space(decode_entities(plain))
 
 
 @lru_cache(maxsize=None)

@@ -14,6 +14,9 @@ SPACE = (
     r"\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE_CHARACTERS = "".join(
+    chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                     0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 # Windows-1252 meaning of the character references 128..159 (fixed values of the HTML standard)
 CP1252_REFERENCES = {
     128: 0x20AC, 130: 0x201A, 131: 0x0192, 132: 0x201E, 133: 0x2026, 134: 0x2020, 135: 0x2021,
@@ -24,8 +27,12 @@ CP1252_REFERENCES = {
 
 
 def strip_space(value: Column) -> Column:
-    """Trim Unicode white space on both sides; the look-behind keeps long blank runs linear."""
-    return F.regexp_replace(value, rf"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++$", "")
+    """Trim Unicode white space on both sides (byte-level trim, no regex)."""
+    return F.btrim(value, F.lit(SPACE_CHARACTERS))
+
+
+def is_ascii(value: Column) -> Column:
+    return F.octet_length(value) == F.length(value)
 
 
 def collapse_space(value: Column) -> Column:

@@ -16,7 +16,7 @@ from contactgrid.functions.suffixes import (
     domain_under_suffix,
     suffix_size,
 )
-from contactgrid.functions.text import sanitize_text, strip_space
+from contactgrid.functions.text import is_ascii, sanitize_text, strip_space
 
 MAX_URL_LENGTH = 8192
 # characters whose compatibility form contains one of / ? # @ : (fixed values)
@@ -42,36 +42,43 @@ def normalization_stages(rules: SuffixRules = DEFAULT_RULES) -> tuple[Stage, ...
         text = c("trimmed")
         explicit = text.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*+://")
         full = F.when(explicit, text).otherwise(F.concat(F.lit("https://"), text))
-        return {"full": F.regexp_replace(full, r"[\t\r\n]", "")}
+        return {"full": F.translate(full, "\t\r\n", "")}
 
+    # plain byte-level string functions from here on: they are several times cheaper than
+    # regular expressions, which convert every value to a JVM string and back
     def split(c: Getter) -> dict[str, Column]:
-        full = c("full")
-        return {
-            "scheme": F.lower(F.regexp_extract(full, r"^([^:]++)://", 1)),
-            "authority": F.regexp_extract(full, r"^[^:]++://([^/?#]*+)", 1),
-            "raw_path": F.regexp_extract(full, r"^[^:]++://[^/?#]*+([^?#]*+)", 1),
-            "query": F.regexp_extract(full, r"^[^?#]*+\?([^#]*+)", 1),
-        }
+        scheme = F.substring_index(c("full"), "://", 1)
+        return {"scheme": F.lower(scheme), "rest": F.substring_index(
+            F.substr(c("full"), F.length(scheme) + 4), "#", 1)}
+
+    def split_query(c: Getter) -> dict[str, Column]:
+        before = F.substring_index(c("rest"), "?", 1)
+        return {"before_query": before, "query": F.substr(c("rest"), F.length(before) + 2)}
+
+    def split_path(c: Getter) -> dict[str, Column]:
+        authority = F.substring_index(c("before_query"), "/", 1)
+        return {"authority": authority, "address": F.substring_index(authority, "@", -1),
+                "raw_path": F.substr(c("before_query"), F.length(authority) + 1)}
 
     def host_and_port(c: Getter) -> dict[str, Column]:
-        address = F.substring_index(c("authority"), "@", -1)
+        address = c("address")
         bracketed = address.startswith("[")
         host = F.when(bracketed, F.regexp_extract(address, r"^\[([^\]]*+)\]", 1)).otherwise(
             F.substring_index(address, ":", 1))
         port = F.when(bracketed, F.regexp_extract(address, r"^\[[^\]]*+\]:(.*)$", 1)).otherwise(
-            F.regexp_extract(address, r"^[^:]*+:(.*)$", 1))
+            F.substr(address, F.length(F.substring_index(address, ":", 1)) + 2))
         broken = (address.contains("[") | address.contains("]")) & ~address.rlike(
             r"^\[[^\[\]]*+\](?::.*)?$")
         return {
             "raw_host": F.lower(host),
             "port_text": port,
             "bracketed": bracketed,
-            "broken": broken | c("authority").rlike(f"[{_DELIMITER_LOOKALIKES}]"),
+            "broken": broken | (~is_ascii(c("authority")) & c("authority").rlike(
+                f"[{_DELIMITER_LOOKALIKES}]")),
         }
 
     def host(c: Getter) -> dict[str, Column]:
-        name = F.regexp_replace(c("raw_host"), r"\.++$", "")
-        return {"bare_host": name}
+        return {"bare_host": F.rtrim(c("raw_host"), F.lit("."))}
 
     def host_kind(c: Getter) -> dict[str, Column]:
         name = c("bare_host")
@@ -83,7 +90,7 @@ def normalization_stages(rules: SuffixRules = DEFAULT_RULES) -> tuple[Stage, ...
         port = c("port_text").try_cast("bigint")
         default = ((c("scheme") == "http") & (port == 80)) | (
             (c("scheme") == "https") & (port == 443))
-        good_port = c("port_text").rlike("^[0-9]+$") & (port <= 65535)
+        good_port = (c("port_text") != "") & c("port_text").rlike("^[0-9]+$") & (port <= 65535)
         return {
             "hostname": F.when(literal, name).otherwise(ascii_host(name)),
             "port": F.when(good_port & ~default, port.cast("int")),
@@ -134,8 +141,8 @@ def normalization_stages(rules: SuffixRules = DEFAULT_RULES) -> tuple[Stage, ...
             "query": F.when(valid, c("query")),
         }
 
-    return (whole, with_scheme, split, host_and_port, host, host_kind, encoded, suffix, verdict,
-            assembled)
+    return (whole, with_scheme, split, split_query, split_path, host_and_port, host, host_kind,
+            encoded, suffix, verdict, assembled)
 
 
 def error_message(code: Column, hostname_known: Column) -> Column:

@@ -84,52 +84,72 @@ def visit_sites(
         F.coalesce(F.transform("links", lambda k: k["score"]), F.array().cast(
             "array<int>")).alias("link_scores")).dropDuplicates([site, "url"])
     schema = _VISIT_SCHEMA.format(name=site, kind=seeds.schema[site].dataType.simpleString())
-    return rows.groupBy(site).applyInPandas(_visitor(site, config), schema)
+    # sites stream through a task one after the other; the state is one site's bounded page set
+    ordered = rows.repartition(site).sortWithinPartitions(site)
+    return ordered.mapInPandas(_visitor(site, config), schema)
 
 
 def _visitor(site: str, config: SiteScanConfig):
-    """Best-first walk over the bounded page set of one site."""
-    def visit(pages: pd.DataFrame) -> pd.DataFrame:
-        content = pages.set_index("url")
-        first = pages.iloc[0]
-        queue = [(-int(first["start_score"]), 0, first["start_url"], 0)]
-        seen, visited, records = {first["start_url"]}, set(), []
-        attempted, sequence, stop = 0, 1, "QUEUE_EXHAUSTED"
+    """Best-first walk over the bounded page set of each site.
+
+    The closure holds plain values only, so executors need no copy of this package.
+    """
+    max_pages, max_depth = config.max_pages, config.max_depth
+    max_discovered = config.max_total_discovered_urls
+    inputs = [site, "url", "start_url", "start_score", "robots_decision", "fetch_outcome",
+              "links_discovered", "link_urls", "link_scores"]
+    outputs = [site, "visit", "url", "depth", "score", "page_outcome", "fetch_outcome",
+               "links_discovered", "stop_reason", "urls_discovered"]
+    unfetched = {"DISALLOWED": "ROBOTS_DISALLOWED",
+                 "TEMPORARY_FAILURE": "ROBOTS_TEMPORARY_FAILURE"}
+    fetched = {"SUCCESS": "FETCHED_AND_PROCESSED", "UNSAFE_HOST": "UNSAFE_HOST"}
+
+    def walk(key, start, start_score, pages):
+        queue, seen, visited, records = [(-start_score, 0, start, 0)], {start}, set(), []
+        sequence, stop = 1, "QUEUE_EXHAUSTED"
         while queue:
-            if attempted >= config.max_pages:
+            if len(visited) >= max_pages:
                 stop = "MAX_PAGES_REACHED"
                 break
             low, depth, url, _ = heapq.heappop(queue)
             if url in visited:
                 continue
             visited.add(url)
-            attempted += 1
-            page = content.loc[url]
-            fetch, links = None, 0
-            if page["robots_decision"] == "DISALLOWED":
-                outcome = "ROBOTS_DISALLOWED"
-            elif page["robots_decision"] == "TEMPORARY_FAILURE":
-                outcome = "ROBOTS_TEMPORARY_FAILURE"
+            decision, fetch, on_page, targets, scores = pages[url]
+            outcome, links = unfetched.get(decision), 0
+            if outcome is not None:
+                fetch = None
             else:
-                fetch = page["fetch_outcome"]
-                outcome = "FETCHED_AND_PROCESSED" if fetch == "SUCCESS" else (
-                    "UNSAFE_HOST" if fetch == "UNSAFE_HOST" else "FETCH_FAILED")
+                outcome = fetched.get(fetch, "FETCH_FAILED")
             if outcome == "FETCHED_AND_PROCESSED":
-                links = int(page["links_discovered"])
-                if depth < config.max_depth:
-                    for target, score in zip(page["link_urls"], page["link_scores"], strict=True):
-                        if target not in seen and len(seen) < config.max_total_discovered_urls:
-                            seen.add(target)
-                            heapq.heappush(queue, (-int(score), depth + 1, target, sequence))
-                            sequence += 1
+                links = int(on_page)
+                for target, score in zip(targets, scores, strict=True):
+                    if depth >= max_depth or len(seen) >= max_discovered:
+                        break
+                    if target not in seen:
+                        seen.add(target)
+                        heapq.heappush(queue, (-int(score), depth + 1, target, sequence))
+                        sequence += 1
             records.append((url, depth, -low, outcome, fetch, links))
         for low, depth, url, _ in sorted(queue):
             if url not in visited:
                 records.append((url, depth, -low, "SKIPPED_BUDGET_REACHED", None, 0))
-        out = pd.DataFrame(records, columns=[
-            "url", "depth", "score", "page_outcome", "fetch_outcome", "links_discovered"])
-        out.insert(0, "visit", range(1, len(out) + 1))
-        out.insert(0, site, first[site])
-        return out.assign(stop_reason=stop, urls_discovered=len(seen))
+        return [(key, n, *r, stop, len(seen)) for n, r in enumerate(records, 1)]
+
+    def visit(batches):
+        current, start, score, pages = None, None, 0, {}
+        for batch in batches:
+            done = []
+            for key, url, start_url, start_score, *page in zip(
+                    *(batch[c] for c in inputs), strict=True):
+                if key != current:
+                    if pages:
+                        done += walk(current, start, score, pages)
+                    current, start, score, pages = key, start_url, int(start_score), {}
+                pages[url] = page
+            if done:
+                yield pd.DataFrame(done, columns=outputs)
+        if pages:
+            yield pd.DataFrame(walk(current, start, score, pages), columns=outputs)
 
     return visit

@@ -16,7 +16,7 @@ from contactgrid.config import DiscoveryConfig
 from contactgrid.functions import html, scoring, urls
 from contactgrid.functions.stages import Getter, Stage, run_on_columns, run_on_elements
 from contactgrid.functions.suffixes import DEFAULT_RULES, SuffixRules
-from contactgrid.functions.text import strip_space
+from contactgrid.functions.text import decode_entities, strip_space
 
 SOURCE_FIELDS = ("normalized_url", "scheme", "hostname", "port", "path", "query",
                  "registrable_domain", "error_code")
@@ -27,7 +27,7 @@ def resolution_stages() -> tuple[Stage, ...]:
     """Stages from `href` and the base address (`base_*`) to an absolute address in `raw`."""
 
     def shape(c: Getter) -> dict[str, Column]:
-        href = F.regexp_replace(strip_space(c("href")), r"[\t\r\n]", "")
+        href = F.translate(strip_space(c("href")), "\t\r\n", "")
         return {"reference": href, "own_scheme": F.lower(
             F.regexp_extract(href, r"^([a-zA-Z][a-zA-Z0-9+.\-]*+):", 1))}
 
@@ -35,35 +35,35 @@ def resolution_stages() -> tuple[Stage, ...]:
         same = c("own_scheme") == c("base_scheme")
         rest = F.when(same, F.substr(c("reference"), F.length(c("own_scheme")) + 2)).otherwise(
             c("reference"))
-        return {
-            "foreign": (c("own_scheme") != "") & ~same,
-            "rest": rest,
-            "rest_path": F.regexp_extract(rest, r"^([^?#]*+)", 1),
-            "rest_query": F.regexp_extract(rest, r"^[^?#]*+(\?[^#]*+)", 1),
-        }
+        rest = F.substring_index(rest, "#", 1)
+        return {"foreign": (c("own_scheme") != "") & ~same, "rest": rest,
+                "rest_path": F.substring_index(rest, "?", 1)}
 
     def segments(c: Getter) -> dict[str, Column]:
-        path = c("rest_path")
-        folder = F.regexp_replace(c("base_path"), "[^/]*$", "")
-        merged = F.concat(folder, path)
+        path, base = c("rest_path"), c("base_path")
+        folder = F.substr(base, F.lit(1), F.length(base) - F.length(
+            F.substring_index(base, "/", -1)))
         # a relative path is joined to the base folder without empty inner segments
-        relative = F.regexp_replace(merged, "(?<=.)/{2,}", "/")
-        return {"parts": F.split(F.when(path.startswith("/"), path).otherwise(relative), "/")}
+        relative = F.regexp_replace(F.concat(folder, path), "(?<=.)/{2,}", "/")
+        return {
+            "rest_query": F.substr(c("rest"), F.length(path) + 1),
+            "full_path": F.when(path.startswith("/"), path).otherwise(relative),
+        }
 
     def resolved(c: Getter) -> dict[str, Column]:
-        parts = c("parts")
+        parts = F.split(c("full_path"), "/")
 
         def walk(done: Column, part: Column) -> Column:
             return F.when(part == "..", F.slice(
                 done, 1, F.greatest(F.lit(0), F.size(done) - 1))
             ).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
 
-        dots = F.exists(parts, lambda p: p.isin(".", ".."))
+        dots = c("full_path").contains("/.") | c("full_path").startswith(".")
         last = F.try_element_at(parts, F.lit(-1))
         walked = F.aggregate(parts, F.array().cast("array<string>"), walk)
         closed = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(
             walked)
-        path = F.array_join(F.when(dots, closed).otherwise(parts), "/")
+        path = F.when(dots, F.array_join(closed, "/")).otherwise(c("full_path"))
         rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
         origin = F.concat(c("base_scheme"), F.lit("://"), c("base_netloc"))
         base_query = F.when(c("base_query") == "", F.lit("")).otherwise(
@@ -106,8 +106,12 @@ def is_asset_path(path: Column, extensions: tuple[str, ...]) -> Column:
 
 
 def is_rejected_scheme(href: Column) -> Column:
-    schemes = "|".join(s.removesuffix(":") for s in ref.REJECTED_LINK_SCHEMES)
-    return F.lower(strip_space(href)).rlike(rf"^(?:{schemes}):")
+    low = F.lower(strip_space(href))
+    hit = F.lit(False)
+    for scheme in ref.REJECTED_LINK_SCHEMES:
+        hit = hit | low.startswith(scheme)
+    # most links hold no colon at all
+    return low.contains(":") & hit
 
 
 @lru_cache(maxsize=None)
@@ -145,7 +149,7 @@ def _page_stages(config: DiscoveryConfig, rules: SuffixRules) -> tuple[Stage, ..
     def texts(c: Getter) -> dict[str, Column]:
         return {"found": F.transform(c("found"), lambda a, at: F.struct(
             at.alias("position"),
-            html.unquote_attribute(a["value"]).alias("href"),
+            decode_entities(a["value"], in_attribute=True).alias("href"),
             html.anchor_text(a["inner"]).alias("link_text")))}
 
     return (clean, anchors, *resolution_stages(), *urls.normalization_stages(rules),
@@ -195,20 +199,20 @@ def _link_stages(config: DiscoveryConfig, rules: SuffixRules) -> tuple[Stage, ..
             "score_text": scoring.scoring_text(c("path"), c("link_text")),
         }
 
-    def score(c: Getter) -> dict[str, Column]:
-        return {"score": scoring.page_score(c("score_path"), c("score_text")),
-                "signals": scoring.page_signals(c("score_path"), c("score_text"))}
+    def signals(c: Getter) -> dict[str, Column]:
+        return {"signals": scoring.page_signals(c("score_path"), c("score_text"))}
 
     def entry(c: Getter) -> dict[str, Column]:
         # sort keys first: natural struct order is target, best score, longest text, first seen
         return {"entry": F.struct(
-            c("normalized_url").alias("url"), (-c("score")).alias("low"),
+            c("normalized_url").alias("url"), (-scoring.score_of(c("signals"))).alias("low"),
             (-F.length(c("link_text"))).alias("short"), c("position").alias("position"),
             c("link_text").alias("link_text"), c("href").alias("raw_href"),
             c("same_origin").alias("same_origin"), c("same_domain").alias("same_domain"),
             c("signals").alias("signals"))}
 
-    return (*resolution_stages(), *urls.normalization_stages(rules), scope, text, score, entry)
+    return (*resolution_stages(), *urls.normalization_stages(rules), scope, text, signals,
+            entry)
 
 
 def _first_per_target(ordered: Column) -> Column:
@@ -294,9 +298,9 @@ def rank_pages(
     """Ranked pages per source: its links plus the source itself, scored with the text "Home"."""
     path = F.col("source_path")
     source_text = scoring.scoring_text(path, F.lit("Home"))
-    df = discovered.filter(F.col("outcome") != "INVALID_SOURCE_URL").withColumns({
-        "__score": scoring.page_score(scoring.scoring_path(path), source_text),
-        "__signals": scoring.page_signals(scoring.scoring_path(path), source_text)})
+    df = discovered.filter(F.col("outcome") != "INVALID_SOURCE_URL").withColumn(
+        "__signals", scoring.page_signals(scoring.scoring_path(path), source_text)
+    ).withColumn("__score", scoring.score_of(F.col("__signals")))
     source, own_score = F.col("source_normalized_url"), F.col("__score")
     stronger = F.exists(
         "links", lambda k: (k["url"] == source) & (k["score"] > own_score))
