@@ -1 +1,392 @@
-"""Queries."""
+"""Sources, result mapping, idempotent writes and export queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import register
+from catalog.emails import DOC_ALL, doc_evidence, doc_findings, doc_rows
+from catalog.sql import quoted, views
+from contactgrid import reference_data as ref
+from contactgrid.functions import emails
+from contactgrid.operators import audit
+from contactgrid.operators import results as R
+from contactgrid.operators.quality import ordered_checksum
+from contactgrid.plans import views as V
+from contactgrid.sources import sinks
+from contactgrid.sources.tables import parse_json, read_table
+
+
+@register("src2_table_source", """
+SELECT o_orderstatus, count(*) AS rows, max(o_orderkey) AS last_key FROM orders
+GROUP BY o_orderstatus""")
+def _(spark, sf):
+    return read_table(spark, sf, "orders").groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("o_orderkey").alias("last_key"))
+
+
+@register("src3_page_corpus", """
+SELECT page_id, url, CAST(length(html) AS INTEGER) AS size FROM pages""")
+def _(spark, sf):
+    return read_table(spark, sf, "pages").select(
+        "page_id", "url", F.length("html").alias("size"))
+
+
+@register("src4_json_payload", """
+SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total_k,
+  count(json_extract_string(props, '$.k')) AS filled FROM events GROUP BY event_type""")
+def _(spark, sf):
+    rows = V.events(spark, sf).select("event_type", parse_json("props", "k bigint")["k"].alias(
+        "k"))
+    return rows.groupBy("event_type").agg(
+        F.sum("k").alias("total_k"), F.count("k").alias("filled"))
+
+
+@register("src5_event_log", """
+SELECT user_id AS job_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)
+  AS sequence_number FROM events""")
+def _(spark, sf):
+    return numbered_events(spark, sf).select("job_id", "event_id", "sequence_number")
+
+
+def numbered_events(spark, sf):
+    from contactgrid.operators.keyed import sequence_within
+
+    rows = V.events(spark, sf).withColumn("job_id", F.col("user_id"))
+    return sequence_within(rows, ["job_id"], [F.col("ts"), F.col("event_id")],
+                           F.date_trunc("day", "ts"), "sequence_number")
+
+
+def nested_results(spark, sf):
+    """One nested result per document: its page record, findings with evidence, rejections."""
+    pages = V.document_pages(spark, sf).select("page_id", "url")
+    rows = doc_rows(spark, sf)
+    found = doc_findings(spark, sf)
+    evidence = doc_evidence(spark, sf).groupBy("page_id", "canonical_email").agg(
+        F.array_sort(F.collect_list(F.struct(
+            "source_url", "source_kind", "raw_candidate", "snippet"))).alias("evidence"))
+    nested = found.join(evidence, ["page_id", "canonical_email"]).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct(
+            "canonical_email", "domain", "category", "source_url", "source_kind",
+            "raw_candidate", "snippet", "evidence"))).alias("email_findings"))
+    rejected = rows.filter("rejection_code is not null").groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct(
+            "raw_candidate", "rejection_code", "source_kind",
+            F.col("source_normalized_url").alias("source_url")))).alias("rejected_candidates"))
+    odd = F.col("page_id") % 2 == 1
+    record = F.struct(
+        F.concat("url", F.lit("?session=1#top")).alias("requested_url"),
+        F.when(odd, F.concat("url", F.lit("#end"))).alias("final_url"), F.lit(0).alias("depth"),
+        F.when(odd, F.lit("FETCHED_AND_PROCESSED")).otherwise(F.lit("FETCH_FAILED")).alias(
+            "outcome"),
+        F.when(odd, F.lit("SUCCESS")).otherwise(F.lit("HTTP_ERROR")).alias("fetch_outcome"),
+        F.when(odd, F.lit(200)).otherwise(F.lit(503)).alias("status_code"),
+        F.lit("text/html;\tcharset=utf-8").alias("content_type"), F.lit(7).alias("page_score"),
+        F.lit("ALLOWED").alias("robots_decision"), F.lit(0).alias("links_discovered_count"),
+        F.lit(0).alias("emails_found_count"),
+        F.array(F.struct(F.col("url").alias("url"), F.lit(301).alias("status_code"),
+                         F.concat("url", F.lit("?x")).alias("location"))).alias(
+            "redirect_history"))
+    return pages.join(nested, "page_id", "left").join(rejected, "page_id", "left").select(
+        F.col("page_id").alias("result_id"), F.col("url").alias("starting_url"),
+        F.lit(1).alias("attempt_number"),
+        F.when(odd, F.lit("COMPLETED")).otherwise(F.lit("FAILED")).alias("outcome"),
+        F.array(record).alias("page_records"), "email_findings", "rejected_candidates")
+
+
+@register("map1_pages", DOC_ALL + """
+SELECT page_id AS result_id, normalized_url, normalized_url AS final_url,
+  CASE WHEN page_id % 2 = 1 THEN 200 ELSE 503 END AS status_code,
+  'text/html; charset=utf-8' AS content_type, 7 AS page_score FROM src""")
+def _(spark, sf):
+    return R.map_pages(nested_results(spark, sf)).select(
+        "result_id", "normalized_url", "final_url", "status_code", "content_type", "page_score")
+
+
+@register("map1_findings", DOC_ALL + """
+SELECT page_id AS result_id, canonical_email, domain AS email_domain, category AS classification,
+  category = 'ROLE_BASED' AS is_role_based FROM findings""")
+def _(spark, sf):
+    return R.map_findings(nested_results(spark, sf)).select(
+        "result_id", "canonical_email", "email_domain", "classification", "is_role_based")
+
+
+@register("map1_evidence", DOC_ALL + """
+SELECT page_id AS result_id, canonical_email, source_url AS page_url, snippet,
+  sha256(canonical_email || ':' || trim(snippet)) AS candidate_hash FROM evidence""")
+def _(spark, sf):
+    return R.map_evidence(nested_results(spark, sf)).select(
+        "result_id", "canonical_email", "page_url", "snippet", "candidate_hash")
+
+
+@register("map1_rejected", DOC_ALL + """
+SELECT DISTINCT page_id AS result_id, sha256(lower(raw_candidate) || ':') AS candidate_hash,
+  rejection_code FROM cand WHERE rejection_code IS NOT NULL""")
+def _(spark, sf):
+    return R.map_rejected(nested_results(spark, sf)).select(
+        "result_id", "candidate_hash", "rejection_code")
+
+
+@register("map1_attempts", DOC_ALL + """
+SELECT page_id AS result_id, page_id % 2 = 0 AS retryable, normalized_url AS requested_url,
+  CASE WHEN page_id % 2 = 1 THEN 200 ELSE 503 END AS status_code FROM src""")
+def _(spark, sf):
+    return R.map_attempts(nested_results(spark, sf)).select(
+        "result_id", "retryable", "requested_url", "status_code")
+
+
+@register("map2_result_checksums")
+def _(spark, sf):
+    return R.result_checksum(nested_results(spark, sf))
+
+
+@register("map3_replays", views("urls").rstrip() + """
+, grouped AS (SELECT job_id, l_suppkey % 3 AS attempt, url_id, status,
+    row_number() OVER (PARTITION BY job_id, l_suppkey % 3 ORDER BY url_id) AS n,
+    first_value(status) OVER (PARTITION BY job_id, l_suppkey % 3 ORDER BY url_id) AS stored
+  FROM urls)
+SELECT url_id, CASE WHEN attempt = 2 THEN 'NEW' WHEN stored = status THEN 'REPLAY'
+  ELSE 'CONFLICT' END AS replay_status FROM grouped WHERE n > 1""")
+def _(spark, sf):
+    from contactgrid.operators.keyed import winner_per_key
+
+    rows = V.urls(spark, sf, numbered=True).select(
+        "job_id", (F.col("l_suppkey") % 3).alias("attempt"), "url_id", "status").withColumn(
+        "result_checksum", F.sha2("status", 256))
+    first = winner_per_key(rows, ["job_id", "attempt"], [F.col("url_id")])
+    incoming = rows.join(first.select("url_id"), "url_id", "left_anti")
+    stored = first.filter(F.col("attempt") != 2)
+    return R.replay_status(incoming, stored, ["job_id", "attempt"]).select(
+        "url_id", "replay_status")
+
+
+@register("map4_transient_checksums")
+def _(spark, sf):
+    rows = V.urls(spark, sf, numbered=True)
+    return R.transient_checksum(rows.select(
+        F.col("url_id").alias("scan_url_id"), F.col("attempt_count").alias("attempt_number"),
+        F.lit("FAILED").alias("outcome"), F.col("fetch_outcome").alias("error_code"),
+        F.lit(True).alias("retryable"),
+        F.concat(F.lit("https://u"), F.col("url_id").cast("string"), F.lit(".com/?q")).alias(
+            "requested_url")))
+
+
+# --- writes ----------------------------------------------------------------------------------
+def _state_and_delta(spark, sf):
+    rows = V.findings(spark, sf).drop("finding_id")
+    state = rows.filter(F.col("classification") != "UNKNOWN")
+    delta = rows.filter(F.col("classification") != "ROLE_BASED").drop(
+        "first_found_at", "last_found_at")
+    return state, delta
+
+
+@register("snk3_findings_upsert", views("findings") + """
+SELECT job_id, canonical_email, CASE classification WHEN 'UNKNOWN' THEN 'NEW'
+    WHEN 'ROLE_BASED' THEN 'KEPT' ELSE 'REFRESHED' END AS change,
+  CAST(CASE WHEN classification = 'UNKNOWN' THEN TIMESTAMP '2001-08-02 00:00:00'
+    ELSE first_found_at END AS VARCHAR) AS first_found_at,
+  CAST(CASE WHEN classification = 'ROLE_BASED' THEN last_found_at
+    ELSE TIMESTAMP '2001-08-02 00:00:00' END AS VARCHAR) AS last_found_at
+FROM findings""")
+def _(spark, sf):
+    state, delta = _state_and_delta(spark, sf)
+    merged = R.upsert_findings(state, delta, ["job_id", "canonical_email"],
+                               V.clock(V.NOW_ORDERS))
+    return merged.select(
+        "job_id", "canonical_email", "change", F.col("first_found_at").cast("string"),
+        F.col("last_found_at").cast("string"))
+
+
+@register("snk4_evidence_append", DOC_ALL.rstrip() + """
+, known AS (SELECT canonical_email, min(page_id) AS finding_id FROM findings GROUP BY 1),
+  incoming AS (SELECT DISTINCT canonical_email, source_url,
+    sha256(canonical_email || ':' || trim(snippet)) AS candidate_hash FROM evidence)
+SELECT k.finding_id, s.page_id, i.candidate_hash FROM incoming i
+JOIN known k ON k.canonical_email = i.canonical_email AND k.finding_id % 3 > 0
+JOIN src s ON s.normalized_url = i.source_url
+WHERE s.page_id % 5 > 0""")
+def _(spark, sf):
+    evidence = doc_evidence(spark, sf)
+    incoming = evidence.select(
+        "canonical_email", F.col("source_url").alias("page_url"),
+        F.col("source_kind").alias("source_type"),
+        emails.candidate_hash(F.col("canonical_email"), F.col("snippet")).alias(
+            "candidate_hash"))
+    known = doc_findings(spark, sf).groupBy("canonical_email").agg(
+        F.min("page_id").alias("finding_id"))
+    resolvable = known.filter(F.col("finding_id") % 3 > 0)
+    pages = V.document_pages(spark, sf).select(
+        F.col("url").alias("normalized_url"), "page_id")
+    stored = R.append_evidence(
+        incoming, known, pages, incoming.select(
+            F.lit(0).cast("bigint").alias("finding_id"), F.lit(0).cast("bigint").alias("page_id"),
+            "source_type", "candidate_hash").filter(F.lit(False))
+    ).filter(F.col("page_id") % 5 == 0)
+    return R.append_evidence(incoming, resolvable, pages, stored).select(
+        "finding_id", "page_id", "candidate_hash")
+
+
+@register("snk5_rejected_append", DOC_ALL.rstrip() + """
+, incoming AS (SELECT DISTINCT site AS job_id, sha256(lower(raw_candidate) || ':') AS candidate_hash,
+    rejection_code FROM cand WHERE rejection_code IS NOT NULL)
+SELECT job_id, candidate_hash, rejection_code FROM incoming""")
+def _(spark, sf):
+    rows = doc_rows(spark, sf).filter("rejection_code is not null").select(
+        F.col("site").alias("job_id"),
+        emails.candidate_hash(F.col("raw_candidate")).alias("candidate_hash"), "rejection_code",
+        F.col("source_normalized_url").alias("normalized_page_url"))
+    pages = V.document_pages(spark, sf).select(
+        F.col("url").alias("normalized_url"), "page_id")
+    stored = rows.filter(F.lit(False))
+    return R.append_rejected(rows, pages, stored).select(
+        "job_id", "candidate_hash", "rejection_code")
+
+
+@register("snk6_event_append", """
+WITH old_rows AS (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-08'
+  GROUP BY user_id)
+SELECT e.user_id AS job_id, event_id, coalesce(n, 0) + row_number() OVER (
+  PARTITION BY e.user_id ORDER BY ts, event_id) AS sequence_number
+FROM events e LEFT JOIN old_rows o ON o.user_id = e.user_id WHERE ts >= TIMESTAMP '2024-01-08'""")
+def _(spark, sf):
+    cut = F.lit("2024-01-08 00:00:00").cast("timestamp")
+    log = numbered_events(spark, sf)
+    stored = log.filter(F.col("ts") < cut).select("job_id", "sequence_number")
+    fresh = V.events(spark, sf).filter(F.col("ts") >= cut).withColumn("job_id", F.col("user_id"))
+    return R.append_events(
+        stored, fresh, "job_id", [F.col("ts"), F.col("event_id")], F.date_trunc("day", "ts")
+    ).select("job_id", "event_id", "sequence_number")
+
+
+@register("snk7_page_rows", """
+SELECT DISTINCT page_id % 7 AS attempt_id, regexp_replace(url, '[?#].*$', '') AS normalized_url
+FROM pages""")
+def _(spark, sf):
+    rows = read_table(spark, sf, "pages").select(
+        (F.col("page_id") % 7).alias("attempt_id"),
+        F.regexp_replace("url", "[?#].*$", "").alias("normalized_url"))
+    return R.page_rows(rows).filter("page_key is not null").select(
+        "attempt_id", "normalized_url")
+
+
+def exportable(spark, sf):
+    return V.findings(spark, sf).withColumns({
+        "scan_url_id": F.col("job_id").cast("string"),
+        "target_url": F.concat(F.lit("=site-"), F.col("job_id").cast("string")),
+        "is_role_based": F.col("classification") == "ROLE_BASED", "evidence_count": F.lit(1)})
+
+
+@register("snk1_export_rows", views("jobs", "findings") + f"""
+SELECT CAST(f.job_id AS VARCHAR) AS scan_url_id, '''=site-' || f.job_id AS target_url,
+  canonical_email, classification, CASE WHEN classification = 'ROLE_BASED' THEN 'True'
+  ELSE 'False' END AS is_role_based, '1' AS evidence_count,
+  strftime(first_found_at, '%Y-%m-%dT%H:%M:%S+00:00') AS first_found_at
+FROM findings f JOIN jobs j ON j.job_id = f.job_id
+WHERE j.status IN ({quoted(ref.TERMINAL_JOB_STATUSES)})""")
+def _(spark, sf):
+    found = exportable(spark, sf)
+    allowed = R.export_guard(V.job_heads(spark, sf), found).filter("refusal is null")
+    rows = R.export_rows(found).join(allowed.select("job_id"), "job_id", "left_semi")
+    return rows.select("scan_url_id", "target_url", "canonical_email", "classification",
+                       "is_role_based", "evidence_count", "first_found_at")
+
+
+@register("snk1_export_guard", views("jobs", "findings") + f"""
+SELECT j.job_id, CASE WHEN status NOT IN ({quoted(ref.TERMINAL_JOB_STATUSES)})
+  THEN 'INVALID_STATE_TRANSITION' WHEN count(f.job_id) > 50000 THEN 'EXPORT_TOO_LARGE' END
+  AS refusal, count(f.job_id) AS rows
+FROM jobs j LEFT JOIN findings f ON f.job_id = j.job_id GROUP BY j.job_id, status""")
+def _(spark, sf):
+    return R.export_guard(V.job_heads(spark, sf), V.findings(spark, sf)).select(
+        "job_id", "refusal", "rows")
+
+
+@register("snk2_json_report")
+def _(spark, sf):
+    return sinks.report_json(nested_results(spark, sf), ["result_id"])
+
+
+@register("set2_new_keys", views("findings") + """
+SELECT job_id, canonical_email, classification = 'UNKNOWN' AS is_new FROM findings
+WHERE classification <> 'ROLE_BASED'""")
+def _(spark, sf):
+    state, delta = _state_and_delta(spark, sf)
+    fresh, known = R.new_and_existing(delta, state, ["job_id", "canonical_email"])
+    return fresh.withColumn("is_new", F.lit(True)).unionByName(
+        known.withColumn("is_new", F.lit(False))).select("job_id", "canonical_email", "is_new")
+
+
+# --- repeated runs ---------------------------------------------------------------------------
+@register("aud2_item_checksums")
+def _(spark, sf):
+    items = V.repeats(spark, sf)
+    evidence = items.filter(F.col("selected_email").isNotNull()).select(
+        "item", "repeat_index", F.col("selected_email").alias("canonical_email"),
+        F.concat(F.lit("https://i"), F.col("item").cast("string"), F.lit(".com/?q=1")).alias(
+            "source_url"), F.lit("VISIBLE_TEXT").alias("source_kind"),
+        F.col("selected_email").alias("snippet"))
+    return audit.item_checksums(items, evidence, ["item", "repeat_index"],
+                                ["item", "outcome", "failure_code", "selected_email"])
+
+
+def _checked(spark, sf):
+    fields = ["outcome", "failure_code", "selected_email"]
+    return V.repeats(spark, sf).withColumn("logical_checksum", audit.logical_checksum(fields))
+
+
+_COMPARED = {"compared": """
+  SELECT r.item, r.repeat_index, CAST(r.outcome <> f.outcome AS INTEGER)
+    + CAST(r.failure_code IS DISTINCT FROM f.failure_code AS INTEGER)
+    + CAST(r.selected_email IS DISTINCT FROM f.selected_email AS INTEGER) AS plain,
+    r.outcome <> f.outcome AS other, f.outcome AS a, r.outcome AS b
+  FROM repeats r JOIN repeats f ON f.item = r.item AND f.repeat_index = 1
+  WHERE r.repeat_index > 1"""}
+
+
+@register("aud3_repeat_comparison", views("repeats", **_COMPARED) + """
+SELECT item, repeat_index, CAST(plain + CASE WHEN plain > 0 THEN 1 ELSE 0 END AS INTEGER)
+  AS mismatches, CASE WHEN other THEN 'Outcome mismatch: ' || a || ' vs ' || b END AS first_reason
+FROM compared""")
+def _(spark, sf):
+    df = audit.compare_repeats(_checked(spark, sf))
+    return df.select("item", "repeat_index", F.size("reasons").alias("mismatches"), F.get(
+        F.filter("reasons", lambda r: r.startswith("Outcome")), F.lit(0)).alias("first_reason"))
+
+
+@register("aud4_consistency_report", views("repeats", **_COMPARED) + """
+SELECT count(*) AS items, count(*) FILTER (bad = 0) AS consistent,
+  count(*) FILTER (bad > 0) AS mismatched,
+  round(count(*) FILTER (bad = 0) / count(*) * 100.0, 2)::DOUBLE AS consistency_percentage
+FROM (SELECT i.item, coalesce(sum(plain), 0) AS bad FROM (SELECT DISTINCT item FROM repeats) i
+  LEFT JOIN compared c ON c.item = i.item GROUP BY i.item)""")
+def _(spark, sf):
+    rows = _checked(spark, sf)
+    return audit.consistency_report(
+        audit.item_consistency(rows, audit.compare_repeats(rows)))
+
+
+@register("aud4_distributions", views("repeats") + """
+SELECT 'outcome' AS field, outcome AS value, count(*) AS count FROM repeats GROUP BY outcome
+UNION ALL SELECT 'failure_code', failure_code, count(*) FROM repeats
+  WHERE failure_code IS NOT NULL GROUP BY failure_code
+UNION ALL SELECT 'selected_email', selected_email, count(*) FROM repeats
+  WHERE selected_email IS NOT NULL GROUP BY selected_email""")
+def _(spark, sf):
+    return audit.distributions(
+        V.repeats(spark, sf), ["outcome", "failure_code", "selected_email"])
+
+
+@register("aud5_mode_parity", views("repeats") + """
+SELECT item, count(DISTINCT repeat_index) AS modes, count(DISTINCT coalesce(outcome, '~') || '|'
+  || coalesce(failure_code, '~') || '|' || coalesce(selected_email, '~')) = 1 AS parity
+FROM repeats GROUP BY item""")
+def _(spark, sf):
+    return audit.mode_parity(V.repeats(spark, sf), "repeat_index", ["item"],
+                             ["outcome", "failure_code", "selected_email"])
+
+
+@register("agg24_batch_checksum")
+def _(spark, sf):
+    rows = V.urls(spark, sf, numbered=True)
+    line = F.concat_ws("|", F.col("url_id").cast("string"), "status", "fetch_outcome")
+    return ordered_checksum(rows, ["status"], "url_id", line)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactgrid import reference_data as ref
 from contactgrid.config import BackoffPolicy, FetchRetryPolicy
-from contactgrid.operators.keyed import winner_per_key
+from contactgrid.operators.keyed import null_safe_join, winner_per_key
 
 
 def url_status(outcome: Column, findings: Column) -> tuple[Column, Column]:
@@ -162,7 +163,8 @@ def retry_after(header: Column, now: Column, limit: float = 60.0) -> Column:
     date = F.try_to_timestamp(
         F.regexp_replace(stripped, r"\s+(?:GMT|UTC|\+0000)$", ""), F.lit("d MMM yyyy HH:mm:ss"))
     wait = F.coalesce(seconds, (F.unix_micros(date) - F.unix_micros(now)) / 1_000_000)
-    return F.when(text != "", F.greatest(F.lit(0.0), F.least(F.lit(limit), wait)))
+    return F.when((text != "") & wait.isNotNull(), F.greatest(
+        F.lit(0.0), F.least(F.lit(limit), wait)))
 
 
 def derived_counters(urls: DataFrame) -> DataFrame:
@@ -262,6 +264,27 @@ def resolve_expired(
         "retry_delay_seconds": F.when(~cancelled & ~restored & retry, delay)})
 
 
+def status_changes(
+    events: DataFrame, job: str, time: str, tie: str, slice_unit: str = "day"
+) -> DataFrame:
+    """Status events with the status before them; a job's log is cut into time slices.
+
+    Inside a slice `lag` gives the previous status; the first event of a slice takes the last
+    status of the latest earlier slice, carried over by the small per-slice table.
+    """
+    df = events.withColumn("__slice", F.date_trunc(slice_unit, time))
+    inside = W.partitionBy(job, "__slice").orderBy(time, tie)
+    df = df.withColumn("__lag", F.lag("status").over(inside))
+    last = df.groupBy(job, "__slice").agg(
+        F.max_by("status", F.struct(time, tie)).alias("__last"))
+    carried = last.withColumn("__carried", F.lag("__last").over(
+        W.partitionBy(job).orderBy("__slice"))).drop("__last")
+    joined = null_safe_join(df, carried, [job, "__slice"], "inner")
+    return joined.withColumns({
+        "previous_status": F.coalesce("__lag", "__carried"), "new_status": F.col("status"),
+    }).drop("__slice", "__lag", "__carried")
+
+
 def illegal_transitions(changes: DataFrame) -> DataFrame:
     """Status changes (previous_status, new_status) outside the legal set."""
     legal = F.lit(False)
