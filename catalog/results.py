@@ -160,7 +160,11 @@ def _(spark, sf):
         "url_id", "replay_status")
 
 
-@register("map4_transient_checksums")
+@register("map4_transient_checksums", views("urls") + """
+SELECT url_id AS scan_url_id, sha256('{"schema_version":"v1","scan_url_id":"' || url_id
+  || '","attempt_number":' || attempt_count || ',"outcome":"FAILED","error_code":"'
+  || fetch_outcome || '","retryable":true,"requested_url":"https://u' || url_id || '.com/"}')
+  AS result_checksum FROM urls""")
 def _(spark, sf):
     rows = V.urls(spark, sf, numbered=True)
     return R.transient_checksum(rows.select(
@@ -168,7 +172,7 @@ def _(spark, sf):
         F.lit("FAILED").alias("outcome"), F.col("fetch_outcome").alias("error_code"),
         F.lit(True).alias("retryable"),
         F.concat(F.lit("https://u"), F.col("url_id").cast("string"), F.lit(".com/?q")).alias(
-            "requested_url")))
+            "requested_url"))).select("scan_url_id", "result_checksum")
 
 
 # --- writes ----------------------------------------------------------------------------------
@@ -317,7 +321,14 @@ def _(spark, sf):
 
 
 # --- repeated runs ---------------------------------------------------------------------------
-@register("aud2_item_checksums")
+@register("aud2_item_checksums", views("repeats") + """
+SELECT item, repeat_index, sha256('{"schema_version":"consistency-audit-v1","evidence_identity":"'
+  || CASE WHEN selected_email IS NULL THEN '[]' ELSE '[{\\"canonical_email\\":\\"' || selected_email
+    || '\\",\\"identity_url\\":\\"https://i' || item || '.com/\\",\\"source_kind\\":\\"VISIBLE_TEXT'
+    || '\\",\\"snippet_hash\\":\\"' || left(sha256(selected_email), 16) || '\\"}]' END || '"'
+  || coalesce(',"failure_code":"' || failure_code || '"', '') || ',"item":' || item
+  || ',"outcome":"' || outcome || '"' || coalesce(',"selected_email":"' || selected_email || '"', '')
+  || '}') AS logical_checksum FROM repeats""")
 def _(spark, sf):
     items = V.repeats(spark, sf)
     evidence = items.filter(F.col("selected_email").isNotNull()).select(
@@ -325,8 +336,10 @@ def _(spark, sf):
         F.concat(F.lit("https://i"), F.col("item").cast("string"), F.lit(".com/?q=1")).alias(
             "source_url"), F.lit("VISIBLE_TEXT").alias("source_kind"),
         F.col("selected_email").alias("snippet"))
-    return audit.item_checksums(items, evidence, ["item", "repeat_index"],
-                                ["item", "outcome", "failure_code", "selected_email"])
+    return audit.item_checksums(
+        items, evidence, ["item", "repeat_index"],
+        ["item", "outcome", "failure_code", "selected_email"]
+    ).select("item", "repeat_index", "logical_checksum")
 
 
 def _checked(spark, sf):
@@ -385,7 +398,12 @@ def _(spark, sf):
                              ["outcome", "failure_code", "selected_email"])
 
 
-@register("agg24_batch_checksum")
+@register("agg24_batch_checksum", views("urls", l0="""
+  SELECT status, url_id AS pos, url_id || '|' || status || '|' || fetch_outcome AS line FROM urls""",
+    **{f"l{i}": f"""
+  SELECT status, pos // 1000 AS pos, sha256(string_agg(line, chr(10) ORDER BY pos)) AS line
+  FROM l{i - 1} GROUP BY status, pos // 1000""" for i in (1, 2, 3)}) + """
+SELECT status, sha256(string_agg(line, chr(10) ORDER BY pos)) AS checksum FROM l3 GROUP BY status""")
 def _(spark, sf):
     rows = V.urls(spark, sf, numbered=True)
     line = F.concat_ws("|", F.col("url_id").cast("string"), "status", "fetch_outcome")
