@@ -13,6 +13,7 @@ from contactgrid.functions.stages import run_on_columns
 from contactgrid.operators import addresses as A
 from contactgrid.operators import hostpolicy
 from contactgrid.plans import views as V
+from contactgrid.plans.contacts import review_list
 from contactgrid.sources.tables import read_table
 
 LIST = views("address_list", **parsed("u", "address_list", "original_index", "original_input"))
@@ -187,7 +188,7 @@ _REVIEW_COLUMNS = ("original_index, normalized_url, canonical_target, decision_c
 
 @register("url9_review", REVIEW + f"SELECT {_REVIEW_COLUMNS} FROM reviewed")
 def _(spark, sf):
-    df = A.review_addresses(V.address_list(spark, sf))
+    df = review_list(V.address_list(spark, sf))
     return df.select(*[c.strip() for c in _REVIEW_COLUMNS.split(",")])
 
 
@@ -203,7 +204,7 @@ def _(spark, sf):
     rows = V.address_list(spark, sf)
     chosen = rows.filter(F.col("original_index") % 5 == 0).select(
         "original_index", (F.col("original_index") % 2 == 0).alias("selected"))
-    return A.review_addresses(rows, chosen).select(
+    return review_list(rows, chosen).select(
         "original_index", "decision_code", "is_selected", "canonical_target")
 
 
@@ -211,7 +212,7 @@ def _(spark, sf):
 SELECT duplicate_of_index, count(*) AS copies, max(original_index) AS last_index FROM reviewed
 WHERE duplicate_of_index IS NOT NULL GROUP BY duplicate_of_index""")
 def _(spark, sf):
-    df = A.review_addresses(V.address_list(spark, sf))
+    df = review_list(V.address_list(spark, sf))
     return df.filter("duplicate_of_index is not null").groupBy("duplicate_of_index").agg(
         F.count(F.lit(1)).alias("copies"), F.max("original_index").alias("last_index"))
 
@@ -226,14 +227,14 @@ SELECT count(*) AS total_input_count,
   count(*) FILTER (decision_code IN ('INVALID_URL', 'UNSUPPORTED_SCHEME')) AS invalid_input_count,
   count(DISTINCT canonical_target) AS final_target_count FROM reviewed""")
 def _(spark, sf):
-    return A.review_summary(A.review_addresses(V.address_list(spark, sf)))
+    return A.review_summary(review_list(V.address_list(spark, sf)))
 
 
 @register("url12_accepted_targets", REVIEW + """
 SELECT canonical_target, min(original_index) AS first_index FROM reviewed
 WHERE is_selected AND canonical_target IS NOT NULL GROUP BY canonical_target""")
 def _(spark, sf):
-    return A.accepted_targets(A.review_addresses(V.address_list(spark, sf)))
+    return A.accepted_targets(review_list(V.address_list(spark, sf)))
 
 
 @register("url13_preview", REVIEW + """
@@ -243,7 +244,7 @@ SELECT original_index, CASE WHEN is_selected AND canonical_target IS NOT NULL TH
   CASE WHEN NOT is_selected THEN explanation END AS error_message, ui_label,
   hostname AS normalized_domain FROM reviewed""")
 def _(spark, sf):
-    df = A.preview(A.review_addresses(V.address_list(spark, sf)))
+    df = A.preview(review_list(V.address_list(spark, sf)))
     return df.select("original_index", "classification", "error_code", "error_message",
                      "ui_label", "normalized_domain")
 

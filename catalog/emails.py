@@ -8,12 +8,13 @@ from catalog import register
 from catalog.sql import page_score, parsed, quoted, registrable, views
 from contactgrid import reference_data as ref
 from contactgrid.config import ExtractionConfig
-from contactgrid.functions import emails, html, scoring
+from contactgrid.functions import emails, html
 from contactgrid.functions.stages import run_on_columns
 from contactgrid.functions.text import collapse_space, csv_cell, sanitize_text, short_digest
 from contactgrid.operators import audit, primary
 from contactgrid.operators import extraction as X
 from contactgrid.plans import views as V
+from contactgrid.plans.contacts import site_contacts, with_page_score
 from contactgrid.sources.tables import read_table
 
 _PART = r'[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}@:<>()",;]'
@@ -262,12 +263,6 @@ def doc_findings(spark, sf):
     return X.page_findings(doc_rows(spark, sf), keep=("site",))
 
 
-def with_page_score(df):
-    path = F.col("source_path")
-    return df.withColumn("page_score", scoring.page_score(
-        scoring.scoring_path(path), scoring.scoring_text(path, F.lit(""))))
-
-
 def doc_evidence(spark, sf):
     return with_page_score(X.page_evidence(doc_rows(spark, sf), keep=("site",)))
 
@@ -351,10 +346,13 @@ _SITE = {"site_evidence": """
 DOC_SITES = views("document_pages", **_DOC_CTES, **_FINDINGS, **_EVIDENCE, **_SITE)
 
 
+def contacts(spark, sf):
+    return site_contacts(V.document_pages(spark, sf), site="site", content="text")
+
+
 def site_tables(spark, sf):
-    evidence = doc_evidence(spark, sf)
-    findings = X.site_findings(doc_findings(spark, sf), evidence, "site", "page_id")
-    return findings, evidence
+    found = contacts(spark, sf)
+    return found.findings, found.evidence
 
 
 @register("eml19_site_findings", DOC_SITES + """
@@ -393,8 +391,7 @@ PRIMARY = views("document_pages", **_DOC_CTES, **_FINDINGS, **_EVIDENCE, **_PRIM
 
 
 def scored(spark, sf):
-    findings, evidence = site_tables(spark, sf)
-    return primary.score_candidates(findings, evidence, "site")
+    return contacts(spark, sf).scored
 
 
 @register("pri1_eligible", PRIMARY + "SELECT site, count(*) AS eligible FROM tiered GROUP BY site")
@@ -460,7 +457,7 @@ def _(spark, sf):
 SELECT site, canonical_email, CAST(score AS INTEGER) AS score, domain_affinity FROM scored
 QUALIFY row_number() OVER (PARTITION BY site ORDER BY tier, score DESC, canonical_email) = 1""")
 def _(spark, sf):
-    return primary.select_primary(scored(spark, sf), "site").select(
+    return contacts(spark, sf).primary.select(
         "site", "canonical_email", "score", "domain_affinity")
 
 

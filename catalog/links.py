@@ -12,7 +12,7 @@ from contactgrid.functions import scoring
 from contactgrid.operators import frontier, jobs, robots
 from contactgrid.operators import links as L
 from contactgrid.plans import views as V
-from contactgrid.session import reliable_checkpoint
+from contactgrid.session import materialize
 from contactgrid.sources import synthetic
 from contactgrid.sources.tables import read_table
 
@@ -192,7 +192,7 @@ SELECT c_custkey AS site, visit, 'https://site-' || c_custkey || '.org' || path
   'QUEUE_EXHAUSTED' AS stop_reason FROM customer, steps""")
 def _(spark, sf):
     _, pages = _synthetic(spark, sf)
-    corpus = reliable_checkpoint(frontier.page_links(L.discover_links(pages), 100))
+    corpus = materialize(frontier.page_links(L.discover_links(pages), 100))
     seeds = pages.filter(F.col("url").endswith(".org/")).select("site", "url")
     return frontier.visit_sites(seeds, corpus).select(
         "site", "visit", "url", "depth", "score", "page_outcome", "links_discovered",
@@ -212,7 +212,7 @@ UNION ALL SELECT page_id, CAST(n + 1 AS INTEGER), url, 1, score,
 WHERE n < 100""")
 def _(spark, sf):
     pages = _pages(spark, sf)
-    corpus = reliable_checkpoint(frontier.page_links(L.discover_links(pages), 100))
+    corpus = materialize(frontier.page_links(L.discover_links(pages), 100))
     seeds = pages.select(F.col("page_id").alias("site"), "url")
     return frontier.visit_sites(seeds, corpus).select(
         "site", "visit", "url", "depth", "score", "page_outcome")
@@ -223,7 +223,7 @@ SELECT c_custkey AS site, 'https://site-' || c_custkey || '.org' || path AS url,
 FROM customer, steps WHERE visit > 2""")
 def _(spark, sf):
     _, pages = _synthetic(spark, sf)
-    corpus = reliable_checkpoint(frontier.page_links(L.discover_links(pages), 100))
+    corpus = materialize(frontier.page_links(L.discover_links(pages), 100))
     seeds = pages.filter(F.col("url").endswith(".org/")).select("site", "url")
     visits = frontier.visit_sites(seeds, corpus, config=SiteScanConfig(max_pages=2))
     return visits.filter("page_outcome = 'SKIPPED_BUDGET_REACHED'").select("site", "url", "score")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import register
-from catalog.emails import DOC_ALL, doc_evidence, doc_findings, doc_rows
+from catalog.emails import DOC_ALL, doc_rows
 from catalog.sql import quoted, views
 from contactgrid import reference_data as ref
 from contactgrid.functions import emails
 from contactgrid.operators import audit
 from contactgrid.operators import results as R
+from contactgrid.operators.extraction import page_evidence, page_findings
+from contactgrid.operators.keyed import sequence_within, winner_per_key
 from contactgrid.operators.quality import ordered_checksum
 from contactgrid.plans import views as V
+from contactgrid.session import materialize
 from contactgrid.sources import sinks
 from contactgrid.sources.tables import parse_json, read_table
 
@@ -50,8 +53,6 @@ def _(spark, sf):
 
 
 def numbered_events(spark, sf):
-    from contactgrid.operators.keyed import sequence_within
-
     rows = V.events(spark, sf).withColumn("job_id", F.col("user_id"))
     return sequence_within(rows, ["job_id"], [F.col("ts"), F.col("event_id")],
                            F.date_trunc("day", "ts"), "sequence_number")
@@ -60,9 +61,9 @@ def numbered_events(spark, sf):
 def nested_results(spark, sf):
     """One nested result per document: its page record, findings with evidence, rejections."""
     pages = V.document_pages(spark, sf).select("page_id", "url")
-    rows = doc_rows(spark, sf)
-    found = doc_findings(spark, sf)
-    evidence = doc_evidence(spark, sf).groupBy("page_id", "canonical_email").agg(
+    rows = materialize(doc_rows(spark, sf))
+    found = page_findings(rows)
+    evidence = page_evidence(rows).groupBy("page_id", "canonical_email").agg(
         F.array_sort(F.collect_list(F.struct(
             "source_url", "source_kind", "raw_candidate", "snippet"))).alias("evidence"))
     nested = found.join(evidence, ["page_id", "canonical_email"]).groupBy("page_id").agg(
@@ -148,8 +149,6 @@ def _(spark, sf):
 SELECT url_id, CASE WHEN attempt = 2 THEN 'NEW' WHEN stored = status THEN 'REPLAY'
   ELSE 'CONFLICT' END AS replay_status FROM grouped WHERE n > 1""")
 def _(spark, sf):
-    from contactgrid.operators.keyed import winner_per_key
-
     rows = V.urls(spark, sf, numbered=True).select(
         "job_id", (F.col("l_suppkey") % 3).alias("attempt"), "url_id", "status").withColumn(
         "result_checksum", F.sha2("status", 256))
@@ -210,13 +209,13 @@ JOIN known k ON k.canonical_email = i.canonical_email AND k.finding_id % 3 > 0
 JOIN src s ON s.normalized_url = i.source_url
 WHERE s.page_id % 5 > 0""")
 def _(spark, sf):
-    evidence = doc_evidence(spark, sf)
-    incoming = evidence.select(
+    rows = materialize(doc_rows(spark, sf))
+    incoming = page_evidence(rows).select(
         "canonical_email", F.col("source_url").alias("page_url"),
         F.col("source_kind").alias("source_type"),
         emails.candidate_hash(F.col("canonical_email"), F.col("snippet")).alias(
             "candidate_hash"))
-    known = doc_findings(spark, sf).groupBy("canonical_email").agg(
+    known = page_findings(rows).groupBy("canonical_email").agg(
         F.min("page_id").alias("finding_id"))
     resolvable = known.filter(F.col("finding_id") % 3 > 0)
     pages = V.document_pages(spark, sf).select(

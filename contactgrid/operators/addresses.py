@@ -185,13 +185,24 @@ def review_addresses(
     column: str = "original_input",
     rules: SuffixRules = DEFAULT_RULES,
 ) -> DataFrame:
-    """Full review of an address list: decision, owner of duplicates, selection, target.
+    """Full review of an address list: decision, owner of duplicates, selection, target."""
+    return review_classified(
+        classify_addresses(df, column, rules), overrides, batch, index, column)
+
+
+def review_classified(
+    df: DataFrame,
+    overrides: DataFrame | None = None,
+    batch: tuple[str, ...] = (),
+    index: str = "original_index",
+    column: str = "original_input",
+) -> DataFrame:
+    """Review of classified rows. They are read twice: once to find owners, once to decide.
 
     The earliest index of a duplicate key comes from a grouped minimum (combined map-side) that
     is joined back, so a key that holds a large share of the rows is spread by the skew join
     instead of being ranked in one task. `overrides` has (batch.., index, selected).
     """
-    df = classify_addresses(df, column, rules)
     # rows outside the duplicate check get a key of their own, so they spread over all tasks
     key = F.when(F.col("eligible"), F.concat_ws(
         "\n", F.lit("key"), "apex_host", "norm_path", "clean_query")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from contactgrid.operators.results import upsert_findings
-from contactgrid.streaming.runtime import work_folder
+from contactgrid.session import shared_folder
 
 
 # --- aggregates ------------------------------------------------------------------------------
@@ -31,7 +31,7 @@ def drain_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     itself; the newest batch of a key holds its current value.
     """
     spark = stream.sparkSession
-    folder = work_folder(spark)
+    folder = shared_folder(spark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
@@ -239,7 +239,7 @@ def upsert_stream(
     overwrites its own, so replays cannot apply twice.
     """
     spark = deltas.sparkSession
-    folder = folder or work_folder(spark)
+    folder = folder or shared_folder(spark)
     state.write.mode("overwrite").parquet(f"{folder}/snapshot/v=-1")
     schema = state.schema
     latest = {"version": -1}

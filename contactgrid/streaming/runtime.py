@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from contactgrid.session import shared_folder
 from contactgrid.sources.tables import SCHEMAS
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared folder of `spark.checkpoint.dir`; local sessions without
-    that setting use a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="contactgrid-stream-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def read_stream(
     spark: SparkSession, folder: str, table: str, files_per_batch: int = 100
 ) -> DataFrame:
@@ -37,7 +24,7 @@ def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
     The file sink commits each micro-batch once, also after a restart from the checkpoint.
     """
     spark = stream.sparkSession
-    folder = folder or work_folder(spark)
+    folder = folder or shared_folder(spark)
     query = (stream.writeStream.outputMode("append").format("parquet")
              .option("checkpointLocation", f"{folder}/checkpoint")
              .option("path", f"{folder}/out").trigger(availableNow=True).start())
