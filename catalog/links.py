@@ -203,8 +203,10 @@ def _(spark, sf):
 @register("lnk10_corpus_visits", _links("ranked").rstrip() + f"""
 , start AS (SELECT page_id, normalized_url, {page_score('lower(path)', "lower(path) || ' '")}
     AS score FROM src WHERE error_code IS NULL),
-  queue AS (SELECT page_id, url, score, 1 AS depth, row_number() OVER (PARTITION BY page_id
-      ORDER BY score DESC, url) AS n FROM top t WHERE url <> source_url AND rank <= 100)
+  stored AS (SELECT page_id, min(page_id) OVER (PARTITION BY normalized_url) AS kept FROM src),
+  queue AS (SELECT s.page_id, url, score, 1 AS depth, row_number() OVER (PARTITION BY s.page_id
+      ORDER BY score DESC, url) AS n FROM top t JOIN stored s ON s.kept = t.page_id
+    WHERE url <> source_url AND rank <= 100)
 SELECT page_id AS site, 1 AS visit, normalized_url AS url, 0 AS depth, score,
   'FETCHED_AND_PROCESSED' AS page_outcome FROM start
 UNION ALL SELECT page_id, CAST(n + 1 AS INTEGER), url, 1, score,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from contactgrid.config import SiteScanConfig
 from contactgrid.functions import scoring
+from contactgrid.operators.keyed import winner_per_key
 from contactgrid.operators.links import with_source
 
 _VISIT_SCHEMA = (
@@ -25,12 +26,16 @@ _VISIT_SCHEMA = (
 
 
 def page_links(discovered: DataFrame, limit: int) -> DataFrame:
-    """Link lists keyed by page address: (url, links of (url, score)), the first `limit`."""
+    """Link lists keyed by page address: (url, links of (url, score)), the first `limit`.
+
+    Pages stored twice under one normalized address count once: the smallest page id is kept.
+    """
     links = F.transform(F.slice("links", 1, limit), lambda k: F.struct(
         k["url"].alias("url"), k["score"].alias("score")))
-    return discovered.filter(F.col("source_error_code").isNull()).select(
-        F.col("source_normalized_url").alias("url"), links.alias("links"),
-        F.size("links").alias("links_discovered")).dropDuplicates(["url"])
+    listed = discovered.filter(F.col("source_error_code").isNull()).select(
+        F.col("source_normalized_url").alias("url"), "page_id", links.alias("links"),
+        F.size("links").alias("links_discovered"))
+    return winner_per_key(listed, ["url"], [F.col("page_id")]).drop("page_id")
 
 
 def reachable_pages(
