@@ -76,3 +76,12 @@ def winner_per_key(
     rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     best = F.min_by(F.struct(*rest), rank).alias("__best")
     return df.groupBy(*keys).agg(best).select(*keys, "__best.*")
+
+
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key, the smallest by its other columns: the same one on every run."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    least = F.min(F.struct(*rest)).alias("__least")
+    return df.groupBy(*keys).agg(least).select(*keys, "__least.*")

@@ -12,7 +12,12 @@ from contactgrid.config import ResultCaps
 from contactgrid.functions import emails, urls
 from contactgrid.functions.text import csv_cell, sanitize_text
 from contactgrid.operators.jobs import error_classification
-from contactgrid.operators.keyed import null_safe_join, sequence_within, winner_per_key
+from contactgrid.operators.keyed import (
+    null_safe_join,
+    one_per_key,
+    sequence_within,
+    winner_per_key,
+)
 
 
 # --- flattening a nested site result ---------------------------------------------------------
@@ -163,9 +168,10 @@ def upsert_findings(
     """New snapshot of findings with `change`: NEW, REFRESHED or KEPT.
 
     Keys already stored keep everything but `last_found_at`, also their first address when the
-    key is the URL alone. The first row of a key in the delta wins.
+    key is the URL alone. The first row of a key in the
+    delta wins (by `delta_order` when the delta has that column, else the smallest).
     """
-    fresh = delta.dropDuplicates(list(keys)) if "delta_order" not in delta.columns else (
+    fresh = one_per_key(delta, keys) if "delta_order" not in delta.columns else (
         winner_per_key(delta, list(keys), [F.col("delta_order")]).drop("delta_order"))
     fields = [c for c in state.columns
               if c not in (*keys, "first_found_at", "last_found_at")]
@@ -199,7 +205,7 @@ def append_evidence(
         findings.select("canonical_email", "finding_id"), "canonical_email").join(
         pages.select(F.col("normalized_url").alias("page_url"), F.col("page_id")), "page_url")
     identity = ["finding_id", "page_id", "source_type", "candidate_hash"]
-    return resolved.dropDuplicates(identity).join(stored.select(*identity), identity, "left_anti")
+    return one_per_key(resolved, identity).join(stored.select(*identity), identity, "left_anti")
 
 
 def append_rejected(incoming: DataFrame, pages: DataFrame, stored: DataFrame) -> DataFrame:
@@ -208,7 +214,7 @@ def append_rejected(incoming: DataFrame, pages: DataFrame, stored: DataFrame) ->
     located = incoming.join(
         pages.select(F.col("normalized_url").alias("normalized_page_url"), "page_id"),
         "normalized_page_url", "left")
-    return located.dropDuplicates(identity).join(stored.select(*identity), identity, "left_anti")
+    return one_per_key(located, identity).join(stored.select(*identity), identity, "left_anti")
 
 
 def append_events(
@@ -223,7 +229,7 @@ def append_events(
 
 def page_rows(pages: DataFrame) -> DataFrame:
     """Pages once per (attempt, address) with a stable key column."""
-    return pages.dropDuplicates(["attempt_id", "normalized_url"]).withColumn(
+    return one_per_key(pages, ["attempt_id", "normalized_url"]).withColumn(
         "page_key", F.xxhash64("attempt_id", "normalized_url"))
 
 
