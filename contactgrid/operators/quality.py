@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,32 +12,77 @@ from contactgrid import reference_data as ref
 from contactgrid.operators.keyed import sequence_within
 
 
-def latency_percentiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact p50, p95 and p99 with linear interpolation; 0 for an empty input.
+def values_at_ranks(
+    df: DataFrame, value: str, by: Sequence[str], ranks: Callable[[Column], Column],
+    width: float = 1.0,
+) -> DataFrame:
+    """Values at given positions (from zero) of the sorted values of each group.
 
-    `percentile` keeps one counter per distinct value, so the state is bounded by the distinct
-    values and combined map-side. Values with high cardinality should be rounded first.
+    `ranks` maps the group size to an array of (name, rank). A histogram of `width`-wide buckets
+    tells which buckets hold the ranks; only their values are counted and ordered. No group is
+    sorted, and no task sees more than one bucket of distinct values.
     """
-    levels = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    stats = df.groupBy(*by).agg(F.percentile(value, levels).alias("p"))
-    return stats.select(*by, *[
-        F.coalesce(F.get("p", F.lit(i)), F.lit(0.0)).alias(name)
-        for i, name in enumerate(("p50", "p95", "p99"))])
+    df = df.filter(F.col(value).isNotNull()).withColumn(
+        "__bucket", F.floor(F.col(value) / width))
+    counts = df.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = counts.groupBy(*by).agg(F.sum("__n").alias("n"))
+    earlier = W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    wanted = sizes.select(*by, "n", F.inline(ranks(F.col("n"))))
+    hits = wanted.join(placed, list(by)).filter(
+        (F.col("__before") <= F.col("rank")) & (F.col("rank") < F.col("__before") + F.col("__n")))
+    keys = [*by, "__bucket"]
+    inside = df.join(hits.select(*keys).distinct(), keys, "left_semi").groupBy(
+        *keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy(value))
+    offset = F.col("rank") - F.col("__before")
+    return hits.join(inside.withColumn("__upto", upto), keys).filter(
+        (F.col("__upto") - F.col("__c") <= offset) & (offset < F.col("__upto"))
+    ).select(*by, "n", "name", "rank", value)
+
+
+PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def latency_percentiles(
+    df: DataFrame, value: str, by: Sequence[str] = (), width: float = 1.0
+) -> DataFrame:
+    """Exact p50, p95 and p99 with linear interpolation; 0 for an empty input."""
+    keys = list(by) or ["__all"]
+    df = df if by else df.withColumn("__all", F.lit(0))
 
+    def ranks(n: Column) -> Column:
+        entries = []
+        for name, level in PERCENTILES.items():
+            low = F.floor((n - 1) * level)
+            for side, rank in (("low", low), ("high", F.least(low + 1, n - 1))):
+                entries.append(F.struct(
+                    F.lit(f"{name}_{side}").alias("name"), rank.alias("rank")))
+        return F.array(*entries)
 
-def upper_median(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Element n // 2 (from zero) of the sorted values of each group.
+    found = values_at_ranks(df.select(*keys, value), value, keys, ranks, width)
 
-    Works on value counts: cumulative counts per distinct value find the element, no group is
-    sorted row by row.
-    """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(W.partitionBy(*by).orderBy(value))
-    total = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
-    ranked = counts.withColumn("__upto", upto).join(total, list(by))
-    target = F.floor(F.col("__all") / 2)
-    return ranked.filter(F.col("__upto") > target).groupBy(*by).agg(
-        F.min(value).alias("median"), F.first("__all").alias("n"))
+    def at(name: str) -> Column:
+        return F.max(F.when(F.col("name") == name, F.col(value)))
+
+    def interpolated(name: str, level: float) -> Column:
+        position = (F.max("n") - 1) * level
+        low = F.floor(position)
+        mixed = at(f"{name}_low") * (low + 1 - position) + at(f"{name}_high") * (position - low)
+        return F.coalesce(F.when(position == low, at(f"{name}_low")).otherwise(mixed),
+                          F.lit(0.0)).cast("double").alias(name)
+
+    grouped = found.groupBy(*by) if by else found.groupBy()
+    return grouped.agg(*[interpolated(name, level) for name, level in PERCENTILES.items()])
+
+
+def upper_median(df: DataFrame, value: str, by: Sequence[str], width: float = 1.0) -> DataFrame:
+    """Element n // 2 (from zero) of the sorted values of each group."""
+    found = values_at_ranks(
+        df.select(*by, value), value, by,
+        lambda n: F.array(F.struct(F.lit("median").alias("name"), F.floor(n / 2).alias("rank"))),
+        width)
+    return found.select(*by, F.col(value).alias("median"), "n")
 
 
 def run_metrics(urls: DataFrame, by: Sequence[str], seconds: str) -> DataFrame:
@@ -76,14 +121,18 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def phase_summary(df: DataFrame, phases: Mapping[str, Column], by: Sequence[str] = ()
                   ) -> DataFrame:
-    """Mean, maximum and p95 per phase, long form, in one grouped pass."""
+    """Mean, maximum and exact p95 per phase, long form."""
     listed = F.array(*[
         F.struct(F.lit(name).alias("phase"), value.cast("double").alias("seconds"))
         for name, value in phases.items()])
     long = df.select(*by, F.inline(listed)).filter(F.col("seconds").isNotNull())
-    return long.groupBy(*by, "phase").agg(
+    keys = [*by, "phase"]
+    stats = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"), F.avg("seconds").alias("mean_seconds"),
-        F.max("seconds").alias("max_seconds"), F.percentile("seconds", 0.95).alias("p95_seconds"))
+        F.max("seconds").alias("max_seconds"))
+    p95 = latency_percentiles(long, "seconds", keys).select(
+        *keys, F.col("p95").alias("p95_seconds"))
+    return stats.join(p95, keys)
 
 
 def constraint_rules() -> dict[str, Column]:
