@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactgrid import reference_data as ref
@@ -63,12 +64,10 @@ def findings_by(findings: DataFrame, jobs: DataFrame, column: str, known: Sequen
 def shares(df: DataFrame, column: str) -> DataFrame:
     """Share of each value in whole percent, halves rounded up."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("total"))
-    # both sides are one row per category and one row in all
-    joined = counts.withColumn("__one", F.lit(1)).join(
-        F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
+    # the window runs over one row per value, not over the table
+    total = F.sum("count").over(W.partitionBy(F.lit(0)))
     percent = F.floor(F.col("count") / F.col("total") * 100 + 0.5).cast("bigint")
-    return joined.select(column, "count", percent.alias("percent"))
+    return counts.withColumn("total", total).select(column, "count", percent.alias("percent"))
 
 
 def timeline(
