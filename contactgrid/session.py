@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +34,10 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in `spark.checkpoint.dir`.
 
-    Only a local session without that setting (a test) gets a temporary folder.
+    Where that is unset, the SQL warehouse, which executors share as well, holds it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="contactgrid-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or (
+        f"{spark.conf.get('spark.sql.warehouse.dir')}/_work")
     return f"{base}/{uuid.uuid4().hex}"
 
 
