@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker remembers before it starts anew; this bounds memory and changes no result.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: Texts of characters below this one need no composing, and both regular-expression libraries
 #: agree on their letters and digits.
 PLAIN = "\u0250"
