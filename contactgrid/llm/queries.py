@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("token_files", "packing", "quality")
+MODULES = ("token_files", "packing", "quality", "simhash")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
