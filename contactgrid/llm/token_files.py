@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from contactgrid.llm.queries import register
 from contactgrid.llm.storage import Workspace
-from contactgrid.llm.wordids import encoder, ship_vocabulary, vocabulary_file
+from contactgrid.llm.wordids import encoder, forget, ship_vocabulary, vocabulary_file
 from contactgrid.sources.tables import read_table
 
 ENCODED = "doc_id long, tie long, n_tokens long, width int, ids binary"
@@ -38,27 +38,51 @@ STORED = ("shard int, start_in_shard long, doc_id long, n_tokens long, control b
 LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64)
 
 
-def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values."""
+def binary_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of a binary column's values and all their bytes."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[
+        column.offset:column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return bounds - bounds[0], np.frombuffer(raw or b"", np.uint8)[bounds[0]:bounds[-1]]
+
+
+def binary_column(bounds: np.ndarray, raw: np.ndarray) -> pa.Array:
+    """Binary column of the pieces of `raw` between `bounds`."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [
+        None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Control bounds of each document, and the place of each value among the padded codes."""
+    bounds = np.r_[0, np.cumsum(-(-counts // 4))]
+    ends = np.cumsum(counts)
+    return bounds, np.arange(ends[-1] if len(ends) else 0) + np.repeat(
+        bounds[:-1] * 4 - ends + counts, counts)
+
+
+def pack_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control and data columns of documents that hold `counts` of the unsigned 32-bit `ranks`."""
     values = np.ascontiguousarray(ranks, "<u4")
     codes = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    used = np.arange(4) <= codes[:, None]
-    data = values.view(np.uint8).reshape(-1, 4)[used]
-    padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    padded[:len(values)] = codes
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= codes[:, None]]
+    bounds, places = _padded(counts)
+    padded = np.zeros(bounds[-1] * 4, np.uint8)
+    padded[places] = codes
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), data.tobytes()
+    passed = np.r_[0, np.cumsum(codes.astype(np.int64) + 1)]
+    return (binary_column(bounds, control),
+            binary_column(passed[np.r_[0, np.cumsum(counts)]], data))
 
 
-def unpack_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The values again: lengths by table lookup, then one gather for each byte place."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
+def unpack_ranks(control: pa.Array, data: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """All values again: lengths by table lookup, then one gather for each byte place."""
+    lengths = LENGTHS[binary_values(control)[1]].reshape(-1)[_padded(counts)[1]]
     starts = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    values = np.zeros(count, np.uint32)
-    for place in range(4):
-        values |= np.where(lengths > place, raw[starts + place * (lengths > place)], 0).astype(
-            np.uint32) << np.uint32(8 * place)
+    raw = np.r_[binary_values(data)[1], np.zeros(1, np.uint8)]
+    values = raw[starts].astype(np.uint32) if len(starts) else np.zeros(0, np.uint32)
+    for place in range(1, 4):
+        longer = np.flatnonzero(lengths > place)
+        values[longer] |= raw[starts[longer] + place].astype(np.uint32) << np.uint32(8 * place)
     return values
 
 
@@ -85,14 +109,20 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         encode, ENCODED)
 
 
+def stored_ids(widths: pa.Array, ids: pa.Array) -> np.ndarray:
+    """All ids of a batch of encoded documents."""
+    return binary_values(ids)[1].view(f"<u{widths[0].as_py()}")
+
+
 def count_ids(encoded: DataFrame) -> DataFrame:
     """token_id, occurrences over all documents; tasks send their sums once, at their end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column(0), batch.column(1), strict=True):
-                found = np.bincount(np.frombuffer(ids.as_py(), f"<u{width.as_py()}"),
+            if batch.num_rows:
+                found = np.bincount(stored_ids(batch.column(0), batch.column(1)),
                                     minlength=len(total))
                 found[:len(total)] += total
                 total = found
@@ -123,16 +153,17 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         ranks[row.token_id] = rank
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            packed = [pack_ranks(ranks[np.frombuffer(ids.as_py(), f"<u{width.as_py()}")])
-                      for width, ids in zip(batch.column(3), batch.column(4), strict=True)]
-            yield pa.record_batch([
-                batch.column(0), batch.column(1), batch.column(2),
-                pa.array([one[0] for one in packed], pa.binary()),
-                pa.array([one[1] for one in packed], pa.binary())],
-                names=["doc_id", "tie", "n_tokens", "control", "data"])
+            if batch.num_rows:
+                control, data = pack_ranks(ranks[stored_ids(batch.column(3), batch.column(4))],
+                                           batch.column(2).to_numpy())
+                yield pa.record_batch(
+                    [batch.column(0), batch.column(1), batch.column(2), control, data],
+                    names=["doc_id", "tie", "n_tokens", "control", "data"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             counts = batch.column(2).to_numpy()
@@ -151,8 +182,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     work.drop(encoded)
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (array) of every document of the files.
+def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, start, n_tokens, control, data of the files, and the id of each rank.
 
     `start` counts the ids of all documents before: the shard's base plus the place in the shard.
     """
@@ -163,42 +194,46 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     stored = spark.read.schema(STORED).parquet(f"{folder}/documents")
     bases = stored.groupBy("shard").agg(F.sum("n_tokens").alias("total")).select(
         "shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
+    return stored.join(bases, "shard").select(
+        "doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "control",
+        "data"), token_ids
+
+
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids (array) of every document of the files."""
+    stored, token_ids = _stored(spark, folder)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [token_ids[unpack_ranks(control.as_py(), data.as_py(), count.as_py())]
-                   for count, control, data in zip(batch.column(2), batch.column(3),
-                                                   batch.column(4), strict=True)]
-            bounds = np.concatenate([[0], np.cumsum([len(one) for one in ids])])
-            flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+            counts = batch.column(2).to_numpy()
+            ids = token_ids[unpack_ranks(batch.column(3), batch.column(4), counts)]
             yield pa.record_batch([
                 batch.column(0), batch.column(1), batch.column(2),
-                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
-                                         pa.array(flat.astype(np.int64)))],
+                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()),
+                                         pa.array(ids.astype(np.int64)))],
                 names=["doc_id", "start", "n_tokens", "ids"])
 
-    placed = stored.join(bases, "shard").select(
-        "doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "control",
-        "data")
-    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids array<long>")
+    return stored.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids array<long>")
 
 
-def with_checksums(decoded: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, and the crc32 of the ids as little-endian 32-bit integers."""
+def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens of every document, and the crc32 of its decoded ids as
+    little-endian 32-bit integers."""
+    stored, token_ids = _stored(spark, folder)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            lists = batch.column(3)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = np.cumsum(batch.column(2).to_numpy())
-            sums = [zlib.crc32(flat[end - n:end].tobytes())
-                    for end, n in zip(ends, batch.column(2).to_numpy(), strict=True)]
+            counts = batch.column(2).to_numpy()
+            ids = token_ids[unpack_ranks(batch.column(3), batch.column(4), counts)].astype("<u4")
+            ends = np.cumsum(counts)
+            sums = [zlib.crc32(ids[end - count:end].data) for end, count in
+                    zip(ends.tolist(), counts.tolist(), strict=True)]
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return decoded.mapInArrow(
-        digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return stored.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 @register("op2_token_files")
@@ -206,4 +241,4 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as token-id files, read them back, and return their checksums."""
     folder = Workspace(spark).path("token-files")
     write_token_files(read_table(spark, sf_dir, "documents"), folder, vocabulary_file())
-    return with_checksums(read_token_files(spark, folder))
+    return read_checksums(spark, folder)

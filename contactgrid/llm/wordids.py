@@ -113,3 +113,8 @@ def encoder(shipped) -> WordEncoder:
     found = _ENCODERS[vocabulary]
     found.make_room()
     return found
+
+
+def forget() -> None:
+    """Give back the memory of this worker's encoder; for the steps after the encoding."""
+    _ENCODERS.clear()
