@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("token_files", "packing", "quality", "simhash", "line_templates", "mixing")
+MODULES = ("token_counts", "token_files", "packing", "quality", "simhash", "line_templates",
+           "mixing", "neighbours")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
