@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from contactgrid.session import shared_folder
@@ -31,6 +33,11 @@ class Workspace:
         kept.path = path
         return kept
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of steps that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             remove_folder(self.spark, table.path)
