@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("token_counts", "token_files", "packing", "quality", "simhash", "line_templates",
+MODULES = ("token_counts", "token_files", "packing", "quality", "simhash", "line_templates", "warc",
            "mixing", "suffixes", "neighbours")
 
 
