@@ -91,7 +91,7 @@ def group_large(histogram: dict[int, int], smallest: int, groups: int) -> list[d
             taken = min(count, border - passed)
             found[-1][n] = taken
             passed, count = passed + taken, count - taken
-    return found
+    return [group for group in found if group]
 
 
 def best_configuration(sizes: list[int], worth: np.ndarray, capacity: int) -> np.ndarray:
