@@ -43,20 +43,26 @@ def hashed(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
 
 
-def masked(text: Column) -> Column:
-    """`text` with variable words replaced and blanks inside lines made single."""
-    return F.regexp_replace(F.regexp_replace(text, VARIABLE, WILD), r"[\x20\x09\x0B-\x0D]+", " ")
+def masked(line: Column) -> Column:
+    """A line with variable words replaced; most lines hold no digit and skip the search."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, WILD)).otherwise(line)
+
+
+def single_spaced(line: Column) -> Column:
+    """A line with blanks inside made single and those around it removed."""
+    return F.trim(F.when(line.rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(
+        line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line))
 
 
 def lines_of(text: Column) -> Column:
     """Masked lines of a text, in order; lines without a word are empty."""
-    return F.transform(F.split(masked(text), "\n", -1), F.trim)
+    return F.transform(F.transform(F.split(text, "\n", -1), masked), single_spaced)
 
 
 def leaf_of(line: Column) -> Column:
     """The tree path of a masked line: number of words, then the first words."""
-    words = F.split(line, " ", -1)
-    return F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, LEAD))
+    blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.concat_ws(" ", (blanks + 1).cast("string"), F.substring_index(line, " ", LEAD))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -76,13 +82,13 @@ def line_table(docs: DataFrame) -> DataFrame:
                        around.alias("around"))
 
 
-def recurring_lines(work: Workspace, lines: DataFrame, keys: DataFrame, min_docs: int) -> DataFrame:
+def recurring_lines(work: Workspace, lines: DataFrame, min_docs: int) -> DataFrame:
     """(leaf, hash) of every line whose template recurs.
 
-    `keys` is the narrow part of `lines`. Leaves below `min_docs` lines cannot hold a template and
+    Leaves below `min_docs` lines cannot hold a template and
     go first; what is left is grouped to distinct lines before words are compared.
     """
-    leaves = work.keep(keys.groupBy("leaf").agg(F.count("*").alias("n")).where(
+    leaves = work.keep(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(
         F.col("n") >= min_docs).select("leaf"), "leaves")
     busy = lines.join(leaves, "leaf", "left_semi")
     distinct = (busy.groupBy("leaf", "line", "hash", "around").agg(F.count("*").alias("n"))
@@ -119,10 +125,9 @@ def recurring_lines(work: Workspace, lines: DataFrame, keys: DataFrame, min_docs
 def mark_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     """row (struct of all columns), lines, gone: `docs` with the hashes of its recurring lines."""
     work = Workspace(docs.sparkSession)
-    lines = line_table(docs)
-    keys = work.keep(lines.select("doc_id", "tie", F.col("leaf"), "hash"), "line-keys")
-    found = work.keep(recurring_lines(work, lines, keys, min_docs), "recurring")
-    gone = keys.join(found, ["leaf", "hash"], "left_semi").groupBy("doc_id", "tie").agg(
+    lines = work.keep(line_table(docs), "lines")
+    found = work.keep(recurring_lines(work, lines, min_docs), "recurring")
+    gone = lines.select("doc_id", "tie", "leaf", "hash").join(found, ["leaf", "hash"], "left_semi").groupBy("doc_id", "tie").agg(
         F.collect_set("hash").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie"), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"),
