@@ -83,8 +83,8 @@ def _(spark, sf):
 def _timeline_sql(start: str, where: str) -> str:
     return views("jobs", "findings").rstrip() + f"""
 , picked AS (SELECT * FROM jobs WHERE {where}),
-  days AS (SELECT org_id, unnest(range(first_day, least(DATE '2001-08-02',
-      first_day + 364) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day
+  days AS (SELECT org_id, unnest(range(first_day,
+      DATE '2001-08-02' + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day
     FROM (SELECT org_id, {start} AS first_day FROM jobs GROUP BY org_id))
 SELECT d.org_id, strftime(d.day, '%Y-%m-%d') AS date,
   coalesce(s.n, 0) AS scans_created, coalesce(e.n, 0) AS emails_found

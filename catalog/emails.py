@@ -90,9 +90,7 @@ VISIBLE = {
     "visible": rf"""
       SELECT page_id, hostname, registrable_domain, normalized_url,
         array_to_string(list_filter(list_transform(
-          list_transform(pieces, lambda p, i: CASE WHEN i = length(pieces)
-            AND regexp_matches(p, '&[^\s;]{{0,33}}$') THEN '' ELSE p END),
-          lambda p: {_DECODED}), lambda p: regexp_matches(p, '[^\s\x{{a0}}]')), ' ') AS vtext
+          pieces, lambda p: {_DECODED}), lambda p: regexp_matches(p, '[^\s\x{{a0}}]')), ' ') AS vtext
       FROM (SELECT *, regexp_split_to_array(regexp_replace(html, '{_REMOVED}', '<x>', 'g'),
               '</?[a-zA-Z][^>]*>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\z') AS pieces FROM src)""",
 }
@@ -167,12 +165,11 @@ def _(spark, sf):
     return doc_rows(spark, sf).select("page_id", "raw_candidate", "snippet")
 
 
-@register("eml6_candidate_cap", DOCS + """
-SELECT page_id, raw_candidate FROM split
-QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ordinal) <= 1""")
+@register("eml6_candidate_order", DOCS + """
+SELECT page_id, raw_candidate, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ordinal) - 1
+  AS INTEGER) AS ordinal FROM split""")
 def _(spark, sf):
-    return doc_rows(spark, sf, ExtractionConfig(max_raw_candidates=1)).select(
-        "page_id", "raw_candidate")
+    return doc_rows(spark, sf).select("page_id", "raw_candidate", "ordinal")
 
 
 @register("eml7_validation_documents", DOCS + """
@@ -250,7 +247,7 @@ _FINDINGS = {"findings": """
     AS finding_rank
   FROM (SELECT * FROM cand WHERE rejection_code IS NULL QUALIFY row_number() OVER (
     PARTITION BY page_id, canonical_email ORDER BY length(snippet) DESC, raw_candidate, ordinal)
-    = 1) QUALIFY finding_rank <= 200"""}
+    = 1)"""}
 _EVIDENCE = {"evidence": f"""
   SELECT page_id, site, normalized_url AS source_url, canonical_email, 'VISIBLE_TEXT'
     AS source_kind, snippet, raw_candidate, {page_score('lower(path)', "lower(path) || ' '")}
@@ -326,11 +323,11 @@ def _(spark, sf):
 
 
 @register("eml18_sanitized_text", rf"""
-SELECT doc_id, nullif(left(trim(regexp_replace(regexp_replace(text,
-  '[\x00-\x1f\x7f-\x{{9f}}]+', ' ', 'g'), '{_WS}', ' ', 'g')), 500), '') AS clean FROM documents""")
+SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(text,
+  '[\x00-\x1f\x7f-\x{{9f}}]+', ' ', 'g'), '{_WS}', ' ', 'g')), '') AS clean FROM documents""")
 def _(spark, sf):
     return read_table(spark, sf, "documents").select(
-        "doc_id", sanitize_text(F.col("text"), 500).alias("clean"))
+        "doc_id", sanitize_text(F.col("text")).alias("clean"))
 
 
 _SITE = {"site_evidence": """

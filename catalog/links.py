@@ -13,7 +13,6 @@ from contactgrid.operators import frontier, jobs, robots
 from contactgrid.operators import links as L
 from contactgrid.plans import views as V
 from contactgrid.session import materialize
-from contactgrid.sources import synthetic
 from contactgrid.sources.tables import read_table
 
 TOKEN = "ContactBot"
@@ -46,7 +45,7 @@ ANCHORS = {
         ORDER BY score DESC, length(link_text) DESC, position) = 1""",
     "top": """
       SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS INTEGER)
-        AS rank FROM best QUALIFY rank <= 500""",
+        AS rank FROM best""",
     "ranked": f"""
       SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS INTEGER)
         AS rank FROM (
@@ -54,8 +53,7 @@ ANCHORS = {
           score > (SELECT own FROM home h WHERE h.page_id = t.page_id)
         UNION ALL SELECT h.page_id, source_url, source_url, own, own_signals FROM home h
         WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.page_id = h.page_id
-          AND t.url = h.source_url AND t.score > own))
-      QUALIFY rank <= 50""",
+          AND t.url = h.source_url AND t.score > own))""",
 }
 _HOME = f"""SELECT page_id, normalized_url AS source_url,
   {page_score('lower(path)', "lower(path) || ' home'")} AS own,
@@ -78,13 +76,6 @@ def _pages(spark, sf):
     return read_table(spark, sf, "pages")
 
 
-def _synthetic(spark, sf):
-    sites = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("n"))
-    pages = synthetic.site_pages(sites, "n")
-    return sites, pages.withColumn(
-        "page_id", F.xxhash64("url")).select("page_id", "site", "url", "html")
-
-
 @register("lnk1_anchors", _links("anchors") + """
 SELECT page_id, CAST(position AS INTEGER) AS position, href, link_text FROM anchors""")
 def _(spark, sf):
@@ -179,56 +170,41 @@ def _(spark, sf):
         "page_id", "outcome", F.size("links").alias("links"))
 
 
-_WALK = """
-WITH steps(visit, path, depth, score, links) AS (
-  VALUES (1, '/', 0, 50, 3), (2, '/contact', 1, 100, 0), (3, '/team', 1, 90, 0),
-    (4, '/about', 1, 80, 0))
-"""
-
-
-@register("lnk10_site_visits", _WALK + """
-SELECT c_custkey AS site, visit, 'https://site-' || c_custkey || '.org' || path AS url, depth,
-  score, 'FETCHED_AND_PROCESSED' AS page_outcome, links AS links_discovered,
-  'QUEUE_EXHAUSTED' AS stop_reason FROM customer, steps""")
-def _(spark, sf):
-    _, pages = _synthetic(spark, sf)
-    corpus = materialize(frontier.page_links(L.discover_links(pages), 100))
-    seeds = pages.filter(F.col("url").endswith(".org/")).select("site", "url")
-    return frontier.visit_sites(seeds, corpus).select(
-        "site", "visit", "url", "depth", "score", "page_outcome", "links_discovered",
-        "stop_reason")
-
-
 # no link of the test corpus leads to another stored page, so depth 1 is as far as a visit gets
-@register("lnk10_corpus_visits", _links("ranked").rstrip() + f"""
+BUDGET = SiteScanConfig(max_pages=10, max_depth=2, max_total_discovered_urls=100)
+_VISITS = _links("ranked").rstrip() + f"""
 , start AS (SELECT page_id, normalized_url, {page_score('lower(path)', "lower(path) || ' '")}
     AS score FROM src WHERE error_code IS NULL),
   stored AS (SELECT page_id, min(page_id) OVER (PARTITION BY normalized_url) AS kept FROM src),
   queue AS (SELECT s.page_id, url, score, 1 AS depth, row_number() OVER (PARTITION BY s.page_id
       ORDER BY score DESC, url) AS n FROM top t JOIN stored s ON s.kept = t.page_id
-    WHERE url <> source_url AND rank <= 100)
-SELECT page_id AS site, 1 AS visit, normalized_url AS url, 0 AS depth, score,
-  'FETCHED_AND_PROCESSED' AS page_outcome FROM start
-UNION ALL SELECT page_id, CAST(n + 1 AS INTEGER), url, 1, score,
-  CASE WHEN n < 10 THEN 'FETCH_FAILED' ELSE 'SKIPPED_BUDGET_REACHED' END FROM queue
-WHERE n < 100""")
-def _(spark, sf):
+    WHERE url <> source_url AND rank <= {BUDGET.max_total_discovered_urls}),
+  visits AS (SELECT page_id AS site, 1 AS visit, normalized_url AS url, 0 AS depth, score,
+      'FETCHED_AND_PROCESSED' AS page_outcome FROM start
+    UNION ALL SELECT page_id, CAST(n + 1 AS INTEGER), url, 1, score,
+      CASE WHEN n < {BUDGET.max_pages} THEN 'FETCH_FAILED' ELSE 'SKIPPED_BUDGET_REACHED' END
+    FROM queue WHERE n < {BUDGET.max_total_discovered_urls})"""
+
+
+def corpus_visits(spark, sf):
+    """Every stored page as a site of its own, visited within `BUDGET` over the stored pages."""
     pages = _pages(spark, sf)
-    corpus = materialize(frontier.page_links(L.discover_links(pages), 100))
+    corpus = materialize(frontier.page_links(L.discover_links(pages)))
     seeds = pages.select(F.col("page_id").alias("site"), "url")
-    return frontier.visit_sites(seeds, corpus).select(
+    return frontier.visit_sites(seeds, corpus, BUDGET).select(
         "site", "visit", "url", "depth", "score", "page_outcome")
 
 
-@register("lnk11_leftovers", _WALK + """
-SELECT c_custkey AS site, 'https://site-' || c_custkey || '.org' || path AS url, score
-FROM customer, steps WHERE visit > 2""")
+@register("lnk10_corpus_visits", _VISITS + "SELECT * FROM visits")
+def _(spark, sf):
+    return corpus_visits(spark, sf)
+
+
+@register("lnk11_leftovers", _VISITS + """
+SELECT site, url, score FROM visits WHERE page_outcome = 'SKIPPED_BUDGET_REACHED'""")
 def _(spark, sf):
-    _, pages = _synthetic(spark, sf)
-    corpus = materialize(frontier.page_links(L.discover_links(pages), 100))
-    seeds = pages.filter(F.col("url").endswith(".org/")).select("site", "url")
-    visits = frontier.visit_sites(seeds, corpus, config=SiteScanConfig(max_pages=2))
-    return visits.filter("page_outcome = 'SKIPPED_BUDGET_REACHED'").select("site", "url", "score")
+    return corpus_visits(spark, sf).filter("page_outcome = 'SKIPPED_BUDGET_REACHED'").select(
+        "site", "url", "score")
 
 
 # URL rows as the page records of their job: visiting order is the position in the job
@@ -348,15 +324,6 @@ def _(spark, sf):
     return robots.crawl_delays(robots.rule_lines(robots_files(spark, sf)), TOKEN)
 
 
-@register("src6_synthetic_corpus", """
-WITH t(path, length_rule) AS (VALUES ('/', 0), ('/about', 0), ('/contact', 0), ('/team', 0))
-SELECT c_custkey AS site, 'https://site-' || c_custkey || '.org' || path AS url
-FROM customer, t""")
-def _(spark, sf):
-    _, pages = _synthetic(spark, sf)
-    return pages.filter(F.col("html").contains("site-")).select("site", "url")
-
-
 @register("set3_source_and_links", _links("ranked") + """
 SELECT page_id, count(*) AS candidates, count(*) FILTER (url = source_url) AS own
 FROM ranked GROUP BY page_id""")

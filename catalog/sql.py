@@ -148,7 +148,7 @@ def parsed(name: str, source: str, key: str, raw: str) -> dict[str, str]:
               regexp_extract(v, '^[^:]+://[^/?#]*([^?#]*)', 1) AS raw_path,
               regexp_extract(v, '^[^?#]*\?([^#]*)', 1) AS q FROM {name}_a)""",
         f"{name}_c": rf"""
-      SELECT *, CASE WHEN t = '' THEN 'EMPTY_INPUT' WHEN length(t) > 8192 THEN 'INPUT_TOO_LONG'
+      SELECT *, CASE WHEN t = '' THEN 'EMPTY_INPUT'
         WHEN s NOT IN ('http', 'https') THEN 'UNSUPPORTED_SCHEME'
         WHEN contains(authority, '@') THEN 'CREDENTIALS_NOT_ALLOWED'
         WHEN h = '' THEN 'MISSING_HOST'

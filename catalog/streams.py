@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import register
-from catalog.windows import _HALF_HOUR
 from contactgrid.plans import views as V
 from contactgrid.streaming import jobs as S
 from contactgrid.streaming.runtime import drain, read_stream
@@ -30,7 +29,7 @@ FROM c WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def _(spark, sf):
     k = F.from_json("props", "k bigint")["k"]
     rows = event_stream(spark, sf).withColumn("checksum", (k % 3).cast("string"))
-    return drain(S.replay_status(rows, ["user_id", "event_type"], "ts", "event_id"))
+    return S.replay_status(rows, ["user_id", "event_type"], "ts", "event_id")
 
 
 @register("str2_first_results", """
@@ -51,16 +50,7 @@ WHERE {kind} (epoch_us(next_ts) > epoch_us(ts) + {ttl} OR (next_ts IS NULL
 
 @register("str3_presence_expiry", _LAPSES.format(ttl=45_000_000, kind=""))
 def _(spark, sf):
-    return drain(S.presence_expiry(event_stream(spark, sf), "user_id", "ts", "event_id"))
-
-
-@register("str4_reservations")
-def _(spark, sf):
-    k = F.from_json("props", "k bigint")["k"]
-    rows = event_stream(spark, sf).select(
-        (F.col("user_id") % 3).alias("domain"), "event_id",
-        F.floor(F.unix_millis("ts") / 60).alias("now_ms"), (k * 100).alias("delay_ms"))
-    return drain(S.reservations(rows, "domain", "now_ms", "event_id", "delay_ms"))
+    return S.presence_expiry(event_stream(spark, sf), "user_id", "ts", "event_id")
 
 
 @register("str5_lease_expiry", _LAPSES.format(
@@ -68,7 +58,7 @@ def _(spark, sf):
 def _(spark, sf):
     until = F.when(F.col("event_type").isin("view", "click"),
                    F.col("ts") + F.expr("interval 1 hour"))
-    return drain(S.lease_expiry(event_stream(spark, sf), "user_id", "ts", "event_id", until))
+    return S.lease_expiry(event_stream(spark, sf), "user_id", "ts", "event_id", until)
 
 
 @register("str6_throughput", """
@@ -82,13 +72,6 @@ def _(spark, sf):
     return drain(counts).select(F.unix_micros("window_start").alias("start_us"), "terminal")
 
 
-@register("str7_limiter_stream")
-def _(spark, sf):
-    rows = event_stream(spark, sf).withColumn("at", F.unix_micros("ts"))
-    return drain(S.limiter(rows, "event_type", "at", "event_id", limit=3,
-                           window_us=_HALF_HOUR * 4))
-
-
 @register("str8_upsert_stream", """
 WITH d AS (SELECT user_id AS job_id, event_type || '@shop.com' AS canonical_email,
     min(ts) AS first_seen, bool_or(event_id % 2 = 0) AS in_state, bool_or(event_id % 3 = 0) AS seen

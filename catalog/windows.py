@@ -149,10 +149,3 @@ def _(spark, sf):
         F.regexp_extract("url", "://([^/?#]+)", 1).alias("original_input"))
     work = coalesce_batch(rows).filter(F.col("item_role") == "OWNER")
     return interleave_by_domain(work).select("original_index", "domain_key", "domain_rank")
-
-
-@register("str7_limiter_batch")
-def _(spark, sf):
-    rows = V.events(spark, sf).select("event_id", "event_type", F.unix_micros("ts").alias("at"))
-    return S.limiter_decisions(rows, "event_type", "at", "event_id", limit=3,
-                               window=_HALF_HOUR * 4)

@@ -1,4 +1,4 @@
-"""Frozen settings passed to operators; defaults are the engine's documented limits."""
+"""Frozen settings passed to operators. A limit that is None does not limit."""
 
 from __future__ import annotations
 
@@ -10,23 +10,25 @@ from contactgrid import reference_data as ref
 
 def _at_least_one(settings: object, *names: str) -> None:
     for name in names:
-        if getattr(settings, name) < 1:
+        value = getattr(settings, name)
+        if value is not None and value < 1:
             raise ValueError(f"INVALID_LIMIT: {name} must be at least 1.")
 
 
 @dataclass(frozen=True)
 class DiscoveryConfig:
     scope: str = "SAME_REGISTRABLE_DOMAIN"
-    max_html_chars: int = 1_000_000
-    max_raw_anchors: int = 2_000
-    max_discovered_links: int = 500
-    max_ranked_pages: int = 50
+    max_html_chars: int | None = None
+    max_raw_anchors: int | None = None
+    max_discovered_links: int | None = None
+    max_ranked_pages: int | None = None
     asset_extensions: tuple[str, ...] = ref.ASSET_EXTENSIONS
 
     def __post_init__(self) -> None:
         _at_least_one(self, "max_html_chars", "max_raw_anchors", "max_discovered_links",
                       "max_ranked_pages")
-        if self.max_ranked_pages > self.max_discovered_links:
+        if (self.max_ranked_pages is not None and self.max_discovered_links is not None
+                and self.max_ranked_pages > self.max_discovered_links):
             raise ValueError("INVALID_LIMIT: max_ranked_pages exceeds max_discovered_links.")
         if self.scope not in ("SAME_ORIGIN", "SAME_REGISTRABLE_DOMAIN"):
             raise ValueError(f"unknown scope {self.scope!r}")
@@ -34,10 +36,10 @@ class DiscoveryConfig:
 
 @dataclass(frozen=True)
 class ExtractionConfig:
-    max_html_chars: int = 1_000_000
-    max_raw_candidates: int = 2_000
-    max_accepted_findings: int = 200
-    max_rejected_candidates: int = 200
+    max_html_chars: int | None = None
+    max_raw_candidates: int | None = None
+    max_accepted_findings: int | None = None
+    max_rejected_candidates: int | None = None
     max_evidence_length: int = 120
     allow_obfuscated: bool = True
     allow_external_domains: bool = True
@@ -53,15 +55,16 @@ class ExtractionConfig:
 
 @dataclass(frozen=True)
 class SiteScanConfig:
-    max_pages: int = 10
-    max_depth: int = 2
-    max_total_discovered_urls: int = 100
-    max_rejected_candidates: int = 500
+    """Budgets of a visit; a best-first visit is defined by them, so they have no defaults."""
+
+    max_pages: int
+    max_depth: int
+    max_total_discovered_urls: int
     discovery: DiscoveryConfig = field(default_factory=DiscoveryConfig)
     extraction: ExtractionConfig = field(default_factory=ExtractionConfig)
 
     def __post_init__(self) -> None:
-        _at_least_one(self, "max_pages", "max_total_discovered_urls", "max_rejected_candidates")
+        _at_least_one(self, "max_pages", "max_total_discovered_urls")
         if self.max_depth < 0:
             raise ValueError("INVALID_LIMIT: max_depth must be non-negative.")
 
@@ -101,10 +104,10 @@ class IngestLimits:
 
 @dataclass(frozen=True)
 class ResultCaps:
-    max_pages: int = 100
-    max_findings: int = 500
-    max_rejected: int = 500
-    max_snippet_length: int = 255
-    max_error_length: int = 500
-    max_redirect_hops: int = 20
-    max_connection_attempts: int = 20
+    max_pages: int | None = None
+    max_findings: int | None = None
+    max_rejected: int | None = None
+    max_snippet_length: int | None = None
+    max_candidate_length: int | None = None
+    max_content_type_length: int | None = None
+    max_redirect_hops: int | None = None

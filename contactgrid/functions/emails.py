@@ -23,6 +23,7 @@ from contactgrid.functions.text import (
     collapse_space,
     decode_entities,
     evidence_snippet,
+    first_items,
     is_ascii,
     strip_space,
 )
@@ -117,7 +118,7 @@ def candidate_stages(config: ExtractionConfig, from_html: bool) -> tuple[Stage,
         groups = [c("mailto"), plain_candidates(c("visible_text"), config)]
         if config.allow_obfuscated:
             groups.append(obfuscated_candidates(c("visible_text"), config))
-        return {"candidates": F.slice(F.concat(*groups), 1, config.max_raw_candidates)}
+        return {"candidates": first_items(F.concat(*groups), config.max_raw_candidates)}
 
     if from_html:
         return (*html.visible_text_stages(), mailto, collected)

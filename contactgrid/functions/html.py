@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactgrid.functions.stages import Getter, Stage
-from contactgrid.functions.text import SPACE, collapse_space, decode_entities
+from contactgrid.functions.text import SPACE, collapse_space, decode_entities, first_items
 
 _ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
 TAG = rf"</?[a-zA-Z]{_ATTRIBUTES}|<[!?][^>]*+>|<[a-zA-Z/!?][^>]*+\z"
@@ -21,8 +21,6 @@ ANCHOR_START = rf"(?i)<a\s{_HREF}"
 BASE_HREF = rf"""(?i)<base\s{_HREF}("[^"]++"|'[^']++'|[^\s>"']++)"""
 MAILTO_HREF = rf"""(?i)<a\s{_HREF}("\s*+mailto:[^"]*+"|'\s*+mailto:[^']*+'|mailto:[^\s>]*+)"""
 _ANCHOR_BODY = rf"""(?is)^(?:"[^"]*+"|'[^']*+'|[^\s>]*+){_ATTRIBUTES}(.*?</a)\s*+>"""
-# a reference cut off by the end of the document holds back the text before it
-_PENDING_REFERENCE = r"&[^\s;]{0,33}\z"
 
 
 def _without(*elements: str) -> str:
@@ -55,14 +53,14 @@ def _leading_value(segment: Column) -> Column:
         F.regexp_extract(segment, r"^[^\s>]*+", 0))
 
 
-def anchors(clean_html: Column, limit: int) -> Column:
+def anchors(clean_html: Column, limit: int | None) -> Column:
     """Array of (value, inner) for `<a href>` elements that close, in document order."""
     segments = F.slice(F.split(clean_html, ANCHOR_START), 2, 1_000_000_000)
     found = F.transform(segments, lambda s: F.struct(
         _leading_value(s).alias("value"), F.regexp_extract(s, _ANCHOR_BODY, 1).alias("inner")))
     # the inner part ends with the closing tag, so it is blank only when nothing closed
     usable = F.filter(found, lambda a: (a["value"] != "") & (a["inner"] != ""))
-    return F.transform(F.slice(usable, 1, limit), lambda a: F.struct(
+    return F.transform(first_items(usable, limit), lambda a: F.struct(
         a["value"].alias("value"),
         F.substr(a["inner"], F.lit(1), F.length(a["inner"]) - 3).alias("inner")))
 
@@ -84,14 +82,8 @@ def visible_text_stages() -> tuple[Stage, ...]:
         return {"pieces": F.split(c("clean_html"), TAG)}
 
     def text(c: Getter) -> dict[str, Column]:
-        last = F.size(c("pieces")) - 1
-
-        def decoded(piece: Column, at: Column) -> Column:
-            held_back = (at == last) & piece.rlike(_PENDING_REFERENCE)
-            return F.when(held_back, F.lit("")).otherwise(decode_entities(piece))
-
         shown = F.filter(
-            F.transform(c("pieces"), decoded), lambda p: p.rlike(f"[^{SPACE}]"))
+            F.transform(c("pieces"), lambda p: decode_entities(p)), lambda p: p.rlike(f"[^{SPACE}]"))
         return {"visible_text": F.array_join(shown, " ")}
 
     return (clean, pieces, text)

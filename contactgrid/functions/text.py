@@ -40,10 +40,20 @@ def collapse_space(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, rf"[{SPACE}]++", " "))
 
 
-def sanitize_text(value: Column, max_length: int = 500) -> Column:
-    """Control characters to blanks, blanks collapsed, empty text to null, cut to `max_length`."""
+def first_chars(value: Column, limit: int | None) -> Column:
+    """The first `limit` characters; all of them without a limit."""
+    return value if limit is None else F.substring(value, 1, limit)
+
+
+def first_items(values: Column, limit: int | None) -> Column:
+    """The first `limit` elements; all of them without a limit."""
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def sanitize_text(value: Column, max_length: int | None = None) -> Column:
+    """Control characters to blanks, blanks collapsed, empty text to null."""
     cleaned = collapse_space(F.regexp_replace(value, r"[\x00-\x1f\x7f-\x9f]++", " "))
-    return F.when(cleaned != "", F.substring(cleaned, 1, max_length))
+    return F.when(cleaned != "", first_chars(cleaned, max_length))
 
 
 def csv_cell(value: Column) -> Column:

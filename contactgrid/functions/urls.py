@@ -18,7 +18,6 @@ from contactgrid.functions.suffixes import (
 )
 from contactgrid.functions.text import is_ascii, sanitize_text, strip_space
 
-MAX_URL_LENGTH = 8192
 # characters whose compatibility form contains one of / ? # @ : (fixed values)
 _DELIMITER_LOOKALIKES = (
     r"\x{2100}\x{2101}\x{2105}\x{2106}\x{2a74}\x{fe13}\x{fe16}\x{fe55}\x{fe56}\x{fe5f}\x{fe6b}"
@@ -31,7 +30,9 @@ URL_FIELDS = (
 
 
 @lru_cache(maxsize=None)
-def normalization_stages(rules: SuffixRules = DEFAULT_RULES) -> tuple[Stage, ...]:
+def normalization_stages(
+    rules: SuffixRules = DEFAULT_RULES, max_length: int | None = None
+) -> tuple[Stage, ...]:
     """Stages from `raw` to the fields of `URL_FIELDS` (plus working values)."""
 
     def whole(c: Getter) -> dict[str, Column]:
@@ -104,9 +105,10 @@ def normalization_stages(rules: SuffixRules = DEFAULT_RULES) -> tuple[Stage, ...
         text = c("trimmed")
         bad_bracket_host = c("bracketed") & ~c("is_v6") & ~c("bare_host").rlike(
             r"^v[0-9a-f]+\..+$")
+        too_long = F.lit(False) if max_length is None else F.length(text) > max_length
         code = (
             F.when(text == "", F.lit("EMPTY_INPUT"))
-            .when(F.length(text) > MAX_URL_LENGTH, F.lit("INPUT_TOO_LONG"))
+            .when(too_long, F.lit("INPUT_TOO_LONG"))
             .when(c("broken") | bad_bracket_host, F.lit("INVALID_URL"))
             .when(~c("scheme").isin("http", "https"), F.lit("UNSUPPORTED_SCHEME"))
             .when(c("authority").contains("@"), F.lit("CREDENTIALS_NOT_ALLOWED"))
@@ -171,7 +173,7 @@ def storage_url(url: Column) -> Column:
     broken = _broken_port(netloc)
     return (
         F.when(text == "", F.lit(""))
-        .when(broken, F.coalesce(sanitize_text(url, 2000), F.lit("")))
+        .when(broken, F.coalesce(sanitize_text(url), F.lit("")))
         .when(host == "", strip_space(path))
         .otherwise(clean)
     )

@@ -16,8 +16,6 @@ from contactgrid import reference_data as ref
 from contactgrid.operators.keyed import top_per_key
 from contactgrid.operators.paging import in_period, period_bounds
 
-MAX_TIMELINE_DAYS = 365
-
 
 def job_totals(jobs: DataFrame) -> DataFrame:
     """Counts and null-safe sums per tenant with the success rate."""
@@ -71,12 +69,14 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 
 
 def timeline(
-    jobs: DataFrame, findings: DataFrame, now: Column, period: str = "all"
+    jobs: DataFrame, findings: DataFrame, now: Column, period: str = "all",
+    max_days: int | None = None,
 ) -> DataFrame:
     """Daily jobs created and addresses found per tenant on a dense calendar.
 
     Addresses are bucketed by their own first date but selected by the job's creation date. The
-    calendar of "all" starts at the tenant's first job; at most 365 days are listed, oldest first.
+    calendar of "all" starts at the tenant's first job and ends with `now`; `max_days` lists only the
+    first days.
     """
     selected = in_period(jobs, "created_at", now, period)
     day = F.date_format("created_at", "yyyy-MM-dd")
@@ -90,7 +90,9 @@ def timeline(
     first = jobs.groupBy("org_id").agg(F.to_date(F.min("created_at")).alias("__first"))
     if start is not None:
         first = first.withColumn("__first", F.to_date(start))
-    last = F.least(F.to_date(end), F.date_add("__first", MAX_TIMELINE_DAYS - 1))
+    last = F.to_date(end)
+    if max_days is not None:
+        last = F.least(last, F.date_add("__first", max_days - 1))
     days = first.filter(F.col("__first") <= F.to_date(end)).select(
         "org_id", F.explode(F.sequence("__first", last)).alias("day"))
     calendar = days.select("org_id", F.date_format("day", "yyyy-MM-dd").alias("date"))

@@ -35,7 +35,8 @@ def page_candidates(
     """
     source = "html" if content == "html" else "visible_text"
     pages = with_source(pages, rules=rules)
-    too_large = F.length(content) > config.max_html_chars
+    too_large = F.lit(False) if config.max_html_chars is None else (
+        F.length(content) > config.max_html_chars)
     usable = F.col("source_error_code").isNull() & ~too_large
     pages = pages.withColumn("too_large", too_large)
     found = run_on_columns(
@@ -114,7 +115,7 @@ def page_findings(
     """One finding per (page, canonical e-mail) with its representative candidate.
 
     Representative: source priority, then longer snippet, then smaller raw text. A combined
-    aggregate picks it; a page has at most `max_raw_candidates` candidates.
+    aggregate picks it.
     """
     accepted = rows.filter(F.col("rejection_code").isNull()).select(
         "page_id", *keep, "canonical_email",
@@ -125,8 +126,12 @@ def page_findings(
         -source_priority(F.col("source_kind")), -F.length("snippet"), F.col("raw_candidate"),
         F.col("ordinal")]).drop("ordinal")
     rank = F.row_number().over(W.partitionBy("page_id").orderBy("canonical_email"))
-    return best.withColumn("finding_rank", rank).filter(
-        F.col("finding_rank") <= config.max_accepted_findings)
+    return _ranked(best, "finding_rank", rank, config.max_accepted_findings)
+
+
+def _ranked(rows: DataFrame, name: str, rank: Column, limit: int | None) -> DataFrame:
+    ranked = rows.withColumn(name, rank)
+    return ranked if limit is None else ranked.filter(F.col(name) <= limit)
 
 
 def page_evidence(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -143,14 +148,14 @@ def page_evidence(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def rejected_candidates(
     rows: DataFrame, config: ExtractionConfig = ExtractionConfig()
 ) -> DataFrame:
-    """Distinct rejected candidates per page, ordered by (raw text, code), capped."""
+    """Distinct rejected candidates per page, ordered by (raw text, code)."""
     distinct = rows.filter(F.col("rejection_code").isNotNull()).select(
         "page_id", F.col("source_normalized_url").alias("source_url"), "raw_candidate",
         "rejection_code", "reason", "source_kind", "snippet").distinct()
     order = W.partitionBy("page_id").orderBy(
         "raw_candidate", "rejection_code", "source_kind", "snippet")
-    return distinct.withColumn("rejected_rank", F.row_number().over(order)).filter(
-        F.col("rejected_rank") <= config.max_rejected_candidates)
+    return _ranked(distinct, "rejected_rank", F.row_number().over(order),
+                   config.max_rejected_candidates)
 
 
 def page_outcomes(

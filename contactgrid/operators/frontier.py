@@ -19,18 +19,19 @@ from contactgrid.config import SiteScanConfig
 from contactgrid.functions import scoring
 from contactgrid.operators.keyed import winner_per_key
 from contactgrid.operators.links import with_source
+from contactgrid.session import materialize
 
 _VISIT_SCHEMA = (
     "{name} {kind}, visit int, url string, depth int, score int, page_outcome string,"
     " fetch_outcome string, links_discovered int, stop_reason string, urls_discovered int")
 
 
-def page_links(discovered: DataFrame, limit: int) -> DataFrame:
-    """Link lists keyed by page address: (url, links of (url, score)), the first `limit`.
+def page_links(discovered: DataFrame) -> DataFrame:
+    """Link lists keyed by page address: (url, links of (url, score)).
 
     Pages stored twice under one normalized address count once: the smallest page id is kept.
     """
-    links = F.transform(F.slice("links", 1, limit), lambda k: F.struct(
+    links = F.transform("links", lambda k: F.struct(
         k["url"].alias("url"), k["score"].alias("score")))
     listed = discovered.filter(F.col("source_error_code").isNull()).select(
         F.col("source_normalized_url").alias("url"), "page_id", links.alias("links"),
@@ -49,7 +50,8 @@ def reachable_pages(
     level = seeds.select(site, "url").distinct()
     found = None
     for depth in range(config.max_depth + 1):
-        fetched = level.join(corpus, "url", "left").withColumn("level", F.lit(depth))
+        # written once: the next level and the result both read it
+        fetched = materialize(level.join(corpus, "url", "left").withColumn("level", F.lit(depth)))
         found = fetched if found is None else found.unionByName(fetched)
         if depth < config.max_depth:
             level = fetched.select(site, F.explode(F.slice(
@@ -59,8 +61,7 @@ def reachable_pages(
 
 
 def visit_sites(
-    seeds: DataFrame, corpus: DataFrame, site: str = "site",
-    config: SiteScanConfig = SiteScanConfig(),
+    seeds: DataFrame, corpus: DataFrame, config: SiteScanConfig, site: str = "site",
 ) -> DataFrame:
     """Page records per site in visiting order, then the leftover pages of the frontier.
 
@@ -78,15 +79,16 @@ def visit_sites(
                            ).alias("start_score"))
     pages = reachable_pages(start, corpus, site, config)
     known = F.col("links").isNotNull()
+    listed = F.slice("links", 1, config.max_total_discovered_urls)
     outcome = F.coalesce(F.col("fetch_outcome"), F.when(known, F.lit("SUCCESS")).otherwise(
         F.lit("HTTP_ERROR")))
     rows = pages.join(start.withColumnRenamed("url", "start_url"), site).select(
         site, "url", "start_url", "start_score", outcome.alias("fetch_outcome"),
         F.coalesce("robots_decision", F.lit("ALLOWED")).alias("robots_decision"),
         F.coalesce("links_discovered", F.lit(0)).alias("links_discovered"),
-        F.coalesce(F.transform("links", lambda k: k["url"]), F.array().cast(
+        F.coalesce(F.transform(listed, lambda k: k["url"]), F.array().cast(
             "array<string>")).alias("link_urls"),
-        F.coalesce(F.transform("links", lambda k: k["score"]), F.array().cast(
+        F.coalesce(F.transform(listed, lambda k: k["score"]), F.array().cast(
             "array<int>")).alias("link_scores")).dropDuplicates([site, "url"])
     schema = _VISIT_SCHEMA.format(name=site, kind=seeds.schema[site].dataType.simpleString())
     # sites stream through a task one after the other; the state is one site's bounded page set

@@ -16,7 +16,7 @@ from contactgrid.config import DiscoveryConfig
 from contactgrid.functions import html, scoring, urls
 from contactgrid.functions.stages import Getter, Stage, run_on_columns, run_on_elements
 from contactgrid.functions.suffixes import DEFAULT_RULES, SuffixRules
-from contactgrid.functions.text import decode_entities, strip_space
+from contactgrid.functions.text import decode_entities, first_chars, first_items, strip_space
 
 SOURCE_FIELDS = ("normalized_url", "scheme", "hostname", "port", "path", "query",
                  "registrable_domain", "error_code")
@@ -119,7 +119,7 @@ def _page_stages(config: DiscoveryConfig, rules: SuffixRules) -> tuple[Stage, ..
     """From `html` and the parsed source (`source_*`) to `found` anchors and the base address."""
 
     def clean(c: Getter) -> dict[str, Column]:
-        cut = F.substring(c("html"), 1, config.max_html_chars)
+        cut = first_chars(c("html"), config.max_html_chars)
         return {"clean_html": html.drop_noise(cut, html.LINK_NOISE)}
 
     def anchors(c: Getter) -> dict[str, Column]:
@@ -243,7 +243,7 @@ def resolved_anchors(
 
 
 @lru_cache(maxsize=None)
-def _link_arrays(names: tuple[str, ...], limit: int) -> tuple[Column, Column, Column]:
+def _link_arrays(names: tuple[str, ...], limit: int | None) -> tuple[Column, Column, Column]:
     """Columns for the usable anchors, the best anchor per target, and the ranked links."""
     elements = F.transform(
         F.filter("found", lambda a: ~is_rejected_scheme(a["href"])),
@@ -252,7 +252,7 @@ def _link_arrays(names: tuple[str, ...], limit: int) -> tuple[Column, Column, Co
     best = F.transform(_first_per_target(F.col("__ordered")), lambda e: F.struct(
         *[e["entry"][n].alias(n) for n in (
             "low", "url", "link_text", "raw_href", "same_origin", "same_domain", "signals")]))
-    links = F.transform(F.slice(F.array_sort("__best"), 1, limit), lambda e: F.struct(
+    links = F.transform(first_items(F.array_sort("__best"), limit), lambda e: F.struct(
         (-e["low"]).alias("score"), *[e[n].alias(n) for n in (
             "url", "link_text", "raw_href", "same_origin", "same_domain", "signals")]))
     return elements, best, links
@@ -265,7 +265,7 @@ def discover_links(
     """One row per page: parsed source, outcome, and `links` in rank order.
 
     `links` holds (score, url, link_text, raw_href, same_origin, same_domain, signals): the best
-    anchor per target (score, then longer text, then first seen), best targets first, capped.
+    anchor per target (score, then longer text, then first seen), best targets first.
     """
     df = raw_anchors(pages, config, rules)
     names = [*BASE_FIELDS, *(c for c in df.columns if c.startswith("source_"))]
@@ -314,7 +314,7 @@ def rank_pages(
     others = F.transform(
         F.filter("links", lambda k: (k["url"] != source) | (k["score"] > own_score)),
         lambda k: entry(k["url"], k["score"], k["signals"], k["link_text"]))
-    ranked = F.slice(F.array_sort(F.concat(others, own)), 1, config.max_ranked_pages)
+    ranked = first_items(F.array_sort(F.concat(others, own)), config.max_ranked_pages)
     return df.select("page_id", source.alias("source_url"),
                      F.posexplode_outer(ranked).alias("rank", "page")).filter(
         "rank is not null").select(

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CURSOR_VERSION = 1
-MAX_CURSOR_BYTES = 4096
 PERIOD_DAYS = {"7d": 7, "30d": 30, "90d": 90}
 
 
@@ -82,9 +81,13 @@ def encode_cursor(resource: str, values: Sequence[Column]) -> Column:
     return F.rtrim(F.translate(F.regexp_replace(token, r"\s", ""), "+/", "-_"), F.lit("="))
 
 
-def decode_cursor(token: Column, resource: str, size: int) -> Column:
+def decode_cursor(
+    token: Column, resource: str, size: int, max_bytes: int | None = None
+) -> Column:
     """Values of a cursor token, null when the token does not fit version, resource or size."""
-    well_formed = token.rlike("^[A-Za-z0-9_-]+$") & (F.octet_length(token) <= MAX_CURSOR_BYTES)
+    well_formed = token.rlike("^[A-Za-z0-9_-]+$")
+    if max_bytes is not None:
+        well_formed = well_formed & (F.octet_length(token) <= max_bytes)
     padded = F.rpad(
         F.translate(token, "-_", "+/"),
         (F.ceil(F.length(token) / 4) * 4).cast("int"), F.lit("="))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contactgrid import reference_data as ref
 from contactgrid.config import ResultCaps
 from contactgrid.functions import emails, urls
-from contactgrid.functions.text import csv_cell, sanitize_text
+from contactgrid.functions.text import csv_cell, first_chars, first_items, sanitize_text
 from contactgrid.operators.jobs import error_classification
 from contactgrid.operators.keyed import (
     null_safe_join,
@@ -22,16 +22,17 @@ from contactgrid.operators.keyed import (
 
 # --- flattening a nested site result ---------------------------------------------------------
 def map_pages(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFrame:
-    """Page rows of nested results (result_id, page_records array); caps apply in array order."""
+    """Page rows of nested results (result_id, page_records array); caps, if any, apply in array order."""
     records = results.select(
-        "result_id", F.posexplode(F.slice("page_records", 1, caps.max_pages)).alias("seq", "p"))
+        "result_id", F.posexplode(first_items(
+            F.col("page_records"), caps.max_pages)).alias("seq", "p"))
     requested = urls.storage_url(F.col("p.requested_url"))
     return records.select(
         "result_id", "seq", requested.alias("normalized_url"),
         F.when(F.col("p.final_url").isNotNull(), urls.storage_url(F.col("p.final_url"))
                ).otherwise(requested).alias("final_url"),
         "p.depth", "p.outcome", "p.fetch_outcome", "p.status_code",
-        sanitize_text(F.col("p.content_type"), 100).alias("content_type"),
+        sanitize_text(F.col("p.content_type"), caps.max_content_type_length).alias("content_type"),
         F.coalesce("p.page_score", F.lit(0)).alias("page_score"),
         F.lit(ref.RANKING_VERSION).alias("ranking_version"),
         "p.robots_decision", "p.links_discovered_count", "p.emails_found_count")
@@ -39,7 +40,7 @@ def map_pages(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFrame:
 
 def map_findings(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFrame:
     rows = results.select("result_id", F.posexplode(
-        F.slice("email_findings", 1, caps.max_findings)).alias("seq", "f"))
+        first_items(F.col("email_findings"), caps.max_findings)).alias("seq", "f"))
     mapped = rows.select(
         "result_id", "seq", F.lower(F.trim("f.canonical_email")).alias("canonical_email"),
         F.lower(F.trim("f.domain")).alias("email_domain"),
@@ -51,7 +52,7 @@ def map_findings(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFra
 
 def map_evidence(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFrame:
     found = results.select("result_id", F.explode(
-        F.slice("email_findings", 1, caps.max_findings)).alias("f"))
+        first_items(F.col("email_findings"), caps.max_findings)).alias("f"))
     own = F.array(F.struct(
         F.col("f.source_url").alias("source_url"), F.col("f.source_kind").alias("source_kind"),
         F.col("f.raw_candidate").alias("raw_candidate"), F.col("f.snippet").alias("snippet")))
@@ -61,18 +62,19 @@ def map_evidence(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFra
     rows = found.select(
         "result_id", F.lower(F.trim("f.canonical_email")).alias("canonical_email"),
         F.explode(records).alias("e"))
-    snippet = sanitize_text(F.col("e.snippet"), caps.max_snippet_length)
+    whole = sanitize_text(F.col("e.snippet"))
+    snippet = first_chars(whole, caps.max_snippet_length)
     return rows.select(
         "result_id", "canonical_email", urls.storage_url(F.col("e.source_url")).alias("page_url"),
         F.col("e.source_kind").alias("source_type"),
-        sanitize_text(F.col("e.raw_candidate"), 255).alias("raw_candidate"),
+        sanitize_text(F.col("e.raw_candidate"), caps.max_candidate_length).alias("raw_candidate"),
         snippet.alias("snippet"), F.lit(1.0).alias("confidence"),
-        emails.candidate_hash(F.col("canonical_email"), snippet).alias("candidate_hash"))
+        emails.candidate_hash(F.col("canonical_email"), whole).alias("candidate_hash"))
 
 
 def map_rejected(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFrame:
     rows = results.select("result_id", F.posexplode(
-        F.slice("rejected_candidates", 1, caps.max_rejected)).alias("seq", "r"))
+        first_items(F.col("rejected_candidates"), caps.max_rejected)).alias("seq", "r"))
     mapped = rows.select(
         "result_id", "seq", emails.candidate_hash(F.col("r.raw_candidate")).alias(
             "candidate_hash"),
@@ -86,7 +88,7 @@ def map_rejected(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFra
 
 
 def map_attempts(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFrame:
-    """Attempt row per result: sanitized addresses, retryability, capped histories."""
+    """Attempt row per result: sanitized addresses, retryability, histories."""
     pages = results.select(
         "result_id", "outcome", F.posexplode_outer("page_records").alias("page_seq", "p")
     ).select("result_id", "page_seq", F.col("outcome").alias("site"),
@@ -96,7 +98,7 @@ def map_attempts(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFra
     failed = F.col("outcome").isin("FAILED", "PARTIAL")
     requested = urls.storage_url(F.col("starting_url"))
     redirects = F.transform(
-        F.slice(first["redirect_history"], 1, caps.max_redirect_hops), lambda h: F.struct(
+        first_items(first["redirect_history"], caps.max_redirect_hops), lambda h: F.struct(
             urls.storage_url(h["url"]).alias("url"), h["status_code"].alias("status_code"),
             urls.storage_url(h["location"]).alias("location")))
     return results.join(rated, "result_id").select(
@@ -234,14 +236,16 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 # --- export ----------------------------------------------------------------------------------
-def export_guard(jobs: DataFrame, findings: DataFrame, limit: int = ref.MAX_EXPORT_ROWS
+def export_guard(jobs: DataFrame, findings: DataFrame, limit: int | None = None
                  ) -> DataFrame:
-    """Per job: may its findings be exported, and if not, why."""
+    """Per job: may its findings be exported, and if not, why. A limit is the caller's."""
     counts = findings.groupBy("job_id").agg(F.count(F.lit(1)).alias("rows"))
     df = jobs.select("job_id", "status").join(counts, "job_id", "left").fillna(0, ["rows"])
-    return df.withColumn("refusal", F.when(
-        ~F.col("status").isin(*ref.TERMINAL_JOB_STATUSES), F.lit("INVALID_STATE_TRANSITION")
-    ).when(F.col("rows") > limit, F.lit("EXPORT_TOO_LARGE")))
+    refusal = F.when(
+        ~F.col("status").isin(*ref.TERMINAL_JOB_STATUSES), F.lit("INVALID_STATE_TRANSITION"))
+    if limit is not None:
+        refusal = refusal.when(F.col("rows") > limit, F.lit("EXPORT_TOO_LARGE"))
+    return df.withColumn("refusal", refusal)
 
 
 def export_rows(findings: DataFrame) -> DataFrame:

@@ -132,52 +132,3 @@ def burst_audit(
     counted = spread.withColumn("attempts_in_window", F.count(F.lit(1)).over(span))
     return counted.filter(F.col("__home") == F.col("__slice")).withColumn(
         "over_limit", F.col("attempts_in_window") > limit).drop("__slice", "__home")
-
-
-def limiter_decisions(
-    attempts: DataFrame, key: str, time: str, tie: str, limit: int = 10,
-    window: int = 60_000_000,
-) -> DataFrame:
-    """Exact decision of the sliding-window limiter: only allowed attempts count.
-
-    The decision depends on all earlier decisions, but a gap of a whole window clears the state.
-    Attempts are cut into bursts at such gaps and every burst is decided on its own, so a key
-    is only as sequential as its longest uninterrupted burst.
-    """
-    inside = W.partitionBy(key, "__slice").orderBy(time, tie)
-    df = _split(attempts, key, time, HOUR)
-    df = df.withColumn("__previous", F.lag(time).over(inside))
-    last = df.groupBy(key, "__slice").agg(F.max(time).alias("__last"))
-    before = W.partitionBy(key).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = last.select(key, "__slice", F.max("__last").over(before).alias("__earlier"))
-    df = null_safe_join(df, carried, [key, "__slice"], "inner")
-    gap = F.col(time) - F.coalesce("__previous", "__earlier")
-    df = df.withColumn("__starts", (gap.isNull() | (gap >= window)).cast("int"))
-    local = df.withColumn("__local_burst", F.sum("__starts").over(inside))
-    starts = df.groupBy(key, "__slice").agg(F.sum("__starts").alias("__n"))
-    offsets = starts.select(
-        key, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    bursts = null_safe_join(local, offsets, [key, "__slice"], "inner").withColumn(
-        "__burst", F.col("__offset") + F.col("__local_burst"))
-    rows = bursts.select(key, "__burst", F.col(time).alias("__t"), F.col(tie).alias("__tie"))
-    schema = rows.schema.add("allowed", "boolean")
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, []
-        for batch in batches:
-            verdicts = []
-            for k, burst, t in zip(batch[key], batch["__burst"], batch["__t"], strict=True):
-                if (k, burst) != current:
-                    current, kept = (k, burst), []
-                kept = [x for x in kept if x > t - window]
-                allowed = len(kept) < limit
-                if allowed:
-                    kept.append(t)
-                verdicts.append(allowed)
-            yield batch.assign(allowed=verdicts)
-
-    # bursts stream through the task in order; the state is at most `limit` timestamps
-    ordered = rows.repartition(key, "__burst").sortWithinPartitions(
-        key, "__burst", "__t", "__tie")
-    return ordered.mapInPandas(decide, schema).select(
-        key, F.col("__t").alias(time), F.col("__tie").alias(tie), "allowed")

@@ -261,4 +261,3 @@ EXPORT_COLUMNS = (
     "scan_url_id", "target_url", "canonical_email", "email_domain", "classification",
     "is_role_based", "validation_status", "evidence_count", "first_found_at", "last_found_at",
 )
-MAX_EXPORT_ROWS = 50_000

@@ -1,21 +1,19 @@
 """Streaming jobs. Each has a batch twin among the operators that gives the same final state.
 
-State functions are closures over plain values, so executors need no copy of this package. A
-micro-batch of one key arrives as a bounded set of Arrow chunks and is ordered by its own event
-columns before the state is advanced.
+Keyed state lives in tables, one folder per micro-batch, and is advanced by joins and windows: no
+key's rows are gathered in Python, and nothing is remembered by the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from contactgrid.operators.keyed import one_per_key, winner_per_key
 from contactgrid.operators.results import upsert_findings
-from contactgrid.session import shared_folder
+from contactgrid.session import materialize, shared_folder
 
 
 # --- aggregates ------------------------------------------------------------------------------
@@ -64,68 +62,118 @@ def drop_replays(results: DataFrame, time: str, keys: list[str], late: str) -> D
 
 
 # --- keyed state -----------------------------------------------------------------------------
-def replay_status(results: DataFrame, key: list[str], time: str, tie: str) -> DataFrame:
-    """NEW, REPLAY or CONFLICT per result: the first checksum of a key is kept as its state."""
-    def advance(keys, chunks, state: GroupState):
-        parts = [c for c in chunks if len(c)]
-        if not parts:
-            return
-        rows = pd.concat(parts).sort_values(["at", "tie"], kind="stable")
-        first = state.get[0] if state.exists else None
-        status = []
-        for checksum in rows["checksum"]:
-            if first is None:
-                first = checksum
-                status.append("NEW")
-            else:
-                status.append("REPLAY" if checksum == first else "CONFLICT")
-        state.update((first,))
-        yield pd.DataFrame({"tie": rows["tie"].values, "replay_status": status})
-
-    narrowed = results.select(
-        F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key"),
-        F.col(time).alias("at"), F.col(tie).cast("bigint").alias("tie"), "checksum")
-    return narrowed.groupBy("key").applyInPandasWithState(
-        advance, "tie bigint, replay_status string", "checksum string", "append",
-        GroupStateTimeout.NoTimeout)
+class BatchTables:
+    """Tables that a stream appends to, one folder per micro-batch.
+
+    A repeated micro-batch replaces its own folder, and reads only folders before it, so a replay
+    or a restart cannot apply twice; the newest state is found from the folders, never from memory.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, name: str):
+        self.spark, self.schema, self.path = spark, schema, f"{folder}/{name}"
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """Rows of all batches, or of those `before` one, with `batch_id`."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        typed = f"{self.schema}, batch_id long"
+        if not system.exists(path):
+            return self.spark.createDataFrame([], typed)
+        rows = self.spark.read.schema(typed).option("basePath", self.path).parquet(self.path)
+        return rows if before is None else rows.filter(F.col("batch_id") < before)
+
+
+def run_batches(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None]) -> None:
+    """Apply `step` to every micro-batch that is available."""
+    query = (stream.writeStream.foreachBatch(step)
+             .option("checkpointLocation", f"{folder}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def replay_status(
+    results: DataFrame, key: list[str], time: str, tie: str, folder: str | None = None,
+    forget_after: str | None = None,
+) -> DataFrame:
+    """NEW, REPLAY or CONFLICT per result: the first checksum of a key is kept as its state.
+
+    A micro-batch is reduced to the first result of each key, which meets the stored firsts in a
+    join; no key's rows are gathered. Firsts older than `forget_after` before the batch's newest
+    result no longer count.
+    """
+    spark = results.sparkSession
+    folder = folder or shared_folder(spark)
+    firsts = BatchTables(spark, folder, "key string, at timestamp, tie long, checksum string",
+                         "firsts")
+    out = BatchTables(spark, folder, "tie long, replay_status string", "out")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(
+            F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key"),
+            F.col(time).cast("timestamp").alias("at"), F.col(tie).cast("bigint").alias("tie"),
+            "checksum")
+        known = firsts.read(batch_id)
+        if forget_after:
+            newest = rows.agg(F.max("at").alias("newest"))
+            known = known.join(F.broadcast(newest)).filter(
+                F.col("at") >= F.col("newest") - F.expr(f"interval {forget_after}"))
+        known = known.groupBy("key").agg(F.min_by("checksum", "batch_id").alias("known"))
+        mine = rows.groupBy("key").agg(F.min(F.struct("at", "tie", "checksum")).alias("first"))
+        heads = mine.join(known, "key", "left")
+        firsts.write(heads.filter("known is null").select("key", "first.*"), batch_id)
+        joined = rows.join(heads, "key")
+        new = F.col("known").isNull() & (F.col("tie") == F.col("first.tie")) & (
+            F.col("at") == F.col("first.at"))
+        same = F.col("checksum").eqNullSafe(F.coalesce("known", "first.checksum"))
+        out.write(joined.select("tie", F.when(new, F.lit("NEW")).when(same, F.lit(
+            "REPLAY")).otherwise(F.lit("CONFLICT")).alias("replay_status")), batch_id)
+
+    run_batches(results, folder, step)
+    return out.read().drop("batch_id")
 
 
 def _with_timer(
-    rows: DataFrame, key: str, time: str, tie: str, until: Column, late: str
+    rows: DataFrame, key: str, time: str, tie: str, until: Column, late: str,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Emit (key, expired_at) whenever the deadline of the latest row passes unrenewed.
+    """(key, expired_at_us) whenever the deadline of a key's latest row passes unrenewed.
 
-    `until` is the deadline a row sets, null when the row clears it. Deadlines that pass between
-    two rows are found from the rows, the last one by an event-time timer.
+    `until` is the deadline a row sets, null when the row clears it. Inside a micro-batch each row
+    looks at the next one of its key; the last row of a key is carried over, and fires once the
+    newest time seen, less `late`, has passed its deadline, which also ends its state.
     """
-    def advance(keys, chunks, state: GroupState):
-        deadline = state.get[0] if state.exists else None
-        fired = []
-        if state.hasTimedOut:
-            if deadline is not None:
-                fired.append(deadline)
-            state.remove()
-        else:
-            parts = [c for c in chunks if len(c)]
-            rows = pd.concat(parts).sort_values(["at_us", "tie"], kind="stable")
-            for at, until_us in zip(rows["at_us"], rows["until_us"], strict=True):
-                if deadline is not None and at > deadline:
-                    fired.append(deadline)
-                deadline = None if pd.isna(until_us) else int(until_us)
-            state.update((deadline,))
-            if deadline is not None:
-                mark = state.getCurrentWatermarkMs()
-                state.setTimeoutTimestamp(max(deadline // 1000 + 1, mark + 1))
-        if fired:
-            yield pd.DataFrame({"key": [keys[0]] * len(fired), "expired_at_us": fired})
-
-    narrowed = rows.withWatermark(time, late).select(
-        F.col(key).cast("string").alias("key"), F.col(time),
-        F.unix_micros(time).alias("at_us"), F.col(tie).cast("bigint").alias("tie"),
-        F.unix_micros(until).alias("until_us"))
-    return narrowed.groupBy("key").applyInPandasWithState(
-        advance, "key string, expired_at_us bigint", "deadline bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    spark = rows.sparkSession
+    folder = folder or shared_folder(spark)
+    state = BatchTables(spark, folder, "key string, at_us long, tie long, until_us long", "state")
+    clock = BatchTables(spark, folder, "newest_us long", "clock")
+    out = BatchTables(spark, folder, "key string, expired_at_us bigint", "out")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(
+            F.col(key).cast("string").alias("key"), F.unix_micros(time).alias("at_us"),
+            F.col(tie).cast("bigint").alias("tie"), F.unix_micros(until).alias("until_us"))
+        carried = state.read(batch_id).filter(F.col("batch_id") == batch_id - 1).drop("batch_id")
+        both = fresh.unionByName(carried)
+        following = F.lead("at_us").over(Window.partitionBy("key").orderBy("at_us", "tie"))
+        chained = both.withColumn("next_us", following)
+        newest = fresh.agg(F.max("at_us").alias("newest_us")).union(
+            clock.read(batch_id).select("newest_us")).agg(F.max("newest_us").alias("newest_us"))
+        clock.write(newest, batch_id)
+        mark = F.expr(f"newest_us - unix_micros(timestamp'1970-01-01' + interval {late})")
+        # one row, the largest time seen
+        timed = chained.join(F.broadcast(newest.select(mark.alias("mark"))))
+        passed = F.coalesce("next_us", "mark") > F.col("until_us")
+        timed = materialize(timed.withColumn("fires", F.coalesce(passed, F.lit(False))))
+        out.write(timed.filter("fires").select("key", F.col("until_us").alias("expired_at_us")),
+                  batch_id)
+        state.write(timed.filter("next_us is null and not fires and until_us is not null").select(
+            "key", "at_us", "tie", "until_us"), batch_id)
+
+    run_batches(rows, folder, step)
+    return out.read().drop("batch_id")
 
 
 def presence_expiry(
@@ -144,115 +192,21 @@ def lease_expiry(
     return _with_timer(changes, key, time, tie, until, late)
 
 
-def reservations(
-    requests: DataFrame, key: str, time_ms: str, tie: str, delay_ms: str,
-    min_interval_ms: int = 1_000, max_interval_ms: int = 60_000, max_horizon_ms: int = 60_000,
-    min_ttl_ms: int = 60_000, max_ttl_ms: int = 86_400_000,
-) -> DataFrame:
-    """Per-domain slot reservation: RESERVED with a delay, or DEFER beyond the horizon.
-
-    The interval of a domain never decreases while its state lives; deferred requests leave the
-    state as it is. State that outlives its time to live is forgotten.
-    """
-    advance = _reservation_step(
-        min_interval_ms, max_interval_ms, max_horizon_ms, min_ttl_ms, max_ttl_ms)
-
-    def group(keys, chunks, state: GroupState):
-        parts = [c for c in chunks if len(c)]
-        if not parts:
-            return
-        rows = pd.concat(parts).sort_values(["now", "tie"], kind="stable")
-        held = tuple(state.get) if state.exists else None
-        out = []
-        for now, tie_value, delay in zip(rows["now"], rows["tie"], rows["delay"], strict=True):
-            held, verdict = advance(held, int(now), int(delay))
-            out.append((int(tie_value), *verdict))
-        if held is not None:
-            state.update(held)
-        yield pd.DataFrame(out, columns=["tie", "decision", "wait_ms", "interval_ms"])
-
-    narrowed = requests.select(
-        F.col(key).cast("string").alias("key"), F.col(time_ms).cast("bigint").alias("now"),
-        F.col(tie).cast("bigint").alias("tie"),
-        F.coalesce(F.col(delay_ms), F.lit(0)).cast("bigint").alias("delay"))
-    return narrowed.groupBy("key").applyInPandasWithState(
-        group, "tie bigint, decision string, wait_ms bigint, interval_ms bigint",
-        "next_allowed bigint, interval bigint, expires bigint", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def _reservation_step(
-    min_interval: int, max_interval: int, max_horizon: int, min_ttl: int, max_ttl: int
-) -> Callable:
-    """One request against the state (next allowed, interval, expiry), all in milliseconds."""
-    def step(held, now, delay):
-        if held is not None and now >= held[2]:
-            held = None
-        last, known = (held[0], held[1]) if held else (0, 0)
-        interval = min(max(known, min_interval, min(60_000, max(0, delay))), max_interval)
-        start = max(now, last)
-        horizon = start + interval - now
-        if horizon > max_horizon:
-            return held, ("DEFER", max(1_000, start - now), interval)
-        ttl = max(min_ttl, min(max_ttl, horizon + interval + 5_000))
-        return (start + interval, interval, now + ttl), ("RESERVED", max(0, start - now), interval)
-
-    return step
-
-
-def limiter(
-    attempts: DataFrame, key: str, time_us: str, tie: str, limit: int = 10,
-    window_us: int = 60_000_000,
-) -> DataFrame:
-    """Sliding-window limiter: an attempt is allowed below `limit` allowed ones in the window."""
-    def advance(keys, chunks, state: GroupState):
-        parts = [c for c in chunks if len(c)]
-        if not parts:
-            return
-        rows = pd.concat(parts).sort_values(["at", "tie"], kind="stable")
-        kept = list(state.get[0]) if state.exists else []
-        verdicts = []
-        for at in rows["at"]:
-            kept = [x for x in kept if x > at - window_us]
-            allowed = len(kept) < limit
-            if allowed:
-                kept.append(int(at))
-            verdicts.append(allowed)
-        state.update((kept,))
-        yield pd.DataFrame({"tie": rows["tie"].values, "allowed": verdicts})
-
-    narrowed = attempts.select(
-        F.col(key).cast("string").alias("key"), F.col(time_us).cast("bigint").alias("at"),
-        F.col(tie).cast("bigint").alias("tie"))
-    return narrowed.groupBy("key").applyInPandasWithState(
-        advance, "tie bigint, allowed boolean", "kept array<bigint>", "append",
-        GroupStateTimeout.NoTimeout)
-
-
 # --- upsert sink -----------------------------------------------------------------------------
 def upsert_stream(
     deltas: DataFrame, state: DataFrame, keys: list[str], now: Column, folder: str | None = None
 ) -> DataFrame:
-    """Merge every micro-batch into a findings snapshot and return the last snapshot.
+    """Findings after all micro-batches: `state` merged with the keys that the stream brought.
 
-    Snapshots are numbered by batch id: a repeated batch reads the snapshot before it and
-    overwrites its own, so replays cannot apply twice.
+    A micro-batch appends only its own distinct keys; the merge happens when the result is read, so
+    no batch rewrites the stored findings, and a restart with nothing new gives the same result.
     """
     spark = deltas.sparkSession
     folder = folder or shared_folder(spark)
-    state.write.mode("overwrite").parquet(f"{folder}/snapshot/v=-1")
-    schema = state.schema
-    latest = {"version": -1}
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = session.read.schema(schema).parquet(f"{folder}/snapshot/v={batch_id - 1}")
-        merged = upsert_findings(before, batch, keys, now).select(*schema.fieldNames())
-        merged.write.mode("overwrite").parquet(f"{folder}/snapshot/v={batch_id}")
-        latest["version"] = batch_id
-
-    query = (deltas.writeStream.foreachBatch(merge)
-             .option("checkpointLocation", f"{folder}/checkpoint")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/snapshot/v={latest['version']}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in deltas.schema)
+    seen = BatchTables(spark, folder, fields, "seen")
+    run_batches(deltas, folder, lambda batch, batch_id: seen.write(
+        one_per_key(batch, keys), batch_id))
+    # the earliest batch of a key wins, as it would one batch after the other
+    fresh = winner_per_key(seen.read(), keys, [F.col("batch_id")]).drop("batch_id")
+    return upsert_findings(state, fresh, keys, now).select(*state.columns)

@@ -140,6 +140,17 @@ def test_rejections(spark):
     assert kept["noreply@x.com"].category == "NO_REPLY"
 
 
+def test_text_before_an_open_reference_stays(spark):
+    found, _, _ = run(spark, "https://shop.com/", "Write to info@shop.com, Smith&Co")
+    assert set(found) == {"info@shop.com"}
+
+
+def test_nothing_is_cut_unless_asked(spark):
+    body = "".join(f"<p>p{i}@acme.com and x{i}@</p>" for i in range(201)) + "z" * 1_000_001
+    found, _, outcome = run(spark, "https://acme.com", body)
+    assert outcome == "SUCCESS" and len(found) == 201
+
+
 def test_outcomes_and_evidence_length(spark):
     big = ExtractionConfig(max_html_chars=100)
     assert run(spark, "https://a.com", "<p>" + "a" * 200, big)[2] == "HTML_TOO_LARGE"

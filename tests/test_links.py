@@ -64,6 +64,15 @@ def test_best_text_per_target_and_scope(spark):
     assert ("https://blog.example.com/x", "B") not in same[1]
 
 
+def test_nothing_is_cut_unless_asked(spark):
+    many = "".join(f'<a href="/p{i}">P{i}</a>' for i in range(2001))
+    long = "x" * 1_000_001 + '<a href="/last">Last</a>'
+    assert len(discovered(spark, "https://e.com/", many)[1]) == 2001
+    assert discovered(spark, "https://e.com/", long)[1] == [("https://e.com/last", "Last")]
+    ranked = L.rank_pages(L.discover_links(pages(spark, ("https://e.com/", many))))
+    assert ranked.count() == 2002
+
+
 def test_limits_and_empty_pages(spark):
     many = "".join(f'<a href="/p{i}">P{i}</a>' for i in range(10))
     assert len(discovered(spark, "https://e.com/", many, DiscoveryConfig(max_raw_anchors=3))[1]) == 3
@@ -133,8 +142,8 @@ def brute_visit(start, score, graph, state, config):
 
 
 @pytest.mark.parametrize("config", [
-    SiteScanConfig(), SiteScanConfig(max_pages=4, max_total_discovered_urls=7),
-    SiteScanConfig(max_depth=1, max_total_discovered_urls=5), SiteScanConfig(max_depth=0)])
+    SiteScanConfig(10, 2, 100), SiteScanConfig(4, 2, 7), SiteScanConfig(10, 1, 5),
+    SiteScanConfig(10, 0, 100)])
 def test_frontier_matches_a_direct_walk(spark, config):
     rng = random.Random(11)
     seeds, corpus, expected = [], [], []

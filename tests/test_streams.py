@@ -3,9 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contactgrid.operators import scheduling
 from contactgrid.streaming import jobs as S
-from contactgrid.streaming.runtime import drain
 
 SCHEMA = "k string, seq long, at long, delay long"
 
@@ -25,39 +23,10 @@ def feed(spark, tmp_path):
     return rows, stream
 
 
-def test_limiter_equals_its_batch_twin(spark, feed):
-    rows, stream = feed
-    streamed = drain(S.limiter(stream, "k", "at", "seq", limit=2, window_us=6_000))
-    batch = scheduling.limiter_decisions(
-        spark.createDataFrame(rows, SCHEMA), "k", "at", "seq", limit=2, window=6_000)
-    assert {r.tie: r.allowed for r in streamed.collect()} == {
-        r.seq: r.allowed for r in batch.collect()}
-
-
-def test_reservations_match_a_direct_walk(feed):
-    rows, stream = feed
-    got = drain(S.reservations(stream, "k", "at", "seq", "delay", max_horizon_ms=9_000)).collect()
-    state, expected = {}, {}
-    for k, seq, now, delay in rows:
-        next_at, known, expires = state.get(k, (0, 0, 0))
-        if now >= expires:
-            next_at = known = 0
-        interval = max(known, 1_000, delay)
-        start = max(now, next_at)
-        if start + interval - now > 9_000:
-            expected[seq] = ("DEFER", max(1_000, start - now), interval)
-            continue
-        state[k] = (start + interval, interval, now + max(60_000, start + 2 * interval - now + 5_000))
-        expected[seq] = ("RESERVED", start - now, interval)
-    assert {r.tie: (r.decision, r.wait_ms, r.interval_ms) for r in got} == expected
-    assert {"DEFER", "RESERVED"} == {v[0] for v in expected.values()}
-
-
 def test_replays_across_batches(feed):
     rows, stream = feed
     tagged = stream.withColumn("checksum", (F.col("delay") > 0).cast("string"))
-    got = {r.tie: r.replay_status for r in drain(
-        S.replay_status(tagged, ["k"], "at", "seq")).collect()}
+    got = {r.tie: r.replay_status for r in S.replay_status(tagged, ["k"], "at", "seq").collect()}
     first, expected = {}, {}
     for k, seq, _, delay in rows:
         if k not in first:
@@ -67,6 +36,31 @@ def test_replays_across_batches(feed):
     assert got == expected
 
 
+def test_lapses_across_batches(feed):
+    rows, stream = feed
+    timed = stream.withColumn("time", F.timestamp_millis("at"))
+    got = S.presence_expiry(timed, "k", "time", "seq", ttl_seconds=3, late="1 second").collect()
+    newest, expected, last = max(r[2] for r in rows), [], {}
+    for k, _, at, _ in rows:
+        if k in last and at > last[k] + 3000:
+            expected.append((k, (last[k] + 3000) * 1000))
+        last[k] = at
+    expected += [(k, (at + 3000) * 1000) for k, at in last.items() if newest - 1000 > at + 3000]
+    assert sorted((r.key, r.expired_at_us) for r in got) == sorted(expected)
+
+
+def test_restart_without_new_data_keeps_the_merge(spark, feed, tmp_path):
+    _, stream = feed
+    stored = spark.createDataFrame(
+        [("hot", 1, 1), ("old", 1, 1)], "k string, first_found_at int, last_found_at int")
+    runs = [S.upsert_stream(stream.select("k"), stored, ["k"], F.lit(9), f"{tmp_path}/state")
+            for _ in range(2)]
+    first, second = (sorted(map(tuple, run.collect())) for run in runs)
+    assert first == second
+    assert first == [("d0", 9, 9), ("d1", 9, 9), ("d2", 9, 9), ("d3", 9, 9), ("hot", 1, 9),
+                     ("old", 1, 1)]
+
+
 def test_updates_keep_the_latest_count(feed):
     rows, stream = feed
     got = S.drain_updates(S.progress_counts(stream, "k", "delay"), ["k", "delay"]).collect()
