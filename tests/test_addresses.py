@@ -128,6 +128,19 @@ def test_international_hosts_match_the_idna_codec(spark):
     assert got == {n: encoded(n) for n in names}
 
 
+def test_public_list(spark):
+    expected = {
+        "acme.photography": "acme.photography", "www.haus.berlin": "haus.berlin",
+        "firm.gmbh": "firm.gmbh", "shop.x.com.sa": "x.com.sa", "com.sa": None,
+        "a.b.ck": "a.b.ck", "www.ck": "www.ck", "x.www.ck": "www.ck", "b.ck": None,
+        "x.city.kawasaki.jp": "city.kawasaki.jp", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp",
+        "example.xn--p1ai": "example.xn--p1ai", "nothing.invalid": None, "localhost": None,
+    }
+    df = spark.createDataFrame([(host,) for host in expected], "host string")
+    rows = df.select("host", registrable_domain(F.col("host")).alias("domain")).collect()
+    assert {r.host: r.domain for r in rows} == expected
+
+
 def test_suffix_rules_with_wildcards_and_exceptions(spark):
     rules = SuffixRules.parse(["com", "uk", "co.uk", "*.ck", "!www.ck"])
     cases = {"a.b.com": "b.com", "com": None, "x.co.uk": "x.co.uk", "co.uk": None,
