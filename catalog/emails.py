@@ -13,6 +13,7 @@ from contactgrid.functions.stages import run_on_columns
 from contactgrid.functions.text import collapse_space, csv_cell, sanitize_text, short_digest
 from contactgrid.operators import audit, primary
 from contactgrid.operators import extraction as X
+from contactgrid.operators.links import with_source
 from contactgrid.plans import views as V
 from contactgrid.plans.contacts import site_contacts, with_page_score
 from contactgrid.sources.tables import read_table
@@ -88,7 +89,8 @@ for _name, _char in (("quot", "'\"'"), ("copy", "chr(169)"), ("middot", "chr(183
 VISIBLE = {
     **parsed("src", "pages", "page_id", "url"),
     "visible": rf"""
-      SELECT page_id, hostname, registrable_domain, normalized_url,
+      SELECT page_id, hostname, registrable_domain, registrable_domain AS site, path,
+        normalized_url,
         array_to_string(list_filter(list_transform(
           pieces, lambda p: {_DECODED}), lambda p: regexp_matches(p, '[^\s\x{{a0}}]')), ' ') AS vtext
       FROM (SELECT *, regexp_split_to_array(regexp_replace(html, '{_REMOVED}', '<x>', 'g'),
@@ -460,6 +462,55 @@ def _(spark, sf):
         "site", "canonical_email", "score", "domain_affinity")
 
 
+# --- the same chain from markup: one contact per registrable domain of the stored pages -------
+_PAGE_CTES = {**VISIBLE, **_candidates("visible", "page_id", "vtext"), **_FINDINGS, **_EVIDENCE}
+PAGE_PRIMARY = views(**_PAGE_CTES, **_PRIMARY)
+
+
+def page_contacts(spark, sf):
+    pages = with_source(read_table(spark, sf, "pages")).select(
+        "page_id", "url", "html", F.col("source_registrable_domain").alias("site"))
+    return site_contacts(pages, site="site", content="html")
+
+
+@register("eml12_page_findings", views(**_PAGE_CTES) + """
+SELECT page_id, canonical_email, raw_candidate, snippet, domain_affinity, category FROM findings""")
+def _(spark, sf):
+    return X.page_findings(page_rows(spark, sf)).select(
+        "page_id", "canonical_email", "raw_candidate", "snippet", "domain_affinity", "category")
+
+
+@register("eml13_page_evidence", PAGE_PRIMARY + """
+SELECT page_id, canonical_email, source_kind, snippet, raw_candidate, page_score FROM evidence""")
+def _(spark, sf):
+    return page_contacts(spark, sf).evidence.select(
+        "page_id", "canonical_email", "source_kind", "snippet", "raw_candidate", "page_score")
+
+
+@register("eml19_page_site_findings", PAGE_PRIMARY + """
+SELECT site, canonical_email, raw_candidate, snippet, evidence_count, max_page_score
+FROM site_findings""")
+def _(spark, sf):
+    return page_contacts(spark, sf).findings.select(
+        "site", "canonical_email", "raw_candidate", "snippet", "evidence_count",
+        "max_page_score")
+
+
+@register("pri4_page_scores", PAGE_PRIMARY + """
+SELECT site, canonical_email, CAST(score AS INTEGER) AS score, evidence_count FROM scored""")
+def _(spark, sf):
+    return page_contacts(spark, sf).scored.select(
+        "site", "canonical_email", "score", "evidence_count")
+
+
+@register("pri7_page_contacts", PAGE_PRIMARY + """
+SELECT site, canonical_email, CAST(score AS INTEGER) AS score, domain_affinity FROM scored
+QUALIFY row_number() OVER (PARTITION BY site ORDER BY tier, score DESC, canonical_email) = 1""")
+def _(spark, sf):
+    return page_contacts(spark, sf).primary.select(
+        "site", "canonical_email", "score", "domain_affinity")
+
+
 @register("joi6_lookup_joins", DOC_ALL + """
 SELECT category, source_kind, count(*) AS rows FROM (
   SELECT category, 'VISIBLE_TEXT' AS source_kind FROM cand) GROUP BY ALL""")

@@ -139,13 +139,15 @@ def _(spark, sf):
 
 @register("win11_domain_round_robin", """
 WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages)
-SELECT original_index, domain_key, row_number() OVER (PARTITION BY domain_key
+SELECT *, row_number() OVER (ORDER BY domain_rank, domain_key) AS position FROM (
+  SELECT original_index, domain_key, row_number() OVER (PARTITION BY domain_key
   ORDER BY original_index) AS domain_rank FROM (
   SELECT min(page_id) AS original_index, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain_key
-  FROM p GROUP BY host)""")
+  FROM p GROUP BY host))""")
 def _(spark, sf):
     rows = read_table(spark, sf, "pages").select(
         F.col("page_id").alias("original_index"),
         F.regexp_extract("url", "://([^/?#]+)", 1).alias("original_input"))
     work = coalesce_batch(rows).filter(F.col("item_role") == "OWNER")
-    return interleave_by_domain(work).select("original_index", "domain_key", "domain_rank")
+    return interleave_by_domain(work).select(
+        "original_index", "domain_key", "domain_rank", "position")

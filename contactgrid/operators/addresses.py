@@ -18,6 +18,7 @@ from contactgrid.functions.suffixes import (
     name_label,
     subdomain,
 )
+from contactgrid.operators.quality import ordered_checksum
 from contactgrid.operators.keyed import sequence_within, with_group_values
 
 
@@ -366,12 +367,11 @@ def request_fingerprints(
     """Digest of each request over its ordered targets and its settings.
 
     `targets` holds (key, position, target); every other column of `requests` is a setting. The
-    targets are hashed in chunks of consecutive positions and the chunk digests are hashed again,
-    so the target list of a huge request is never held by one task.
+    targets are hashed in a tree of chunks of consecutive positions, so the target list of a huge
+    request is never held by one task.
     """
-    chunks = targets.withColumn("__chunk", F.floor(F.col(position) / chunk)).groupBy(
-        key, "__chunk").agg(_ordered_digest(position, target).alias("digest"))
-    bodies = chunks.groupBy(key).agg(_ordered_digest("__chunk", "digest").alias("targets_digest"))
+    bodies = ordered_checksum(targets, [key], position, F.col(target), chunk).withColumnRenamed(
+        "checksum", "targets_digest")
     settings = sorted(c for c in requests.columns if c != key)
     joined = requests.join(bodies, key, "left")
     payload = F.to_json(F.struct(*settings, F.coalesce("targets_digest", F.lit("")).alias(
@@ -379,11 +379,6 @@ def request_fingerprints(
     return joined.withColumn("request_fingerprint", F.sha2(payload, 256)).drop("targets_digest")
 
 
-def _ordered_digest(position: str, value: str) -> Column:
-    items = F.array_sort(F.collect_list(F.struct(F.col(position), F.col(value))))
-    return F.sha2(F.array_join(F.transform(items, lambda i: i[value]), "\n"), 256)
-
-
 def idempotency_outcome(incoming: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     """NEW, REPLAY or CONFLICT per incoming request, by idempotency key and fingerprint."""
     known = stored.select(*key, F.col("request_fingerprint").alias("__stored"))
@@ -396,7 +391,14 @@ def idempotency_outcome(incoming: DataFrame, stored: DataFrame, key: list[str])
 def interleave_by_domain(
     df: DataFrame, batch: tuple[str, ...] = (), index: str = "original_index"
 ) -> DataFrame:
-    """Round-robin position of every work item: rank within its domain, then domain name."""
-    return sequence_within(
+    """Round-robin over domains: `domain_rank`, the rank of an item within its domain, and
+    `position`, its place (from 1) when all first items come first, by domain name, then all second
+    ones.
+    """
+    ranked = sequence_within(
         df, [*batch, "domain_key"], [F.col(index)],
         bucket=F.floor(F.col(index) / 100_000), name="domain_rank")
+    # a bucket is a round and the start of a name, so that no round meets in one task
+    return sequence_within(
+        ranked, list(batch), [F.col("domain_rank"), F.col("domain_key")],
+        bucket=F.struct("domain_rank", F.substring("domain_key", 1, 3)), name="position")

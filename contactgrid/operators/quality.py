@@ -12,40 +12,59 @@ from contactgrid import reference_data as ref
 from contactgrid.operators.keyed import sequence_within
 
 
+#: Parts into which a range of values is cut when a rank is looked for.
+PARTS = 1024
+
+
 def values_at_ranks(
     df: DataFrame, value: str, by: Sequence[str], ranks: Callable[[Column], Column],
-    width: float = 1.0,
+    rounds: int = 2,
 ) -> DataFrame:
     """Values at given positions (from zero) of the sorted values of each group.
 
-    `ranks` maps the group size to an array of (name, rank). A histogram of `width`-wide buckets
-    tells which buckets hold the ranks; only their values are counted and ordered. No group is
-    sorted, and no task sees more than one bucket of distinct values.
+    `ranks` maps the group size to an array of (name, rank). Each round cuts the range of values
+    that holds a rank into `PARTS` equal parts, counts them, and goes on with the part that holds
+    the rank, narrowed to its own least and greatest value: first the group's whole range, then that
+    part. Only the values of the last part are ordered. Widths follow from the data, so values in
+    microseconds and in seconds are cut alike.
     """
-    df = df.filter(F.col(value).isNotNull()).withColumn(
-        "__bucket", F.floor(F.col(value) / width))
-    counts = df.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    sizes = counts.groupBy(*by).agg(F.sum("__n").alias("n"))
-    earlier = W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    placed = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    wanted = sizes.select(*by, "n", F.inline(ranks(F.col("n"))))
-    hits = wanted.join(placed, list(by)).filter(
-        (F.col("__before") <= F.col("rank")) & (F.col("rank") < F.col("__before") + F.col("__n")))
-    keys = [*by, "__bucket"]
-    inside = df.join(hits.select(*keys).distinct(), keys, "left_semi").groupBy(
-        *keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy(value))
+    df = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__value"))
+    keys = [*by, "__low", "__high"]
+    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__value").alias("__low"),
+                                F.max("__value").alias("__high"))
+    wanted = stats.select(*keys, "n", F.lit(0).cast("long").alias("__before"),
+                          F.inline(ranks(F.col("n"))))
+    for _ in range(rounds):
+        low, high = F.col("__low").cast("double"), F.col("__high").cast("double")
+        share = (F.col("__value").cast("double") - low) / F.nullif(high - low, F.lit(0.0))
+        part = F.least(F.coalesce(F.floor(share * PARTS), F.lit(0)), F.lit(PARTS - 1))
+        inside = df.join(wanted.select(*keys).distinct(), list(by)).filter(
+            F.col("__value").between(F.col("__low"), F.col("__high")))
+        counts = inside.groupBy(*keys, part.alias("__part")).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__value").alias("__from"),
+            F.max("__value").alias("__to"))
+        earlier = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+        placed = counts.withColumn("__less", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        offset = F.col("rank") - F.col("__before")
+        wanted = wanted.join(placed, keys).filter(
+            (F.col("__less") <= offset) & (offset < F.col("__less") + F.col("__n"))).select(
+            *by, F.col("__from").alias("__low"), F.col("__to").alias("__high"), "n",
+            (F.col("__before") + F.col("__less")).alias("__before"), "name", "rank")
+    last = df.join(wanted.select(*keys).distinct(), list(by)).filter(
+        F.col("__value").between(F.col("__low"), F.col("__high"))).groupBy(
+        *keys, "__value").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__value"))
     offset = F.col("rank") - F.col("__before")
-    return hits.join(inside.withColumn("__upto", upto), keys).filter(
+    return wanted.join(last.withColumn("__upto", upto), keys).filter(
         (F.col("__upto") - F.col("__c") <= offset) & (offset < F.col("__upto"))
-    ).select(*by, "n", "name", "rank", value)
+    ).select(*by, "n", "name", "rank", F.col("__value").alias(value))
 
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 def latency_percentiles(
-    df: DataFrame, value: str, by: Sequence[str] = (), width: float = 1.0
+    df: DataFrame, value: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact p50, p95 and p99 with linear interpolation; 0 for an empty input."""
     keys = list(by) or ["__all"]
@@ -60,7 +79,7 @@ def latency_percentiles(
                     F.lit(f"{name}_{side}").alias("name"), rank.alias("rank")))
         return F.array(*entries)
 
-    found = values_at_ranks(df.select(*keys, value), value, keys, ranks, width)
+    found = values_at_ranks(df.select(*keys, value), value, keys, ranks)
 
     def at(name: str) -> Column:
         return F.max(F.when(F.col("name") == name, F.col(value)))
@@ -76,12 +95,11 @@ def latency_percentiles(
     return grouped.agg(*[interpolated(name, level) for name, level in PERCENTILES.items()])
 
 
-def upper_median(df: DataFrame, value: str, by: Sequence[str], width: float = 1.0) -> DataFrame:
+def upper_median(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Element n // 2 (from zero) of the sorted values of each group."""
     found = values_at_ranks(
         df.select(*by, value), value, by,
-        lambda n: F.array(F.struct(F.lit("median").alias("name"), F.floor(n / 2).alias("rank"))),
-        width)
+        lambda n: F.array(F.struct(F.lit("median").alias("name"), F.floor(n / 2).alias("rank"))))
     return found.select(*by, F.col(value).alias("median"), "n")
 
 

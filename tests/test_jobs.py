@@ -1,6 +1,7 @@
 import glob
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from contactgrid.config import BackoffPolicy, FetchRetryPolicy, ResultCaps
@@ -315,3 +316,15 @@ def test_address_list_source(spark, tmp_path):
     found = {r.violation: r.detail for r in address_lists.list_violations(lines, 2).collect()}
     assert found == {"LINE_TOO_LONG": 4, "TOO_MANY_INPUTS": 3}
     assert address_lists.list_violations(lines.limit(2), 5).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-7, 1.0, 1e9])
+def test_percentiles_at_any_scale(spark, scale):
+    rng = random.Random(5)
+    values = [rng.random() ** 9 * scale for _ in range(20_000)] + [7 * scale] * 5_000
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double").repartition(4)
+    ordered = sorted(values)
+    ranks = [0, 1, 12_499, 19_999, 24_999]
+    found = quality.values_at_ranks(df, "v", ["k"], lambda n: F.array(*[F.struct(
+        F.lit(str(r)).alias("name"), F.lit(r).cast("long").alias("rank")) for r in ranks]))
+    assert {r["rank"]: r.v for r in found.collect()} == {r: ordered[r] for r in ranks}
