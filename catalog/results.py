@@ -15,11 +15,23 @@ from contactgrid.operators.extraction import page_evidence, page_findings
 from contactgrid.operators.keyed import sequence_within, winner_per_key
 from contactgrid.operators.quality import ordered_checksum
 from contactgrid.plans import views as V
-from contactgrid.session import materialize
+from contactgrid.session import materialize, shared_folder
 from contactgrid.sources import sinks
+from contactgrid.sources.address_lists import read_address_list
 from contactgrid.sources.tables import parse_json, read_table
 
 
+@register("src1_address_list", """
+SELECT row_number() OVER (ORDER BY page_id) - 1 AS line_index, trim(url) AS original_input
+FROM pages WHERE trim(url) <> ''""")
+def _(spark, sf):
+    """The pages' addresses, written as a text list in id order and read back."""
+    folder = shared_folder(spark)
+    listed = read_table(spark, sf, "pages").filter(F.trim("url") != "")
+    listed.orderBy("page_id").select("url").write.text(folder)
+    return read_address_list(spark, folder).select("line_index", "original_input")
+
+
 @register("src2_table_source", """
 SELECT o_orderstatus, count(*) AS rows, max(o_orderkey) AS last_key FROM orders
 GROUP BY o_orderstatus""")

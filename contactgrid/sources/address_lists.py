@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from contactgrid.functions.text import strip_space
+from contactgrid.session import materialize
 
 MAX_LINE_LENGTH = 2048
 
 
 def read_address_list(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank trimmed lines of text files with a dense position (`original_index`).
+    """Non-blank trimmed lines of text files with a dense position (`line_index`).
 
-    Position follows file order. It is fixed once here, by the two-pass numbering of
-    `zipWithIndex`, and is a column from then on.
+    Position follows file name and place in the file. A task reads blocks of files in order, so the
+    increasing ids it gives fix the place inside a block; blocks are placed by their line counts.
     """
-    lines = spark.read.text(path)
-    schema = T.StructType([
-        T.StructField("line", T.StringType()), T.StructField("line_index", T.LongType())])
-    numbered = spark.createDataFrame(
-        lines.rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1])), schema)
+    block = ["file", "block"]
+    lines = materialize(spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id")))
+    sizes = lines.groupBy(*block).agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.orderBy(*block)) - F.col("lines")  # one row a block
+    numbered = lines.join(sizes.withColumn("before", before).drop("lines"), block).withColumn(
+        "line_index", F.col("before") + F.col("id") - F.col("first"))
     text = strip_space(F.col("line"))
     kept = numbered.withColumns({"original_input": text, "line_length": F.length("line")}).filter(
         F.col("original_input") != "")
