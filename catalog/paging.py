@@ -102,12 +102,14 @@ FROM jobs JOIN (VALUES ('7d', TIMESTAMP '2001-07-27'), ('30d', TIMESTAMP '2001-0
 GROUP BY period""")
 def _(spark, sf):
     rows = V.job_heads(spark, sf).select("job_id", "created_at")
-    parts = None
+    held = []
     for period in ("7d", "30d", "90d", "all"):
-        one = P.in_period(rows, "created_at", V.clock(V.NOW_ORDERS), period).withColumn(
-            "period", F.lit(period))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("period").agg(
+        start, end = P.period_bounds(V.clock(V.NOW_ORDERS), period)
+        inside = F.lit(True) if start is None else (
+            (F.col("created_at") >= start) & (F.col("created_at") < end))
+        held.append(F.when(inside, F.lit(period)))
+    listed = rows.withColumn("period", F.explode(F.array_compact(F.array(*held))))
+    return listed.groupBy("period").agg(
         F.count(F.lit(1)).alias("jobs"), F.min("created_at").cast("string").alias("first_job"))
 
 

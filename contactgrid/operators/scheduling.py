@@ -43,7 +43,7 @@ def fair_urls(
     waiting = urls.filter((queued | due) & (F.col("attempt_count") < F.col("max_attempts")))
     candidates = waiting.withColumn(
         "class_rank", F.when(first, F.lit(0)).when(second, F.lit(1))
-    ).join(F.broadcast(heads), "job_id")
+    ).join(heads, "job_id")
     ranked = top_per_key(
         candidates, ["class_rank", "job_id"], [F.col("created_at"), F.col("url_id")], per_job,
         "job_rank")
