@@ -40,7 +40,7 @@ from contactgrid.sources.tables import read_table
 
 CAPACITY = 4096
 GROUPS = 48
-SMALL_SHARE = 8
+SMALL_SHARE = 3
 PIECES = "task int, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long,"
           " offset long")
