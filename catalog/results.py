@@ -148,7 +148,39 @@ def _(spark, sf):
         "result_id", "retryable", "requested_url", "status_code")
 
 
-@register("map2_result_checksums")
+def _tree(lines: str) -> str:
+    """Digest of fewer than a thousand lines: one chunk on each of the tree's four levels."""
+    return f"sha256(sha256(sha256(sha256(string_agg({lines}, chr(10) ORDER BY {lines})))))"
+
+
+_PARTS = {"lines": """
+  SELECT page_id, 'pages' AS part, concat_ws(chr(31), '0', normalized_url, '0', normalized_url,
+    CASE WHEN page_id % 2 = 1 THEN 'FETCHED_AND_PROCESSED' ELSE 'FETCH_FAILED' END,
+    CASE WHEN page_id % 2 = 1 THEN '200' ELSE '503' END, 'text/html; charset=utf-8', '7',
+    'ALLOWED', '0', '0') AS line FROM src
+  UNION ALL SELECT page_id, 'findings', concat_ws(chr(31), canonical_email, category,
+    CASE WHEN category = 'ROLE_BASED' THEN 'true' ELSE 'false' END) FROM findings
+  UNION ALL SELECT page_id, 'evidence', concat_ws(chr(31), canonical_email, 'VISIBLE_TEXT',
+    sha256(canonical_email || ':' || trim(snippet)), source_url, '1.0') FROM evidence
+  UNION ALL SELECT DISTINCT page_id, 'rejected', concat_ws(chr(31),
+    sha256(lower(raw_candidate) || ':'), rejection_code, 'VISIBLE_TEXT') FROM cand
+  WHERE rejection_code IS NOT NULL""", "digests": f"""
+  SELECT page_id, part, {_tree('line')} AS digest FROM lines GROUP BY page_id, part""",
+  "bodies": """
+  SELECT s.page_id, s.normalized_url, max(digest) FILTER (part = 'pages') AS pages,
+    coalesce(max(digest) FILTER (part = 'findings'), '') AS findings,
+    coalesce(max(digest) FILTER (part = 'evidence'), '') AS evidence,
+    coalesce(max(digest) FILTER (part = 'rejected'), '') AS rejected
+  FROM src s JOIN digests d ON d.page_id = s.page_id GROUP BY ALL"""}
+_NESTED = DOC_ALL.rstrip() + "".join(f", {name} AS ({body})" for name, body in _PARTS.items())
+
+
+@register("map2_result_checksums", _NESTED + f"""
+SELECT page_id AS result_id, sha256('{{"schema_version":"v1","selection_version":"{ref.SELECTION_VERSION}"'
+  || ',"starting_url":"' || normalized_url || '","attempt_number":1,"outcome":"'
+  || CASE WHEN page_id % 2 = 1 THEN 'COMPLETED' ELSE 'FAILED' END || '","pages":"' || pages
+  || '","findings":"' || findings || '","evidence":"' || evidence || '","rejected":"' || rejected
+  || '"}}') AS result_checksum FROM bodies""")
 def _(spark, sf):
     return R.result_checksum(nested_results(spark, sf))
 

@@ -18,6 +18,7 @@ from contactgrid.operators.keyed import (
     sequence_within,
     winner_per_key,
 )
+from contactgrid.operators.quality import ordered_checksum
 
 
 # --- flattening a nested site result ---------------------------------------------------------
@@ -113,23 +114,32 @@ def map_attempts(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFra
 def result_checksum(
     results: DataFrame, caps: ResultCaps = ResultCaps()
 ) -> DataFrame:
-    """Checksum per result over its sorted mapped parts; every part is bounded by the caps."""
-    def part(rows: DataFrame, order: Sequence[str], columns: Sequence[str], name: str
-             ) -> DataFrame:
-        items = F.array_sort(F.collect_list(F.struct(*order, *[
-            c for c in columns if c not in order])))
-        return rows.groupBy("result_id").agg(F.to_json(items).alias(name))
+    """Checksum per result over its mapped parts, each in the order of its lines.
+
+    A part enters as the tree digest of its lines, so a result with any number of findings is never
+    held by one task.
+    """
+    def part(rows: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+        line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit(r"\N"))
+                                     for c in columns])
+        numbered = sequence_within(
+            rows.select("result_id", line.alias("line")), ["result_id"], [F.col("line")],
+            F.substring("line", 1, 4), "number")
+        return ordered_checksum(numbered, ["result_id"], "number", F.col("line")
+                                ).withColumnRenamed("checksum", name)
 
     parts = [
-        part(map_pages(results, caps), ["depth", "normalized_url", "seq"],
-             ["final_url", "outcome", "status_code", "content_type", "page_score",
-              "robots_decision", "links_discovered_count", "emails_found_count"], "pages"),
-        part(map_findings(results, caps), ["canonical_email"],
-             ["classification", "is_role_based"], "findings"),
-        part(map_evidence(results, caps), ["canonical_email", "source_type", "candidate_hash"],
-             ["page_url", "confidence"], "evidence"),
-        part(map_rejected(results, caps), ["candidate_hash", "rejection_code"],
-             ["source_type"], "rejected"),
+        part(map_pages(results, caps),
+             ["depth", "normalized_url", "seq", "final_url", "outcome", "status_code",
+              "content_type", "page_score", "robots_decision", "links_discovered_count",
+              "emails_found_count"], "pages"),
+        part(map_findings(results, caps),
+             ["canonical_email", "classification", "is_role_based"], "findings"),
+        part(map_evidence(results, caps),
+             ["canonical_email", "source_type", "candidate_hash", "page_url", "confidence"],
+             "evidence"),
+        part(map_rejected(results, caps),
+             ["candidate_hash", "rejection_code", "source_type"], "rejected"),
     ]
     df = results.select(
         "result_id", "attempt_number", "outcome",
@@ -140,7 +150,7 @@ def result_checksum(
     body = F.to_json(F.struct(
         F.lit("v1").alias("schema_version"),
         F.lit(ref.SELECTION_VERSION).alias("selection_version"), "starting_url",
-        "attempt_number", "outcome", *[F.coalesce(n, F.lit("[]")).alias(n) for n in names]))
+        "attempt_number", "outcome", *[F.coalesce(n, F.lit("")).alias(n) for n in names]))
     return df.select("result_id", F.sha2(body, 256).alias("result_checksum"))
 
 
