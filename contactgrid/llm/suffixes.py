@@ -42,10 +42,11 @@ from contactgrid.sources.tables import read_table
 
 BATCHES = 4
 #: Bytes of text that are hashed at once (a longer document is taken alone).
-CHUNK_BYTES = 1 << 20
-UNIT_RUNS = 50_000
+CHUNK_BYTES = 1 << 18
+#: Runs that a task's family holds, on average, and the most that one anchor string may bring.
+UNIT_RUNS = 1 << 13
 #: Runs whose windows enter a task's family at once.
-BATCH_RUNS = 4096
+BATCH_RUNS = 1024
 REPEATED, WANTED, COMPARED = 0, 1, 2
 
 
@@ -313,7 +314,7 @@ def read_runs(docs: DataFrame, chosen: DataFrame, keep_text: bool) -> DataFrame:
                     rows.append((MEMBER, doc_id, tie, None, None,
                                  raw[run["first"]:run["last"] + WINDOW], run["key"], run["first"],
                                  run["role"], None))
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield as_batch(rows)
                     rows = []
             yield as_batch(rows)

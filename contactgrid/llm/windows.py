@@ -30,7 +30,7 @@ _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 def powers(length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Powers of each base and of its inverse, at least `length` of them."""
     if not _POWERS or len(_POWERS[0][0]) < length:
-        size = 1 << max(20, int(length).bit_length())
+        size = 1 << max(18, int(length).bit_length())
         made = []
         for base in BASES:
             inverse = pow(base, -1, 1 << 64)
