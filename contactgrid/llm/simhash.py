@@ -226,7 +226,10 @@ def link_fingerprints(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, tie, fingerprint (signed) and component_id of every document."""
+    """doc_id, tie, fingerprint (signed), root and component_id of every document.
+
+    `root` names the component by one of its fingerprints; a component_id may name several.
+    """
     work = Workspace(docs.sparkSession)
     prints = work.keep(add_fingerprints(docs, shingle), "fingerprints")
     codes = work.keep(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")),
@@ -236,19 +239,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         "fingerprint", "smallest", F.coalesce("root", "fingerprint").alias("root"))
     rooted = work.keep(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = rooted.join(ids, "root").select("fingerprint", "component_id")
+    named = rooted.join(ids, "root").select("fingerprint", "root", "component_id")
     return prints.join(named, "fingerprint").select(
-        "doc_id", "tie", "fingerprint", "component_id")
+        "doc_id", "tie", "fingerprint", "root", "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, columns as in `docs`."""
-    found = near_duplicates(docs)
-    chosen = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy("component_id", "doc_id").agg(F.min("tie").alias("tie")))
+    """One document of each component, the one with the smallest doc_id, columns as in `docs`.
+
+    Null ids come last; a component of null ids only keeps one of its documents.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
+    chosen = near_duplicates(docs).groupBy("root").agg(F.min(first).alias("first")).select(
+        "first.doc_id", F.col("first.tie").alias("chosen"))
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"),
                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    kept = row.join(chosen.withColumnRenamed("tie", "chosen"), F.col("key").eqNullSafe(
+    kept = row.join(chosen, F.col("key").eqNullSafe(
         F.col("doc_id")) & (F.col("tie") == F.col("chosen")), "left_semi")
     return kept.dropDuplicates(["key", "tie"]).select("row.*")
 

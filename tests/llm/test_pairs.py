@@ -74,6 +74,16 @@ def test_one_document_of_each_group_stays(make_docs, none):
     assert simhash.keep_representatives(none).collect() == []
 
 
+def test_unrelated_documents_under_one_id_or_none_stay(make_docs):
+    texts = [(None, prose(30 + n, 200), "a") for n in range(4)]
+    texts += [(None, prose(30, 200), "b"), (7, prose(40, 200), "a"), (7, prose(41, 200), "a"),
+              (8, prose(41, 200), "b"), (None, prose(40, 200), "c")]
+    kept = simhash.keep_representatives(make_docs(texts)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
+        [("None", prose(30 + n, 200)) for n in range(4)] + [("7", prose(40, 200)),
+                                                            ("7", prose(41, 200))])
+
+
 @pytest.mark.parametrize("node_rows", [1 << 13, 150])
 def test_links_inside_dense_groups(spark, monkeypatch, node_rows):
     monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
