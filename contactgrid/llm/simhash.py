@@ -3,12 +3,12 @@
 Fingerprint: A-Z lower-cased, words, three-word shingles with repeats, XXH64 (seed 42) of each; a
 bit is set if more than half of the hashes have it.
 
-Index. Distinct fingerprints only. Fingerprints at most three bits apart agree on at least one of
-four 16-bit bands, so the upper nodes are the (band, pattern) pairs: each holds what its members
-share, and no link is lost between them. Inside an upper node members are sorted by Gray rank
+Index. Distinct fingerprints only. Fingerprints at most `distance` bits apart agree on at least one
+of `distance + 1` bands, so the upper nodes are the (band, pattern) pairs: each holds what its
+members share, and no link is lost between them. Inside an upper node members are sorted by Gray rank
 (neighbours then share long runs of bits), and every run of `FAN` becomes a node with the mask and
 pattern of the bits all its members share; runs of runs follow. The search goes down from pairs of
-nodes and drops a pair as soon as the shared bits alone differ in more than three places, or all
+nodes and drops a pair as soon as the shared bits alone differ in more than `distance` places, or all
 members are linked already. Only a spanning star of each local component leaves the task.
 
 An upper node of more than `NODE_ROWS` members is split into parts; every pair of parts is a unit
@@ -36,7 +36,6 @@ from contactgrid.sources.tables import read_table
 
 SHINGLE = 3
 DISTANCE = 3
-BANDS = 4
 FAN = 8
 NODE_ROWS = 1 << 13
 #: Rows of the sorted members that one index is built over, and pairs compared at once.
@@ -183,11 +182,16 @@ class GrayIndex:
             self._refresh()
 
 
+def bands_for(distance: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of one band more than `distance`: so many flips leave a band as it is."""
+    ends = [64 * band // (distance + 1) for band in range(distance + 2)]
+    return [(low, high - low) for low, high in zip(ends, ends[1:], strict=False)]
+
+
 def link_fingerprints(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) that join every two of the distinct `codes` within `distance` bits."""
-    bits = 64 // BANDS
-    bands = F.array(*[F.shiftrightunsigned("fingerprint", bits * band).bitwiseAND(
-        F.lit((1 << bits) - 1)) for band in range(BANDS)])
+    bands = F.array(*[F.shiftrightunsigned("fingerprint", low).bitwiseAND(
+        F.lit((1 << bits) - 1 if bits < 64 else -1)) for low, bits in bands_for(distance)])
     members = codes.select("fingerprint", F.posexplode(bands).alias("band", "pattern"))
     sizes = members.groupBy("band", "pattern").agg(F.count("*").alias("size")).where("size > 1")
     parts = F.ceil(F.col("size") / F.lit(NODE_ROWS)).cast("int")
@@ -206,21 +210,23 @@ def link_fingerprints(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
             return pa.record_batch([pa.array(code.view(np.int64)), pa.array(root.view(np.int64))],
                                    names=["a", "b"])
 
+        def linked_units(keys: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+            return linked(np.cumsum(np.r_[False, (keys[1:] != keys[:-1]).any(1)]), codes)
+
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
         for batch in batches:
             *parts, codes = (column.to_numpy().astype(np.int64) for column in batch.columns)
-            node = ((parts[1] * BANDS + parts[0]) << 40) + (parts[2] << 20) + parts[3]
-            waiting.append((node, codes.view(np.uint64)))
-            rows += len(node)
+            waiting.append((np.stack(parts, 1), codes.view(np.uint64)))
+            rows += len(codes)
             if rows > SLAB_ROWS:
-                node, codes = (np.concatenate(part) for part in zip(*waiting, strict=True))
-                whole = node != node[-1]  # the last unit may go on in the next batch
+                keys, codes = (np.concatenate(part) for part in zip(*waiting, strict=True))
+                whole = (keys != keys[-1]).any(1)  # the last unit may go on in the next batch
                 if whole.any():
-                    yield linked(node[whole], codes[whole])
-                waiting, rows = [(node[~whole], codes[~whole])], int((~whole).sum())
+                    yield linked_units(keys[whole], codes[whole])
+                waiting, rows = [(keys[~whole], codes[~whole])], int((~whole).sum())
         if rows:
-            yield linked(*(np.concatenate(part) for part in zip(*waiting, strict=True)))
+            yield linked_units(*(np.concatenate(part) for part in zip(*waiting, strict=True)))
 
     return units.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long")
 

@@ -108,6 +108,21 @@ def test_links_inside_dense_groups(spark, monkeypatch, node_rows):
     assert len(set(mine)) == len(set(label)) == len(set(zip(mine, label, strict=True)))
 
 
+@pytest.mark.parametrize("distance", [0, 2, 7])
+def test_links_at_other_distances(spark, distance):
+    codes = sorted({code for step in (5, 9) for code in ball(step, 12, 12)} | {
+        sum(1 << bit for bit in range(0, 64, 9)), 0, 1 << 63, (1 << 64) - 1,
+        sum(1 << bit for bit in range(8, 64, 8))})
+    signed = np.array(codes, np.uint64).view(np.int64).tolist()
+    frame = spark.createDataFrame([(c,) for c in signed], "fingerprint long")
+    edges = simhash.link_fingerprints(frame, distance).collect()
+    label = components(codes, distance)
+    mine = np.arange(len(codes))
+    for a, b in edges:
+        mine[mine == mine[signed.index(a)]] = mine[signed.index(b)]
+    assert len(set(mine)) == len(set(label)) == len(set(zip(mine, label, strict=True)))
+
+
 def brute_removed(texts):
     seen, twice = set(), set()
     for raw in texts:
