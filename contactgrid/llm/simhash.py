@@ -45,18 +45,23 @@ PAIRS = 1 << 15
 COUNTED = 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of a whole text as an unsigned number."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles, in order and with repeats; none without words."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     width = min(shingle, len(words))
     ends = np.cumsum([len(word) + 1 for word in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in
-                       zip(starts, ends[width - 1:].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in
+                     zip(starts, ends[width - 1:].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of a whole text as an unsigned number."""
+    hashes = shingle_hashes(text, shingle)
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), COUNTED):
         part = hashes[at:at + COUNTED].view(np.uint8).reshape(-1, 8)
@@ -250,13 +255,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         "doc_id", "tie", "fingerprint", "root", "component_id")
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, columns as in `docs`.
+def representatives(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One document of each group of `rooted` (doc_id, tie, root), columns as in `docs`.
 
-    Null ids come last; a component of null ids only keeps one of its documents.
+    The smallest doc_id stays. Null ids come last; a group of null ids only keeps one document.
     """
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
-    chosen = near_duplicates(docs).groupBy("root").agg(F.min(first).alias("first")).select(
+    chosen = rooted.groupBy("root").agg(F.min(first).alias("first")).select(
         "first.doc_id", F.col("first.tie").alias("chosen"))
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"),
                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
@@ -265,6 +270,11 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["key", "tie"]).select("row.*")
 
 
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component of near fingerprints."""
+    return representatives(docs, near_duplicates(docs))
+
+
 @register("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""

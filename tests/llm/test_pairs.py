@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from llm_cases import odd_texts, prose
 
+import corpus_pipeline
 from contactgrid.llm import neighbours, simhash, suffixes, windows
 
 
@@ -84,6 +85,47 @@ def test_unrelated_documents_under_one_id_or_none_stay(make_docs):
                                                             ("7", prose(41, 200))])
 
 
+def five_word_sets(texts):
+    return [{tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+            for words in (t.split() for t in texts)]
+
+
+def test_the_stage_removes_copies_of_similarity_from_eight_tenths(spark, make_docs, none):
+    rng = random.Random(3)
+    texts = []
+    for group, edits in enumerate([1, 4, 8, 9, 10, 11, 12, 14, 20, 40]):
+        words = prose(60 + group, 400).split()
+        texts.append(" ".join(words))
+        for copy in range(12):
+            other = list(words)
+            for at in rng.sample(range(400), edits):
+                other[at] = f"edit{copy}"
+            texts.append(" ".join(other))
+    sets = five_word_sets(texts)
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    docs = make_docs([(n, t, "a") for n, t in enumerate(texts)])
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    assert 10 < len(set(label)) < 100
+    assert kept.columns == none.columns
+    assert corpus_pipeline.near_dedup(spark, none, "").collect() == []
+
+
+def test_the_stage_keeps_unrelated_documents_under_one_id_or_none(spark, make_docs):
+    texts = [(None, prose(30, 200), "a"), (None, prose(31, 200), "a"), (None, None, "a"),
+             (7, prose(40, 200), "a"), (7, prose(41, 200), "a"), (8, prose(41, 200), "b"),
+             (None, prose(40, 200), "c"), (9, " ", "c"), (7, "few words", "c")]
+    kept = corpus_pipeline.near_dedup(spark, make_docs(texts), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
+        [("None", prose(30, 200)), ("None", prose(31, 200)), ("7", prose(40, 200)),
+         ("7", prose(41, 200)), ("9", " "), ("7", "few words")])
+
+
 @pytest.mark.parametrize("node_rows", [1 << 13, 150])
 def test_links_inside_dense_groups(spark, monkeypatch, node_rows):
     monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
