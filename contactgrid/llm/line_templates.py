@@ -10,6 +10,12 @@ Documents count as different by their surroundings: a line's surrounding is the
 the document's other lines. Copies of a document share it, so a group of copies does not turn its
 prose into a template; a template needs surroundings numbering at least `VARIED` of its documents.
 
+`drop_templates`, the pipeline's form, counts different documents absolutely: copies of a text are
+one, and a document differs from its near copies by its own lines, those that fewer than `min_docs`
+texts hold. If they are long enough for that (`OWN`), the smallest hash among them is the document's
+sign, and if not, the smallest among its other lines, which near copies share. A template recurs if
+its documents have at least `min_docs` signs, however many copies there are besides.
+
 Rules for the constant part: at least 3 constant words; with generalised places at least 5 constant
 words and four fifths of all.
 
@@ -33,6 +39,9 @@ LEAD = 3
 MIN_DOCS = 10
 #: Least share of different surroundings among a template's documents, in tenths.
 VARIED = 6
+#: Own characters that set a document apart, as a share of the others: an eighth of k shared ones
+#: on both sides is a similarity of k / (k + 2k/8), which is 0.8.
+OWN = 8
 WILD = "<*>"
 #: A word with a digit, from its first character; possessive, so long words cost linear time.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -82,12 +91,35 @@ def line_table(docs: DataFrame) -> DataFrame:
                        around.alias("around"))
 
 
-def recurring_lines(work: Workspace, lines: DataFrame, min_docs: int) -> DataFrame:
+def signed_lines(work: Workspace, lines: DataFrame, min_docs: int) -> DataFrame:
+    """`lines` once for each text, with `around` the sign of the text instead."""
+    once = work.keep(lines.dropDuplicates(["tie", "hash"]), "text-lines")
+    held = once.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(
+        "hash", F.lit(True).alias("held"))
+    parts = once.select("tie", "hash", F.length("line").alias("chars")).join(
+        held, "hash", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    own, other = ~F.col("held"), F.col("held")
+    signs = parts.groupBy("tie").agg(
+        F.sum(F.when(own, F.col("chars")).otherwise(0)).alias("own"),
+        F.sum(F.when(other, F.col("chars")).otherwise(0)).alias("other"),
+        F.min(F.when(own, F.col("hash"))).alias("own_sign"),
+        F.min(F.when(other, F.col("hash"))).alias("other_sign"))
+    sign = F.when(F.col("own") * OWN > F.col("other"), F.col("own_sign")).otherwise(
+        F.col("other_sign"))
+    signs = signs.select("tie", sign.alias("around"))
+    return work.keep(once.drop("around").join(signs, "tie"), "signed-lines")
+
+
+def recurring_lines(work: Workspace, lines: DataFrame, min_docs: int,
+                    absolute: bool = False) -> DataFrame:
     """(leaf, hash) of every line whose template recurs.
 
     Leaves below `min_docs` lines cannot hold a template and
-    go first; what is left is grouped to distinct lines before words are compared.
+    go first; what is left is grouped to distinct lines before words are compared. `absolute`
+    counts different documents by their signs and not as a share.
     """
+    if absolute:
+        lines = signed_lines(work, lines, min_docs)
     leaves = work.keep(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(
         F.col("n") >= min_docs).select("leaf"), "leaves")
     busy = lines.join(leaves, "leaf", "left_semi")
@@ -115,6 +147,13 @@ def recurring_lines(work: Workspace, lines: DataFrame, min_docs: int) -> DataFra
     fixed = (F.col("constant") >= 3) & ((F.col("wild") == 0) | (
         (F.col("constant") >= 5) & (F.col("constant") * 5 >= F.col("words") * 4)))
     kept = templates.where(fixed)
+    if absolute:
+        signs = busy.select("leaf", "hash", "around").distinct().join(
+            kept.select("leaf", "hash", "template"), ["leaf", "hash"]).select(
+                "leaf", "template", "around").distinct()
+        recurring = signs.groupBy("leaf", "template").agg(F.count("*").alias("varied")).where(
+            F.col("varied") >= min_docs)
+        return kept.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "hash")
     recurring = kept.groupBy("leaf", "template").agg(
         F.sum("docs").alias("docs"), F.sum("varied").alias("varied")).where(
             (F.col("varied") >= min_docs) & (F.col("varied") * 10 >= F.col("docs") * VARIED))
@@ -122,11 +161,11 @@ def recurring_lines(work: Workspace, lines: DataFrame, min_docs: int) -> DataFra
         "leaf", "hash")
 
 
-def mark_lines(docs: DataFrame, min_docs: int) -> DataFrame:
+def mark_lines(docs: DataFrame, min_docs: int, absolute: bool = False) -> DataFrame:
     """row (struct of all columns), lines, gone: `docs` with the hashes of its recurring lines."""
     work = Workspace(docs.sparkSession)
     lines = work.keep(line_table(docs), "lines")
-    found = work.keep(recurring_lines(work, lines, min_docs), "recurring")
+    found = work.keep(recurring_lines(work, lines, min_docs, absolute), "recurring")
     gone = lines.select("doc_id", "tie", "leaf", "hash").join(found, ["leaf", "hash"], "left_semi").groupBy("doc_id", "tie").agg(
         F.collect_set("hash").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie"), "gone")
@@ -136,12 +175,12 @@ def mark_lines(docs: DataFrame, min_docs: int) -> DataFrame:
         F.col("tie") == F.col("gone_tie")), "left").select("row", "gone")
 
 
-def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, absolute: bool = False) -> DataFrame:
     """row, text (without recurring lines), n_lines, n_dropped."""
     raw, text = F.col("row.text"), F.coalesce("row.text", F.lit(""))
     paired = F.when(F.col("gone").isNotNull(), F.arrays_zip(
         F.split(text, "\n", -1).alias("raw"), lines_of(text).alias("line")))
-    step = mark_lines(docs, min_docs).select(
+    step = mark_lines(docs, min_docs, absolute).select(
         "row", "gone", F.inline(F.array(F.struct(paired.alias("pairs")))))
     stay = F.filter("pairs", lambda pair: (pair["line"] == "") | ~F.array_contains(
         "gone", hashed(pair["line"])))
@@ -158,10 +197,10 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """`docs` without recurring lines, columns as before."""
+    """`docs` without lines that enough different documents hold, columns as before."""
     fields = [F.col("text") if name == "text" else F.col(f"row.`{name}`")
               for name in docs.columns]
-    return cleaned(docs, min_docs).select(*fields)
+    return cleaned(docs, min_docs, absolute=True).select(*fields)
 
 
 SQL = rf"""

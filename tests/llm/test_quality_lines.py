@@ -1,5 +1,6 @@
 """Quality rules and line templates against direct computations."""
 
+import random
 import re
 
 import duckdb
@@ -86,6 +87,42 @@ def test_templates_go_and_copies_stay(make_docs):
     assert all(rows[100 + n].n_dropped == 0 for n in range(30))
 
 
+def words_line(rng, many=8):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(many))
+
+
+def test_copies_of_a_document_do_not_protect_a_template(make_docs):
+    rng = random.Random(5)
+    texts = [(n, "\n".join([words_line(rng), words_line(rng), BOILER]), "a") for n in range(14)]
+    near = [words_line(rng) for _ in range(20)]
+    for n in range(80):  # exact copies, then near ones, of two documents with the line
+        texts.append((100 + n, texts[3][1], "b"))
+        other = list(near)
+        other[n % 20] = words_line(rng)
+        texts.append((200 + n, "\n".join([*other, BOILER]), "b"))
+    rows = {r.doc_id: r.text for r in line_templates.drop_templates(make_docs(texts)).collect()}
+    for doc, text, _ in texts:
+        assert rows[doc] == text.removesuffix(f"\n{BOILER}")
+
+
+def test_a_block_of_shared_lines_goes_whole(make_docs):
+    rng = random.Random(6)
+    block = [words_line(rng) for _ in range(10)]
+    own = ["\n".join(words_line(rng) for _ in range(5)) for _ in range(14)]
+    docs = make_docs([(n, "\n".join([text, *block]), "a") for n, text in enumerate(own)])
+    rows = {r.doc_id: r.text for r in line_templates.drop_templates(docs).collect()}
+    assert [rows[n] for n in range(14)] == own
+
+
+def test_a_template_needs_different_documents_not_lines(make_docs):
+    rng = random.Random(7)
+    text = "\n".join(f"this one document says over and over again {words_line(rng, 1)}"
+                     for _ in range(15))
+    docs = make_docs([(1, f"{text}\n{words_line(rng)}", "a"), (2, words_line(rng), "a")])
+    rows = {r.doc_id: r.text for r in line_templates.drop_templates(docs).collect()}
+    assert rows[1].startswith(text)
+
+
 def test_a_document_of_templates_only_keeps_its_text(make_docs):
     texts = [*template_docs(), (500, f"{BOILER}\n\nPage 7 of 99 printed today", "c")]
     rows = {r.doc_id: r for r in line_templates.drop_templates(make_docs(texts)).collect()}
