@@ -107,7 +107,9 @@ def signed_lines(work: Workspace, lines: DataFrame, min_docs: int) -> DataFrame:
     sign = F.when(F.col("own") * OWN > F.col("other"), F.col("own_sign")).otherwise(
         F.col("other_sign"))
     signs = signs.select("tie", sign.alias("around"))
-    return work.keep(once.drop("around").join(signs, "tie"), "signed-lines")
+    signed = work.keep(once.drop("around").join(signs, "tie"), "signed-lines")
+    work.drop(once)
+    return signed
 
 
 def recurring_lines(work: Workspace, lines: DataFrame, min_docs: int,
