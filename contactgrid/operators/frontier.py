@@ -19,7 +19,7 @@ from contactgrid.config import SiteScanConfig
 from contactgrid.functions import scoring
 from contactgrid.operators.keyed import winner_per_key
 from contactgrid.operators.links import with_source
-from contactgrid.session import materialize
+from contactgrid.session import materialize, ship_package
 
 _VISIT_SCHEMA = (
     "{name} {kind}, visit int, url string, depth int, score int, page_outcome string,"
@@ -93,6 +93,7 @@ def visit_sites(
     schema = _VISIT_SCHEMA.format(name=site, kind=seeds.schema[site].dataType.simpleString())
     # sites stream through a task one after the other; the state is one site's bounded page set
     ordered = rows.repartition(site).sortWithinPartitions(site)
+    ship_package(ordered.sparkSession)
     return ordered.mapInPandas(_visitor(site, config), schema)
 
 

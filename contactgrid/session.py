@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +34,28 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark application.
+
+    Functions that run in tasks refer to it, and executors need not have it installed: the zip
+    goes out over Spark's own distribution of files.
+    """
+    context = spark.sparkContext
+    if hasattr(context, "_shipped_package"):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.TemporaryDirectory()  # the driver's own; Spark serves the file from here
+    path = os.path.join(folder.name, f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for place, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(place, name)
+                    archive.write(file, os.path.relpath(file, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._shipped_package = folder  # goes with the context
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in `spark.checkpoint.dir`.
 

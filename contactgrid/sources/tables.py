@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 SCHEMAS = {
     "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double,"
               " props string",
