@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 MODULES = ("token_counts", "token_files", "packing", "quality", "simhash", "line_templates", "warc",
-           "mixing", "suffixes", "neighbours")
+           "mixing", "suffixes", "neighbours", "alignment", "conversations", "jaccard")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -6,7 +6,7 @@ import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contactgrid.session import shared_folder
+from contactgrid.session import shared_folder, ship_package
 
 
 class Workspace:
@@ -17,6 +17,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
+        ship_package(spark)
         self.spark = spark
         self.folder = shared_folder(spark)
         self.made = 0

@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
+from contactgrid.session import ship_package
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker remembers before it starts anew; this bounds memory and changes no result.
 REMEMBERED = 1 << 19
@@ -38,6 +40,7 @@ def vocabulary_file(name: str = VOCABULARY) -> str:
 
 def ship_vocabulary(spark: SparkSession, path: str):
     """Broadcast of a vocabulary file's text; its size is the file's, whatever the corpus."""
+    ship_package(spark)
     with open(path, encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
 
