@@ -3,8 +3,13 @@
 Writing: a record is its header lines, an empty line and its block; two line ends close it. Spark's
 text writer puts exactly these after every row, so a table of record texts written with that line
 separator is a WARC file (gzip-compressed as a whole, at most `RECORDS_PER_FILE` records each).
-Reading: files are read whole and cut by Content-Length, so a block may hold anything; digests are
-compared with the bytes.
+Reading: compressed files come through Spark's text reader, cut at empty lines, so that a task holds
+a record and not a file, and files may have any size and any number of gzip members (one for each
+record is usual). Uncompressed files are read whole. Records are cut by Content-Length, so a block
+may hold anything; SHA-1 digests are compared with the bytes, others are not judged (null). Header
+names count whatever their case, folded lines are joined, values of a repeated name are joined by
+commas, bytes that are no UTF-8 are replaced, a missing or wrong Content-Length counts as 0, and
+what stands between records is passed over.
 
 Deriving: each response gives a metadata record (JSON: the response's WARC and HTTP headers, title
 and counts) and a conversion record (its visible text). Both refer to the response by its record
@@ -22,10 +27,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import html as entities
+import itertools
 import json
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 
 from contactgrid.llm.queries import register
 from contactgrid.llm.storage import Workspace
+from contactgrid.session import ship_package
 from contactgrid.sources.tables import read_table
 
 VERSION = "WARC/1.1"
@@ -48,6 +54,15 @@ RECORD = ("record_id string, type string, date string, target_uri string, refers
 NAMES = [field.split()[0] for field in RECORD.split(", ")]
 KINDS = (*[pa.string()] * 5, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(),
          pa.bool_(), pa.map_(pa.string(), pa.string()), pa.binary())
+#: Header names that are read, as they are written.
+CANONICAL = {name.lower(): name for name in (
+    "WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Refers-To",
+    "WARC-Block-Digest", "WARC-Payload-Digest", "Content-Type", "Content-Length", "X-Page-ID")}
+HEAD = re.compile(rb"WARC/[0-9]")
+WHOLE = re.compile(r"-?[0-9]{1,18}")
+LENGTH = re.compile(r"[0-9]+")
+#: Bytes of blocks that are passed on at once.
+BATCH_BYTES = 1 << 23
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)",
                     re.I | re.S)
 BLOCKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|"
@@ -106,6 +121,7 @@ def write_responses(pages: DataFrame, folder: str, date: str = DATE) -> None:
                 *(column.to_pylist() for column in batch.columns), strict=True)], pa.string())],
                 names=["value"])
 
+    ship_package(pages.sparkSession)
     write_records(pages.select("page_id", "url", "html").mapInArrow(build, "value string"), folder)
 
 
@@ -115,45 +131,119 @@ def write_records(records: DataFrame, folder: str) -> None:
         "maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
-def parse_records(raw: bytes) -> Iterator[tuple]:
-    """Rows of `RECORD` for every record of an uncompressed file."""
-    at = 0
-    while at < len(raw):
-        head = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:head].decode().split("\r\n")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
-        length = int(headers["Content-Length"])
-        block = raw[head + 4:head + 4 + length]
-        at = head + 4 + length + 4
-        page = headers.get("X-Page-ID")
-        yield (headers["WARC-Record-ID"], headers["WARC-Type"], headers["WARC-Date"],
-               headers.get("WARC-Target-URI"), headers.get("WARC-Refers-To"),
-               None if page is None else int(page), headers.get("Content-Type"), length,
-               headers.get("WARC-Block-Digest"), headers.get("WARC-Payload-Digest"),
-               headers.get("WARC-Block-Digest") == digest(block), list(headers.items()), block)
+def parse_headers(head: bytes) -> dict[str, str]:
+    """Header fields of a record by canonical name."""
+    fields: list[list[str]] = []
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1][1] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            fields.append([CANONICAL.get(name.strip().lower(), name.strip()), value.strip()])
+    joined: dict[str, str] = {}
+    for name, value in fields:
+        joined[name] = f"{joined[name]}, {value}" if name in joined else value
+    return joined
+
+
+def record_row(headers: dict[str, str], block: bytes) -> tuple:
+    """Row of `RECORD`."""
+    page, stated = headers.get("X-Page-ID", ""), headers.get("WARC-Block-Digest")
+    known = stated is not None and stated[:5].lower() == "sha1:" and len(stated) == 37
+    return (headers.get("WARC-Record-ID"), headers.get("WARC-Type"), headers.get("WARC-Date"),
+            headers.get("WARC-Target-URI"), headers.get("WARC-Refers-To"),
+            int(page) if WHOLE.fullmatch(page) else None, headers.get("Content-Type"), len(block),
+            stated, headers.get("WARC-Payload-Digest"),
+            stated[5:].upper() == digest(block)[5:] if known else None, list(headers.items()),
+            block)
+
+
+class RecordCutter:
+    """Records of one file from its pieces, which empty lines (`END`) divide."""
+
+    def __init__(self):
+        self.headers: dict[str, str] | None = None
+        self.parts: list[bytes] = []
+        self.missing = 0
+
+    def add(self, piece: bytes) -> Iterator[tuple]:
+        """Take the next piece; gives the row that it completes, if any."""
+        if self.headers is None:
+            start = HEAD.search(piece)
+            if start is None:
+                return
+            self.headers = parse_headers(piece[start.start():])
+            length = self.headers.get("Content-Length", "")
+            self.missing = int(length) if LENGTH.fullmatch(length) else 0
+            self.parts = []
+            if not self.missing:
+                yield from self.close()
+        else:
+            self.parts.append(piece)
+            self.missing -= len(piece)
+            if self.missing <= 0:
+                rest = self.parts[-1][len(piece) + self.missing:]
+                self.parts[-1] = piece[:len(piece) + self.missing]
+                yield from self.close()
+                if rest:  # files that close records with fewer line ends
+                    yield from self.add(rest)
+            else:  # the empty line belongs to the block
+                self.parts.append(END.encode()[:self.missing])
+                self.missing -= len(END)
+                if self.missing <= 0:
+                    yield from self.close()
+
+    def close(self) -> Iterator[tuple]:
+        """The row of what has been read of a record; also at the end of a file."""
+        if self.headers is not None:
+            yield record_row(self.headers, b"".join(self.parts))
+            self.headers = None
+
+
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """Rows of `RECORD` for every record of one file's pieces."""
+    cutter = RecordCutter()
+    for piece in pieces:
+        yield from cutter.add(piece)
+    yield from cutter.close()
 
 
 def read_records(spark: SparkSession, folder: str, with_blocks: bool = True) -> DataFrame:
-    """Every record of the WARC files of a folder; `block` is null without `with_blocks`."""
+    """Every record of a folder's `.gz` and `.warc` files; `block` is null without `with_blocks`."""
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for row in parse_records(zlib.decompress(content.as_py(), 31)):
-                    rows.append(row if with_blocks else (*row[:-1], None))
-                    if len(rows) == 256:
-                        yield as_batch(rows)
-                        rows = []
-                yield as_batch(rows)
+    def rows_of(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple]:
+        for _, same in itertools.groupby(pieces, lambda piece: piece[0]):
+            yield from parse_records(piece for _, piece in same)
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * len(KINDS)
         return pa.record_batch([pa.array(column, kind) for column, kind in
                                 zip(columns, KINDS, strict=True)], names=NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
-    return files.select("content").mapInArrow(parse, RECORD)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        pieces = (piece for batch in batches for piece in zip(
+            *(column.to_pylist() for column in batch.columns), strict=True))
+        for row in rows_of(pieces):
+            rows.append(row if with_blocks else (*row[:-1], None))
+            size += row[7]
+            if len(rows) == 256 or size > BATCH_BYTES:
+                yield as_batch(rows)
+                rows, size = [], 0
+        yield as_batch(rows)
+
+    def parse_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield from (as_batch([row if with_blocks else (*row[:-1], None)]) for row in
+                            parse_records(iter(content.as_py().split(END.encode()))))
+
+    ship_package(spark)
+    packed = (spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(folder)
+              .select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary")))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder)
+    return packed.mapInArrow(parse, RECORD).union(
+        plain.select("content").mapInArrow(parse_whole, RECORD))
 
 
 def visible_text(page: str) -> str:
@@ -201,6 +291,7 @@ def derive_records(records: DataFrame) -> DataFrame:
                 for text in derived_texts(dict(headers), block)]
             yield pa.record_batch([pa.array(made, pa.string())], names=["value"])
 
+    ship_package(records.sparkSession)
     return records.where("type = 'response'").select("headers", "block").mapInArrow(
         derive, "value string")
 
