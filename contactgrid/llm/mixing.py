@@ -197,14 +197,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     places, mixed = mix(docs)
     rounds = mixed.groupBy("place", "at", "round").agg(F.max("end").alias("words"))
     takes = work.keep(places.where("size > 0").join(rounds, ["place", "at"]).select(
-        F.col("doc_id").alias("take_id"), F.col("tie").alias("take_tie"), "size", "words"),
-        "takes")
-    # equal rows are interchangeable, so each (doc_id, tie) deals its takes to one of them
+        F.col("doc_id").alias("take_id"), F.col("tie").alias("take_tie"),
+        F.col("source").alias("take_source"), "size", "words"), "takes")
+    # rows equal in id, text and source are interchangeable: one of them stands for their takes
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"),
+                        F.col("source").alias("from"),
                         F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    whole = whole.dropDuplicates(["key", "tie"])
+    whole = whole.dropDuplicates(["key", "tie", "from"])
     joined = whole.join(takes, F.col("key").eqNullSafe(F.col("take_id")) & (
-        F.col("tie") == F.col("take_tie")))
+        F.col("tie") == F.col("take_tie")) & F.col("from").eqNullSafe(F.col("take_source")))
     text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(
         words_of(F.col("row.text")), F.lit(1), F.col("words").cast("int")), " ")).otherwise(
             F.col("row.text"))
