@@ -153,31 +153,23 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         ranks[row.token_id] = rank
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for batch in batches:
-            if batch.num_rows:
-                control, data = pack_ranks(ranks[stored_ids(batch.column(3), batch.column(4))],
-                                           batch.column(2).to_numpy())
-                yield pa.record_batch(
-                    [batch.column(0), batch.column(1), batch.column(2), control, data],
-                    names=["doc_id", "tie", "n_tokens", "control", "data"])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            counts = batch.column(2).to_numpy()
-            starts = start + np.cumsum(counts) - counts
-            start += int(counts.sum())
-            yield pa.record_batch([
-                pa.array(np.full(len(counts), shard), pa.int32()), pa.array(starts, pa.int64()),
-                batch.column(0), batch.column(2), batch.column(3), batch.column(4)],
-                names=["shard", "start_in_shard", "doc_id", "n_tokens", "control", "data"])
-
-    coded = encoded.mapInArrow(
-        code, "doc_id long, tie long, n_tokens long, control binary, data binary")
-    (coded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-     .mapInArrow(place, STORED)
+            if batch.num_rows:
+                counts = batch.column(1).to_numpy()
+                control, data = pack_ranks(ranks[stored_ids(batch.column(2), batch.column(3))],
+                                           counts)
+                starts = start + np.cumsum(counts) - counts
+                start += int(counts.sum())
+                yield pa.record_batch([
+                    pa.array(np.full(len(counts), shard), pa.int32()),
+                    pa.array(starts, pa.int64()), batch.column(0), batch.column(1), control, data],
+                    names=["shard", "start_in_shard", "doc_id", "n_tokens", "control", "data"])
+
+    # ranges are found from the written table's keys alone, so nothing is coded twice
+    (encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+     .select("doc_id", "n_tokens", "width", "ids").mapInArrow(code, STORED)
      .write.option("compression", "zstd").parquet(f"{folder}/documents"))
     work.drop(encoded)
 
