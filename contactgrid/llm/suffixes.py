@@ -412,12 +412,13 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, unit_runs: int = UNI
 
 @register("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without its repeated passages."""
-    cut = remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=False)
-    removed = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("sum"),
-                                            F.lit(-1).cast("long").alias("sign")),
-                          lambda total, edge: F.struct(
-                              (total["sum"] + edge * total["sign"]).alias("sum"),
-                              (-total["sign"]).alias("sign")), lambda total: total["sum"])
-    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), "n_spans",
-                      F.lower(F.hex("kept")).alias("kept_sha256"))
+    """What is left of every document without its repeated passages.
+
+    `text` is what is kept; characters that a span cuts into are shown as replacement characters.
+    """
+    cut = remove_repeats(read_table(spark, sf_dir, "documents"))
+    n_kept = F.octet_length("kept").cast("long")
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - n_kept).alias("n_removed"), "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"), n_kept.alias("n_kept"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
