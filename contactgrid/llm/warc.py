@@ -136,7 +136,7 @@ def parse_headers(head: bytes) -> dict[str, str]:
     fields: list[list[str]] = []
     for line in head.decode("utf-8", "replace").splitlines()[1:]:
         if line[:1] in (" ", "\t") and fields:
-            fields[-1][1] += " " + line.strip()
+            fields[-1][1] = f"{fields[-1][1]} {line.strip()}".strip()
         elif ":" in line:
             name, value = line.split(":", 1)
             fields.append([CANONICAL.get(name.strip().lower(), name.strip()), value.strip()])
@@ -260,7 +260,7 @@ def derived_texts(headers: dict[str, str], block: bytes) -> tuple[str, str]:
     page = payload.decode("utf-8", "replace")
     text = visible_text(page)
     title = TITLE.search(page)
-    source = headers["WARC-Record-ID"]
+    source = headers.get("WARC-Record-ID") or record_id("unnamed", digest(block))
     summary = json.dumps({
         "warc_headers": headers, "http_status": status,
         "http_headers": dict(line.split(": ", 1) for line in lines if ": " in line),
@@ -271,7 +271,7 @@ def derived_texts(headers: dict[str, str], block: bytes) -> tuple[str, str]:
     def linked(kind: str, content_type: str, body: str) -> str:
         return record_text([
             ("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)),
-            ("WARC-Date", headers["WARC-Date"]),
+            ("WARC-Date", headers.get("WARC-Date")),
             ("WARC-Target-URI", headers.get("WARC-Target-URI")),
             ("WARC-Refers-To", source), ("X-Page-ID", headers.get("X-Page-ID")),
             ("WARC-Payload-Digest", headers.get("WARC-Payload-Digest")),

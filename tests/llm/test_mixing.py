@@ -128,3 +128,17 @@ def test_nothing_to_mix(make_docs, none):
     rows = mixing.taken_words(places, mixed).collect()
     assert sorted((r.doc_id, r.size, r.taken, r.target) for r in rows) == [
         (1, 0, 0, 0.0), (2, 0, 0, 0.0)]
+
+
+def test_one_id_and_text_in_two_sources(make_docs):
+    texts = [(1, prose(1, 90), "a"), (1, prose(1, 90), "b"), (2, prose(2, 90), "c"),
+             (1, prose(1, 90), None)]
+    docs = make_docs(texts)
+    taken = {}
+    for row in mixing.taken_words(*mixing.mix(docs)).collect():
+        taken[row.source] = taken.get(row.source, 0) + row.taken
+    words = {}
+    for row in mixing.mixed_documents(docs).collect():
+        words[row.source] = words.get(row.source, 0) + len(row.text.split())
+    assert words == {source: n for source, n in taken.items() if n}
+    assert len(words) > 1

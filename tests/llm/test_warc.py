@@ -1,5 +1,6 @@
 """WARC round trips and derived records."""
 
+import gzip
 import json
 
 from contactgrid.llm import warc
@@ -67,3 +68,35 @@ def test_ids_are_stable():
     first = warc.response_text(1, "http://a.example", "x", warc.DATE)
     assert first == warc.response_text(1, "http://a.example", "x", warc.DATE)
     assert first != warc.response_text(2, "http://a.example", "x", warc.DATE)
+
+
+def foreign_record(name, body, *more):
+    head = [b"WARC/1.0", b"warc-type:response", b"WARC-Record-ID: " + name, *more,
+            b"Content-Length: %d" % len(body)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_foreign_files_of_many_members(spark, tmp_path):
+    bodies = [b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>x", b"", b"a\r\n\r\nb\r\n\r\n", b"\r\n\r\n",
+              b"\xff\xfe\r\n\r\r\n\r\n\r\n", b"\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc",
+              b"\r\n" * 50 + b"long " * 100_000]
+    twice = b"WARC-Concurrent-To: <a>", b"WARC-Concurrent-To:\r\n <b>"
+    with open(tmp_path / "a.warc.gz", "wb") as file:
+        for n, body in enumerate(bodies):
+            file.write(gzip.compress(foreign_record(b"<%d>" % n, body, *twice)))
+    with open(tmp_path / "one.warc.gz", "wb") as file:
+        file.write(gzip.compress(b"".join(foreign_record(b"<1%d>" % n, body)
+                                          for n, body in enumerate(bodies))))
+    with open(tmp_path / "b.warc", "wb") as file:
+        file.write(b"\r\n" + b"".join(
+            foreign_record(b"<2%d>" % n, body, b"WARC-Block-Digest: md5:x")
+            for n, body in enumerate(bodies)))
+    rows = {r.record_id: r for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert len(rows) == 3 * len(bodies)
+    for n, body in enumerate(bodies):
+        for name in (f"<{n}>", f"<1{n}>", f"<2{n}>"):
+            assert bytes(rows[name].block) == body and rows[name].type == "response"
+            assert rows[name].content_length == len(body) and rows[name].digest_ok is None
+        assert rows[f"<{n}>"].headers["WARC-Concurrent-To"] == "<a>, <b>"
+    texts = warc.derive_records(warc.read_records(spark, str(tmp_path))).collect()
+    assert len(texts) == 2 * len(rows)
