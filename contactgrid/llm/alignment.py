@@ -49,6 +49,8 @@ CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:[{OTHER_SPACE}][{SPACE}]*[^{SPACE}]
 REMEMBERED, REMEMBERED_CHARS = 1 << 18, 1 << 24
 #: Characters of documents that are aligned at once; a longer document is taken alone.
 TAKEN_CHARS = 1 << 21
+#: Chunks whose bytes are compared with their tokens' at once, before any alone.
+SPELLED = 1 << 10
 #: Pairs that a counting task holds before it sums them up.
 COUNTED = 1 << 21
 #: Largest number of id pairs whose counts (17 bytes each) are sent to all tasks.
@@ -106,24 +108,35 @@ class Aligner:
         self.facts = np.zeros((0, 5), np.int64)
         self.pairs = np.zeros(0, np.int64)
 
-    def _pieces(self, chunk: str) -> list[int]:
-        """B's ids of a chunk as they stand inside a text (the library adds a space in front)."""
-        if chunk[0] == " ":
-            return self.b.encode(chunk[1:]) if len(chunk) > 1 else [self.space]
-        ids = self.b.encode(chunk)
-        return ids[1:] if ids[:1] == [self.space] else []
+    def _pieces(self, chunks: list[str]) -> list[list[int]]:
+        """B's ids of chunks as they stand inside a text (the library adds a space in front)."""
+        found = self.b.encode([chunk[1:] if chunk[0] == " " else chunk for chunk in chunks],
+                              num_threads=1)
+        for place, chunk in enumerate(chunks):
+            if chunk == " ":
+                found[place] = [self.space]
+            elif chunk[0] != " ":
+                ids = found[place]
+                found[place] = ids[1:] if ids[:1] == [self.space] else []
+        return found
+
+    def _spelled(self, ids_a: list[list[int]], ids_b: list[list[int]], raw: bytes) -> bool:
+        return all(b"".join([table[i] for one in ids for i in one]) == raw for table, ids in (
+            (self.bytes_a, ids_a), (self.bytes_b, ids_b)))
 
     def learn(self, chunks: list[str]) -> None:
         """Encode and align new chunks, all at once."""
         ids_a = [found.ids for found in self.a.encode_batch(chunks, add_special_tokens=False)]
-        ids_b = [self._pieces(chunk) for chunk in chunks]
-        sound = np.zeros(len(chunks), bool)
-        for place, (chunk, one, two) in enumerate(zip(chunks, ids_a, ids_b, strict=True)):
-            raw = chunk.encode()
-            sound[place] = b"".join([self.bytes_a[i] for i in one]) == raw and b"".join(
-                [self.bytes_b[i] for i in two]) == raw
-            if not sound[place]:
-                ids_a[place] = ids_b[place] = []
+        ids_b = self._pieces(chunks)
+        sound = np.ones(len(chunks), bool)
+        for begin in range(0, len(chunks), SPELLED):
+            part = slice(begin, begin + SPELLED)
+            if self._spelled(ids_a[part], ids_b[part], "".join(chunks[part]).encode()):
+                continue
+            for place, chunk in enumerate(chunks[part], begin):
+                sound[place] = self._spelled([ids_a[place]], [ids_b[place]], chunk.encode())
+                if not sound[place]:
+                    ids_a[place] = ids_b[place] = []
         many_a, many_b = (np.array([len(one) for one in ids]) for ids in (ids_a, ids_b))
         flat_a, flat_b = (np.array([i for one in ids for i in one], np.int64)
                           for ids in (ids_a, ids_b))
