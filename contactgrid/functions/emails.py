@@ -103,12 +103,14 @@ def candidate_stages(config: ExtractionConfig, from_html: bool) -> tuple[Stage,
     """
 
     def mailto(c: Getter) -> dict[str, Column]:
-        links = F.when(
-            c("clean_html").rlike("(?i)mailto:"),
-            F.regexp_extract_all(c("clean_html"), F.lit(html.MAILTO_HREF), 1))
-        links = F.coalesce(links, F.array().cast("array<string>"))
+        # most pages hold no such link: their markup is not read a second time
+        links = F.when(c("html").rlike("(?i)mailto|href[^>]*+&"), html.link_addresses(html.mark_tags(c("html"), html.TEXT_MARKUP)))
+        links = F.transform(
+            F.coalesce(links, F.array().cast("array<string>")),
+            lambda value: strip_space(decode_entities(value, in_attribute=True)))
         return {"mailto": F.flatten(F.transform(
-            links, lambda value: mailto_candidates(html.unquote_attribute(value), config)))}
+            F.filter(links, lambda value: F.lower(value).startswith("mailto:")),
+            lambda value: mailto_candidates(value, config)))}
 
     def no_mailto(c: Getter) -> dict[str, Column]:
         return {"mailto": F.array().cast(

@@ -16,59 +16,105 @@ from contactgrid.functions.text import SPACE, collapse_space, decode_entities, f
 
 _ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
 TAG = rf"</?[a-zA-Z]{_ATTRIBUTES}|<[!?][^>]*+>|<[a-zA-Z/!?][^>]*+\z"
-_HREF = r"(?:[^>]*?\s)?href\s*+=\s*+"
-ANCHOR_START = rf"(?i)<a\s{_HREF}"
-BASE_HREF = rf"""(?i)<base\s{_HREF}("[^"]++"|'[^']++'|[^\s>"']++)"""
-MAILTO_HREF = rf"""(?i)<a\s{_HREF}("\s*+mailto:[^"]*+"|'\s*+mailto:[^']*+'|mailto:[^\s>]*+)"""
-_ANCHOR_BODY = rf"""(?is)^(?:"[^"]*+"|'[^']*+'|[^\s>]*+){_ATTRIBUTES}(.*?</a)\s*+>"""
 
+# A start tag is a name and attributes; an attribute has a name and perhaps a value, which may be
+# quoted and then hold anything but its quote. A quote that never closes belongs to a name.
+_BLANK = r"[\t\n\r\f /]*+"
+_EQUALS = r"[\t\n\r\f ]*+=[\t\n\r\f ]*+"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\t\n\r\f >]*+)"""
+_NAME = r"[^\t\n\r\f />][^\t\n\r\f /=>]*+"
+_ATTRIBUTE = rf"{_NAME}(?:{_EQUALS}{_VALUE})?+"
+_REST = rf"{_BLANK}(?:{_ATTRIBUTE}{_BLANK})*+>"
+_ENDS = r"(?=[\t\n\r\f />])"
+_SOME_VALUE = r"""(?!""|''|[\t\n\r\f >])"""
+#: The tags that matter: `a` and `base` with an address, and the end of `a`.
+_ADDRESSED = (rf"<(?:a|base){_ENDS}{_BLANK}(?:(?!href{_EQUALS}){_ATTRIBUTE}{_BLANK})*+"
+              rf"href{_EQUALS}{_SOME_VALUE}{_VALUE}{_REST}")
+#: Value of a tag's last address.
+_ADDRESS = (rf"""(?i)^<[a-z]++(?:{_BLANK}(?:href{_EQUALS}("[^"]*+"|'[^']*+'|(?!["'])"""
+            rf"[^\t\n\r\f >]*+)|{_ATTRIBUTE}))*+")
+#: Characters that mark tags: before and after each one; pages may not bring their own.
+OPEN, CLOSE = "\x01", "\x02"
+
+
+def _markup(*ignored: str) -> str:
+    """One pattern for all markup; its first group is a tag that matters.
+
+    Tags are matched whole and in order, so nothing inside a quoted value passes for a tag, an
+    ignored element or a comment.
+    """
+    names = "|".join(ignored)
+    return (
+        rf"(?is)({_ADDRESSED}|</a{_ENDS}[^>]*+>)|<!--.*?(?:-->|\z)"
+        rf"|<({names}){_ENDS}{_REST}.*?(?:</\2{_ENDS}[^>]*+>|\z)"
+        rf"|<[a-z][^\t\n\r\f />]*+{_REST}|<[/!?][^>]*+>|<[a-z/!?].*+")
+
+
+LINK_MARKUP = _markup("script", "style")
+TEXT_MARKUP = _markup("script", "style", "template", "noscript")
+
+
+_IGNORED = ("script", "style", "template", "noscript")
+#: Ignored elements and comments, after the other start tags, which are kept whole.
+TEXT_NOISE = (rf"(?is)(<(?!(?:{'|'.join(_IGNORED)}){_ENDS})[a-z][^\t\n\r\f />]*+{_REST})"
+              rf"|<(?:!--.*?(?:-->|\z)|({'|'.join(_IGNORED)}){_ENDS}{_REST}"
+              rf".*?(?:</\2{_ENDS}[^>]*+>|\z))")
 
-def _without(*elements: str) -> str:
-    # one leading literal for all alternatives: the engine skips ahead to the next "<"
-    blocks = [rf"{name}\b[^>]*+>.*?(?:</{name}\b[^>]*+>|\z)" for name in elements]
-    return "(?is)<(?:" + "|".join([r"!--.*?(?:-->|\z)", *blocks]) + ")"
 
+def drop_noise(html: Column, noise: str) -> Column:
+    """Replace ignored elements and comments by an empty tag, which still separates text."""
+    return F.regexp_replace(html, noise, "$1<x>")
 
-LINK_NOISE = _without("script", "style")
-TEXT_NOISE = _without("script", "style", "template", "noscript")
 
+def mark_tags(html: Column, markup: str) -> Column:
+    """`html` with a pair of marks for every tag or ignored element, around those that matter."""
+    return F.regexp_replace(F.translate(html, OPEN + CLOSE, ""), markup, f"{OPEN}$1{CLOSE}")
 
-def drop_noise(html: Column, noise: str) -> Column:
-    """Replace ignored elements and comments by an empty tag, which still separates text."""
-    return F.regexp_replace(html, noise, "<x>")
 
+def _segments(marked: Column, element: str) -> Column:
+    """What follows each marked start tag of an element, up to the next one; the tag comes first."""
+    return F.slice(F.split(marked, rf"{OPEN}(?=(?i:<{element})[\t\n\r\f />])"), 2, 1_000_000_000)
 
-def unquote_attribute(value: Column) -> Column:
-    """Decoded attribute value; `value` may carry its quotes."""
+
+def _address(segment: Column) -> Column:
+    """Undecoded address of the start tag that a segment begins with."""
+    value = F.regexp_extract(F.substring_index(segment, CLOSE, 1), _ADDRESS, 1)
     quoted = value.startswith('"') | value.startswith("'")
-    bare = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    return decode_entities(bare, in_attribute=True)
+    return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def base_address(marked: Column) -> Column:
+    """Undecoded address of the first `base` tag that has one, or null."""
+    return F.when(F.lower(marked).contains("<base"), _address(F.get(
+        _segments(marked, "base"), 0)))
+
 
+def link_addresses(marked: Column) -> Column:
+    """Undecoded addresses of all `a` tags, whether they close or not."""
+    return F.transform(_segments(marked, "a"), _address)
 
-def _leading_value(segment: Column) -> Column:
-    """Attribute value at the start of a segment, without quotes."""
-    tail = F.substr(segment, F.lit(2))
-    return F.when(segment.startswith('"'), F.substring_index(tail, '"', 1)).when(
-        segment.startswith("'"), F.substring_index(tail, "'", 1)).otherwise(
-        F.regexp_extract(segment, r"^[^\s>]*+", 0))
 
+def anchors(marked: Column, limit: int | None) -> Column:
+    """Array of (value, inner) for `<a href>` elements that close, in document order.
 
-def anchors(clean_html: Column, limit: int | None) -> Column:
-    """Array of (value, inner) for `<a href>` elements that close, in document order."""
-    segments = F.slice(F.split(clean_html, ANCHOR_START), 2, 1_000_000_000)
-    found = F.transform(segments, lambda s: F.struct(
-        _leading_value(s).alias("value"), F.regexp_extract(s, _ANCHOR_BODY, 1).alias("inner")))
-    # the inner part ends with the closing tag, so it is blank only when nothing closed
-    usable = F.filter(found, lambda a: (a["value"] != "") & (a["inner"] != ""))
-    return F.transform(first_items(usable, limit), lambda a: F.struct(
-        a["value"].alias("value"),
-        F.substr(a["inner"], F.lit(1), F.length(a["inner"]) - 3).alias("inner")))
+    A second start tag with an address before the end takes the place of the first.
+    """
+    end = f"{OPEN}</"
+    found = F.transform(
+        F.filter(_segments(marked, "a"), lambda s: s.contains(end)),
+        lambda s: F.struct(_address(s).alias("value"), F.substr(
+            F.substring_index(s, end, 1), F.length(F.substring_index(s, CLOSE, 1)) + 2
+        ).alias("inner")))
+    return first_items(F.filter(found, lambda a: a["value"] != ""), limit)
 
 
 def anchor_text(inner: Column) -> Column:
-    """Text of an anchor: tags removed without a gap, entities decoded, blanks collapsed."""
-    plain = F.when(inner.contains("<"), F.regexp_replace(inner, TAG, "")).otherwise(inner)
-    return collapse_space(decode_entities(plain))
+    """Text of an anchor: entities decoded, marks and what they hold removed, blanks collapsed."""
+    plain = F.translate(decode_entities(inner), OPEN + CLOSE, "")
+    held = F.regexp_replace(decode_entities(F.regexp_replace(
+        inner, f"{OPEN}[^{CLOSE}]++{CLOSE}", OPEN)), OPEN, "")
+    return collapse_space(F.when(inner.contains(f"{OPEN}<"), F.translate(held, CLOSE, "")).otherwise(
+        plain))
 
 
 @lru_cache(maxsize=None)

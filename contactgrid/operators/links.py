@@ -120,18 +120,17 @@ def _page_stages(config: DiscoveryConfig, rules: SuffixRules) -> tuple[Stage, ..
 
     def clean(c: Getter) -> dict[str, Column]:
         cut = first_chars(c("html"), config.max_html_chars)
-        return {"clean_html": html.drop_noise(cut, html.LINK_NOISE)}
+        return {"marked": html.mark_tags(cut, html.LINK_MARKUP)}
 
     def anchors(c: Getter) -> dict[str, Column]:
-        base = F.regexp_extract(c("clean_html"), html.BASE_HREF, 1)
         return {
-            "found": html.anchors(c("clean_html"), config.max_raw_anchors),
-            "href": F.when(base != "", html.unquote_attribute(base)),
+            "found": html.anchors(c("marked"), config.max_raw_anchors),
+            "href": decode_entities(html.base_address(c("marked")), in_attribute=True),
             "base_scheme": c("source_scheme"),
             "base_netloc": netloc(c("source_hostname"), c("source_port")),
             "base_path": c("source_path"),
             "base_query": c("source_query"),
-            "clean_html": F.lit(None).cast("string"),
+            "marked": F.lit(None).cast("string"),
         }
 
     def chosen_base(c: Getter) -> dict[str, Column]:
