@@ -12,7 +12,7 @@ def write_csv_export(rows: DataFrame, path: str, single_file: bool = False) -> N
     """Findings of one export as CSV with CRLF and minimal quoting, ordered by (e-mail, id).
 
     The order is global: files in name order form the export. One file is written only on
-    request; the export guard bounds that case to 50,000 rows.
+    request, for exports that one task can write.
     """
     ordered = rows.orderBy("sort_email", "sort_id").select(*ref.EXPORT_COLUMNS)
     if single_file:
