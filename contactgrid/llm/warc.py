@@ -31,7 +31,7 @@ import itertools
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -208,42 +208,61 @@ def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple]:
     yield from cutter.close()
 
 
-def read_records(spark: SparkSession, folder: str, with_blocks: bool = True) -> DataFrame:
-    """Every record of a folder's `.gz` and `.warc` files; `block` is null without `with_blocks`."""
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(KINDS)
+    return pa.record_batch([pa.array(column, kind) for column, kind in
+                            zip(columns, KINDS, strict=True)], names=NAMES)
+
+
+def texts_batch(texts: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(texts, pa.string())], names=["value"])
 
-    def rows_of(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple]:
-        for _, same in itertools.groupby(pieces, lambda piece: piece[0]):
-            yield from parse_records(piece for _, piece in same)
 
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * len(KINDS)
-        return pa.record_batch([pa.array(column, kind) for column, kind in
-                                zip(columns, KINDS, strict=True)], names=NAMES)
+def in_batches(items: Iterator, size_of: Callable, made: Callable) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 256 items and about `BATCH_BYTES` bytes."""
+    waiting, size = [], 0
+    for item in items:
+        waiting.append(item)
+        size += size_of(item)
+        if len(waiting) == 256 or size > BATCH_BYTES:
+            yield made(waiting)
+            waiting, size = [], 0
+    yield made(waiting)
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+
+def read_files(spark: SparkSession, folder: str, schema: str,
+               made: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What `made` makes of the records of a folder's `.gz` and `.warc` files, task by task."""
+
+    def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         pieces = (piece for batch in batches for piece in zip(
             *(column.to_pylist() for column in batch.columns), strict=True))
-        for row in rows_of(pieces):
-            rows.append(row if with_blocks else (*row[:-1], None))
-            size += row[7]
-            if len(rows) == 256 or size > BATCH_BYTES:
-                yield as_batch(rows)
-                rows, size = [], 0
-        yield as_batch(rows)
-
-    def parse_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, same in itertools.groupby(pieces, lambda piece: piece[0]):
+            yield from parse_records(piece for _, piece in same)
+
+    def whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for content in batch.column(0):
-                yield from (as_batch([row if with_blocks else (*row[:-1], None)]) for row in
-                            parse_records(iter(content.as_py().split(END.encode()))))
+                yield from parse_records(iter(content.as_py().split(END.encode())))
 
     ship_package(spark)
     packed = (spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(folder)
               .select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary")))
     plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder)
-    return packed.mapInArrow(parse, RECORD).union(
-        plain.select("content").mapInArrow(parse_whole, RECORD))
+    return packed.mapInArrow(lambda batches: made(packed_rows(batches)), schema).union(
+        plain.select("content").mapInArrow(lambda batches: made(whole_rows(batches)), schema))
+
+
+def read_records(spark: SparkSession, folder: str, with_blocks: bool = True) -> DataFrame:
+    """Every record of a folder's `.gz` and `.warc` files.
+
+    Without `with_blocks`, `headers` and `block` are null.
+    """
+    def made(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        shown = rows if with_blocks else ((*row[:-2], None, None) for row in rows)
+        return in_batches(shown, lambda row: row[7] if with_blocks else 0, as_batch)
+
+    return read_files(spark, folder, RECORD, made)
 
 
 def visible_text(page: str) -> str:
@@ -282,25 +301,35 @@ def derived_texts(headers: dict[str, str], block: bytes) -> tuple[str, str]:
 
 
 def derive_records(records: DataFrame) -> DataFrame:
-    """`value`: texts of the metadata and conversion records of all responses."""
+    """`value`: texts of the metadata and conversion records of all responses of a table."""
 
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [text for headers, block in zip(
+            yield texts_batch([text for headers, block in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for text in derived_texts(dict(headers), block)]
-            yield pa.record_batch([pa.array(made, pa.string())], names=["value"])
+                for text in derived_texts(dict(headers), block)])
 
     ship_package(records.sparkSession)
     return records.where("type = 'response'").select("headers", "block").mapInArrow(
         derive, "value string")
 
 
+def derive_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same straight from a folder's files: blocks stay in the task that reads them."""
+
+    def made(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        texts = (text for row in rows if row[1] == "response"
+                 for text in derived_texts(dict(row[-2]), row[-1]))
+        return in_batches(texts, len, texts_batch)
+
+    return read_files(spark, folder, "value string", made)
+
+
 @register("op7_warc_derivatives")
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as responses, read, and derived; the derived files' records."""
     work = Workspace(spark)
     responses, derived = work.path("responses"), work.path("derived")
     write_responses(read_table(spark, sf_dir, "pages"), responses)
-    write_records(derive_records(read_records(spark, responses)), derived)
+    write_records(derive_files(spark, responses), derived)
     return read_records(spark, derived, with_blocks=False).drop("headers", "block")

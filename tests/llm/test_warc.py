@@ -100,3 +100,5 @@ def test_foreign_files_of_many_members(spark, tmp_path):
         assert rows[f"<{n}>"].headers["WARC-Concurrent-To"] == "<a>, <b>"
     texts = warc.derive_records(warc.read_records(spark, str(tmp_path))).collect()
     assert len(texts) == 2 * len(rows)
+    direct = warc.derive_files(spark, str(tmp_path)).collect()
+    assert sorted(r.value for r in direct) == sorted(r.value for r in texts)
