@@ -124,10 +124,10 @@ def _(spark, sf):
 
 @register("url3_international_hosts")
 def _(spark, sf):
+    found = F.regexp_extract_all("text", F.lit(r"(?U)(\w*[^\x00-\x7f\W]\w*)"), F.lit(1))
     words = read_table(spark, sf, "documents").select(
-        "doc_id", F.regexp_extract("text", r"(?U)(\w*[^\x00-\x7f\W]\w*)", 1).alias("word"))
-    names = words.filter(F.col("word") != "").select(
-        "doc_id", F.concat(F.lower("word"), F.lit(".com")).alias("host"))
+        "doc_id", F.explode(F.array_distinct(F.transform(found, F.lower))).alias("word"))
+    names = words.select("doc_id", F.concat("word", F.lit(".com")).alias("host"))
     return names.withColumn("ascii_host", hosts.ascii_host(F.col("host")))
 
 

@@ -150,7 +150,7 @@ def _(spark, sf):
 
 def _tree(lines: str) -> str:
     """Digest of fewer than a thousand lines: one chunk on each of the tree's four levels."""
-    return f"sha256(sha256(sha256(sha256(string_agg({lines}, chr(10) ORDER BY {lines})))))"
+    return f"sha256(sha256(sha256(sha256(string_agg({lines}, chr(10) ORDER BY md5({lines}))))))"
 
 
 _PARTS = {"lines": """

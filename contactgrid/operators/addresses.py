@@ -398,7 +398,9 @@ def interleave_by_domain(
     ranked = sequence_within(
         df, [*batch, "domain_key"], [F.col(index)],
         bucket=F.floor(F.col(index) / 100_000), name="domain_rank")
-    # a bucket is a round and the start of a name, so that no round meets in one task
+    # a bucket is a round and the start of a name, so that no round meets in one task; the counts of
+    # a round's buckets, of a thousand rounds, and of all thousands are added up apart
     return sequence_within(
         ranked, list(batch), [F.col("domain_rank"), F.col("domain_key")],
-        bucket=F.struct("domain_rank", F.substring("domain_key", 1, 3)), name="position")
+        bucket=F.struct("domain_rank", F.substring("domain_key", 1, 3)), name="position",
+        wider=[F.floor(F.col("domain_rank") / 1_000), F.col("domain_rank")])

@@ -35,25 +35,41 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> D
 
 
 def sequence_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str,
+    wider: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact `row_number() over (partition by keys order by order)`.
 
     `bucket` must be non-decreasing in `order` (a time slice, an index range). Only the row
-    counts of the buckets meet in one task per key.
+    counts of the buckets meet in one task per key. Where even these are many, `wider` names
+    groups of buckets, each a function of the bucket that does not decrease, the widest first: then
+    only the counts inside one group, and those of the widest groups, meet in a task.
     """
-    df = df.withColumn("__bucket", bucket)
+    levels = [*(f"__wide{i}" for i in range(len(wider))), "__bucket"]
+    df = df.withColumns(dict(zip(levels, [*wider, bucket])))
     local = df.withColumn(
         "__local", F.row_number().over(W.partitionBy(*keys, "__bucket").orderBy(*order)))
-    counts = df.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    before = F.sum("__rows").over(
-        W.partitionBy(*keys).orderBy(F.col("__bucket").asc_nulls_first())
-        .rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select(
-        *keys, "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
+    counts = df.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = _rows_before(counts, keys, levels).select(*keys, "__bucket", "__before")
     joined = null_safe_join(local, offsets, [*keys, "__bucket"], "inner")
     return joined.withColumn(name, (F.col("__before") + F.col("__local")).cast("bigint")).drop(
-        "__bucket", "__local", "__before")
+        *levels, "__local", "__before")
+
+
+def _rows_before(counts: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:
+    """`__before`: the rows of a key in all earlier buckets, added up level by level."""
+    *wide, finest = levels
+    before = F.sum("__rows").over(
+        W.partitionBy(*keys, *wide).orderBy(F.col(finest).asc_nulls_first())
+        .rowsBetween(W.unboundedPreceding, -1))
+    placed = counts.withColumn("__before", F.coalesce(before, F.lit(0)))
+    if wide:
+        totals = counts.groupBy(*keys, *wide).agg(F.sum("__rows").alias("__rows"))
+        ahead = _rows_before(totals, keys, wide).select(
+            *keys, *wide, F.col("__before").alias("__ahead"))
+        placed = null_safe_join(placed, ahead, [*keys, *wide], "inner").withColumn(
+            "__before", F.col("__before") + F.col("__ahead")).drop("__ahead")
+    return placed
 
 
 def top_per_key(

@@ -114,17 +114,18 @@ def map_attempts(results: DataFrame, caps: ResultCaps = ResultCaps()) -> DataFra
 def result_checksum(
     results: DataFrame, caps: ResultCaps = ResultCaps()
 ) -> DataFrame:
-    """Checksum per result over its mapped parts, each in the order of its lines.
+    """Checksum per result over its mapped parts, each in the order of its lines' hashes.
 
     A part enters as the tree digest of its lines, so a result with any number of findings is never
-    held by one task.
+    held by one task. Lines start alike (depth, scheme, host); their hashes do not, so that ranges
+    of hashes are even buckets.
     """
     def part(rows: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
         line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit(r"\N"))
                                      for c in columns])
         numbered = sequence_within(
-            rows.select("result_id", line.alias("line")), ["result_id"], [F.col("line")],
-            F.substring("line", 1, 4), "number")
+            rows.select("result_id", line.alias("line"), F.md5(line).alias("hash")),
+            ["result_id"], [F.col("hash"), F.col("line")], F.substring("hash", 1, 3), "number")
         return ordered_checksum(numbered, ["result_id"], "number", F.col("line")
                                 ).withColumnRenamed("checksum", name)
 

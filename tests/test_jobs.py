@@ -2,6 +2,7 @@ import glob
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contactgrid.config import BackoffPolicy, FetchRetryPolicy, ResultCaps
@@ -328,3 +329,15 @@ def test_percentiles_at_any_scale(spark, scale):
     found = quality.values_at_ranks(df, "v", ["k"], lambda n: F.array(*[F.struct(
         F.lit(str(r)).alias("name"), F.lit(r).cast("long").alias("rank")) for r in ranks]))
     assert {r["rank"]: r.v for r in found.collect()} == {r: ordered[r] for r in ranks}
+
+
+def test_sequence_with_wider_groups_equals_a_plain_window(spark):
+    """Nulls in key and order included; the widest groups are the only ones in one window."""
+    df = spark.range(3000).selectExpr(
+        "id", "nullif(id % 3, 2) AS k", "nullif(pmod(xxhash64(id), 500), 7) AS v")
+    order = [F.col("v").asc_nulls_first(), F.col("id")]
+    got = sequence_within(df, ["k"], order, F.col("v"), "n",
+                          wider=[F.floor(F.col("v") / 100), F.floor(F.col("v") / 10)])
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    assert got.columns == plain.columns
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
