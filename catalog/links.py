@@ -316,6 +316,33 @@ def robot_requests(spark, sf):
                      (F.col("o_orderkey") % 3 + 1).cast("int")).alias("path_query"))
 
 
+@register("lnk14_rules_by_prefix", """
+WITH r AS (SELECT 'https://n' || c_nationkey AS origin, c_custkey, c_custkey % 3 = 0 AS allow,
+    CASE WHEN c_custkey % 400 = 399 THEN '*'
+      ELSE '/' || left((c_custkey * 7 % 1000)::VARCHAR, CAST(1 + c_custkey % 3 AS INT)) END
+      AS prefix FROM customer),
+  a AS (SELECT o_orderkey, 'https://n' || (o_orderkey % 25) AS origin,
+    '/' || o_custkey || '/' || o_orderkey AS path FROM orders)
+SELECT o_orderkey, coalesce(arg_min(allow, c_custkey), true) AS allowed
+FROM a LEFT JOIN r ON a.origin = r.origin AND (prefix = '*' OR starts_with(path, prefix))
+GROUP BY o_orderkey""")
+def _(spark, sf):
+    key, order = F.col("c_custkey"), F.col("o_orderkey").cast("string")
+    digits = F.substr((key * 7 % 1000).cast("string"), F.lit(1), (key % 3 + 1).cast("int"))
+    rules = read_table(spark, sf, "customer").select(
+        F.concat(F.lit("https://n"), F.col("c_nationkey").cast("string")).alias("origin"),
+        key.alias("ordinal"), (key % 3 == 0).alias("allow"),
+        F.when(key % 400 == 399, F.lit("*")).otherwise(F.concat(F.lit("/"), digits)
+                                                       ).alias("prefix"))
+    asked = read_table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("https://n"), (F.col("o_orderkey") % 25).cast("string")).alias("origin"),
+        F.concat_ws("/", F.lit(""), F.col("o_custkey").cast("string"), order).alias("path"))
+    decided = robots.allowed_paths(asked, rules)
+    return asked.join(decided, ["origin", "path"], "left").select(
+        "o_orderkey", F.coalesce("allowed", F.lit(True)).alias("allowed"))
+
+
 @register("lnk15_crawl_delays", """
 SELECT 'https://s' || c_custkey || '.com' AS origin,
   CASE WHEN c_custkey % 5 = 3 THEN CAST(c_custkey % 7 AS DOUBLE) ELSE 2.5::DOUBLE END

@@ -8,7 +8,7 @@ from catalog import register
 from catalog.sql import NOW_ORDERS, views
 from contactgrid.operators import paging as P
 from contactgrid.operators.addresses import coalesce_batch, inherit_results
-from contactgrid.operators.hostpolicy import classify_addresses
+from contactgrid.operators.hostpolicy import classify_addresses, with_block
 from contactgrid.operators.keyed import sequence_within
 from contactgrid.plans import views as V
 from contactgrid.sources.tables import read_table
@@ -175,3 +175,30 @@ def _(spark, sf):
     rows = read_table(spark, sf, "orders").select(F.expr(_BLOCK).alias("text"))
     return classify_addresses(rows, "text").groupBy("unsafe", "is_global").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("text").alias("addresses"))
+
+
+@register("joi7_block_table", """
+WITH b AS (SELECT (10 + c_custkey % 3) || '.' || (c_custkey % 256) || '.' || (c_custkey * 7 % 256)
+      || '.0/' || (8 + c_custkey % 17) AS block, 8 + c_custkey % 17 AS size,
+    (10 + c_custkey % 3) * 16777216 + c_custkey % 256 * 65536 + c_custkey * 7 % 256 * 256 AS n
+    FROM customer),
+  c AS (SELECT size, n // (1 << (32 - size))::BIGINT AS net, min(block) AS block
+    FROM b GROUP BY ALL),
+  a AS (SELECT o_orderkey, (9 + o_orderkey % 5) * 16777216 + o_custkey % 256 * 65536
+    + o_orderkey * 7 % 256 * 256 + o_orderkey % 256 AS n FROM orders),
+  s AS (SELECT DISTINCT size FROM c),
+  m AS (SELECT o_orderkey, s.size, n // (1 << (32 - s.size))::BIGINT AS net FROM a, s)
+SELECT a.o_orderkey, arg_max(c.block, c.size) AS matched_block
+FROM a LEFT JOIN m ON a.o_orderkey = m.o_orderkey
+  LEFT JOIN c ON c.size = m.size AND c.net = m.net GROUP BY a.o_orderkey""")
+def _(spark, sf):
+    def dotted(*parts):
+        return F.concat_ws(".", *[part.cast("string") for part in parts])
+
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    network = dotted(key % 3 + 10, key % 256, key * 7 % 256, F.lit(0))
+    blocks = read_table(spark, sf, "customer").select(
+        F.concat_ws("/", network, (key % 17 + 8).cast("string")).alias("block"))
+    rows = read_table(spark, sf, "orders").select("o_orderkey", dotted(
+        order % 5 + 9, F.col("o_custkey") % 256, order * 7 % 256, order % 256).alias("address"))
+    return with_block(rows, blocks).select("o_orderkey", "matched_block")

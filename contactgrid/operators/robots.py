@@ -1,16 +1,17 @@
 """Robots rules: parsing, decision per address, crawl delay.
 
-Rules are grouped per origin into arrays (one file each, bounded by the file size), and an address
-evaluates the rules of its origin in its own row. The join never multiplies addresses by rules.
+Addresses find their rules by equality on cut paths (`prefixes`), so a path costs one look-up per
+prefix length of its origin, and files with thousands of rules never meet a path rule by rule.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactgrid.functions.urls import decode_percent
+from contactgrid.operators.prefixes import rules_of_prefixes
 
 
 def rule_lines(files: DataFrame) -> DataFrame:
@@ -37,27 +38,47 @@ def rule_lines(files: DataFrame) -> DataFrame:
     return grouped.select("origin", "ordinal", "field", "value", "group")
 
 
-def origin_rules(files: DataFrame, token: str) -> DataFrame:
-    """Rules that apply to `token` per origin, in file order, with the crawl delay.
+def origin_rules(lines: DataFrame, token: str) -> DataFrame:
+    """Rules (origin, prefix, ordinal, allow) that apply to `token`: of each prefix, the first.
 
-    The first group that names the token wins over the first `*` group.
+    The first group that names the token wins over the first `*` group. A rule without a value
+    allows everything; the prefix `*` stands for every path and becomes the empty one.
     """
-    lines = rule_lines(files)
     agent = F.lower("value")
     named = (agent != "*") & F.lit(token.split("/")[0].lower()).contains(agent)
     groups = lines.groupBy("origin", "group").agg(
         F.max(F.when(F.col("field") == "user-agent", named)).alias("named"),
         F.max(F.when(F.col("field") == "user-agent", agent == "*")).alias("any"),
-        F.count_if(F.col("field") != "user-agent").alias("rules"),
-        F.array_sort(F.collect_list(F.when(
-            F.col("field").isin("allow", "disallow"), F.struct(
-                "ordinal", ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"),
-                decode_percent(F.col("value")).alias("prefix"))))).alias("rule_list"))
+        F.count_if(F.col("field") != "user-agent").alias("rules"))
     usable = groups.filter((F.col("rules") > 0) & (F.col("named") | F.col("any")))
     # `*` groups are the fallback: a group that lists `*` never counts as naming the token
     rank = F.struct(F.col("any").alias("fallback"), F.col("group").alias("group"))
-    chosen = usable.groupBy("origin").agg(F.min_by("rule_list", rank).alias("rules"))
-    return chosen.join(crawl_delays(lines, token), "origin", "full_outer")
+    chosen = usable.groupBy("origin").agg(F.min(rank)["group"].alias("group"))
+    rules = lines.filter(F.col("field").isin("allow", "disallow")).join(
+        chosen, ["origin", "group"], "left_semi")
+    return first_rules(rules.select(
+        "origin", "ordinal", ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"),
+        decode_percent(F.col("value")).alias("prefix")))
+
+
+def first_rules(rules: DataFrame) -> DataFrame:
+    """One rule per origin and prefix, the first by `ordinal`; `*` is the empty prefix."""
+    prefix = F.when(F.col("prefix") == "*", F.lit("")).otherwise(F.col("prefix"))
+    return rules.withColumn("prefix", prefix).groupBy("origin", "prefix").agg(
+        F.min_by("allow", "ordinal").alias("allow"), F.min("ordinal").alias("ordinal"))
+
+
+def allowed_paths(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """(origin, path, allowed) of every distinct asked path that a rule of its origin starts.
+
+    The first matching rule in file order decides. Rules (origin, ordinal, allow, prefix) may be
+    thousands per origin: a path meets one rule per prefix length of its origin at most.
+    """
+    first = first_rules(rules)
+    lengths = first.groupBy("origin").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    return rules_of_prefixes(
+        asked.select("origin", "path").join(lengths, "origin"), first, ["origin"], "path",
+        "prefix", F.col("lengths"), allowed=F.min_by("allow", "ordinal"))
 
 
 def crawl_delays(lines: DataFrame, token: str) -> DataFrame:
@@ -77,11 +98,6 @@ def crawl_delays(lines: DataFrame, token: str) -> DataFrame:
     ).select("origin", F.coalesce("exact_delay", "any_delay").alias("crawl_delay"))
 
 
-def _first_match(rules: Column, path: Column) -> Column:
-    hits = F.filter(rules, lambda r: (r["prefix"] == "*") | path.startswith(r["prefix"]))
-    return F.try_element_at(hits, F.lit(1))["allow"]
-
-
 def robots_decisions(
     addresses: DataFrame, files: DataFrame, token: str
 ) -> DataFrame:
@@ -90,14 +106,17 @@ def robots_decisions(
     `files` has (origin, status, body); a null status means the fetch itself failed. The file
     side has one row per origin; a very frequent origin is left to the skew join.
     """
-    parsed = origin_rules(files.filter(F.col("status") == 200), token)
-    policy = files.select("origin", "status").withColumn("known", F.lit(True)).join(
-        parsed, "origin", "left")
-    df = addresses.join(policy, "origin", "left")
-    status = F.col("status")
+    lines = rule_lines(files.filter(F.col("status") == 200))
+    policy = files.select("origin", "status").join(crawl_delays(lines, token), "origin", "left")
     path = F.when(F.col("path_query") == "", F.lit("/")).otherwise(
         decode_percent(F.col("path_query")))
-    allowed = F.coalesce(_first_match(F.col("rules"), path), F.lit(True))
+    asked = addresses.withColumn("__path", path)
+    decided = allowed_paths(
+        asked.select("origin", F.col("__path").alias("path")), origin_rules(lines, token)
+    ).select("origin", F.col("path").alias("__path"), F.col("allowed").alias("__allowed"))
+    df = asked.join(policy, "origin", "left").join(decided, ["origin", "__path"], "left")
+    status = F.col("status")
+    allowed = F.coalesce("__allowed", F.lit(True))
     decision = (
         F.when(status == 200, F.when(allowed, F.lit("ALLOWED")).otherwise(F.lit("DISALLOWED")))
         .when(status.isin(401, 403), F.lit("DISALLOWED"))

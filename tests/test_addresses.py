@@ -241,3 +241,41 @@ def test_fingerprints_depend_on_target_order(spark):
     rows = A.request_fingerprints(targets.repartition(3), settings, chunk=1).collect()
     prints = {r.request_id: r.request_fingerprint for r in rows}
     assert prints[1] == prints[2] != prints[3] and len(prints[1]) == 64
+
+
+def test_block_table_of_ten_thousand(spark):
+    rng = random.Random(9)
+    texts = [f"{rng.randint(1, 4)}.{rng.randint(0, 3)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}"
+             f"/{rng.randint(6, 32)}" for _ in range(7000)]
+    texts += [f"2001:db8:{rng.randint(0, 5):x}:{rng.randint(0, 65535):x}::/{rng.randint(20, 128)}"
+              for _ in range(3000)]
+    odd = ["", "x/8", "10.0.0.0/33", "1.2.3.4/-1", "1.2.3.4/8/9", None, "::ffff:7.7.0.0/112"]
+    asked = [f"{rng.randint(1, 5)}.{rng.randint(0, 4)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}"
+             for _ in range(300)]
+    asked += [f"2001:db8:{rng.randint(0, 6):x}:{rng.randint(0, 65535):x}::{rng.randint(0, 9)}"
+              for _ in range(300)]
+    special = {"::ffff:7.7.1.1": "::ffff:7.7.0.0/112", "7.7.9.9": "::ffff:7.7.0.0/112",
+               "200.8.0.0": None, "nothing": None, "": None, None: None}
+    blocks = spark.createDataFrame([(t,) for t in texts + odd], "block string")
+    rows = spark.createDataFrame(
+        [(a, i) for i, a in enumerate([*asked, *asked[:50], *special])],
+        "address string, bits int")
+    matched = hostpolicy.with_block(rows, blocks)
+    networks = {}
+    for text in sorted(texts, reverse=True):
+        network = ipaddress.ip_network(text, strict=False)
+        networks[network] = text
+    got = matched.collect()
+    assert len(got) == len(asked) + 50 + len(special)
+    for row in got:
+        if row.address in special:
+            assert row.matched_block == special[row.address], row
+            continue
+        address = ipaddress.ip_address(row.address)
+        held = [n for n in networks if n.version == address.version and address in n]
+        best = max(held, key=lambda n: n.prefixlen, default=None)
+        assert row.matched_block == networks.get(best), row
+    without = hostpolicy.with_block(rows, blocks.limit(0))
+    assert without.filter("matched_block is null").count() == len(got)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

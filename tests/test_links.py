@@ -209,3 +209,30 @@ def test_robots_decisions(spark):
     assert "403" in reasons["https://d.com"] and "unavailable" in reasons["https://e.com"]
 
 
+def test_robots_file_of_thousands_of_rules(spark):
+    rng = random.Random(5)
+    rules = [(rng.choice(["Allow", "Disallow"]), "/" + "".join(
+        rng.choices("ab", k=rng.randint(1, 11)))) for _ in range(3000)]
+    body = "User-agent: *\n" + "\n".join(f"{kind}: {path}" for kind, path in rules)
+    files = spark.createDataFrame(
+        [("https://a.com", 200, body), ("https://b.com", 200, "")],
+        "origin string, status int, body string")
+    paths = ["/" + "".join(rng.choices("ab", k=rng.randint(0, 14))) for _ in range(400)] * 2
+    asked = spark.createDataFrame(
+        [(o, p, i) for i, p in enumerate(paths) for o in ("https://a.com", "https://b.com", None)]
+        + [("https://a.com", None, -1)], "origin string, path_query string, allowed int")
+    decided = robots.robots_decisions(asked, files, "ContactBot")
+    rows = decided.collect()
+    assert len(rows) == len(paths) * 3 + 1 and rows[0].allowed is not None
+    parser = urllib.robotparser.RobotFileParser()
+    parser.parse(body.splitlines())
+    for row in rows:
+        if row.origin == "https://a.com" and row.path_query is not None:
+            assert (row.decision == "ALLOWED") == parser.can_fetch(
+                "ContactBot", row.origin + row.path_query), row
+        elif row.origin is not None:
+            assert row.decision == "ALLOWED"
+        else:
+            assert row.decision == "TEMPORARY_FAILURE"
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
