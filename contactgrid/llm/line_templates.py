@@ -6,15 +6,11 @@ leaf, a word that fewer than `min_docs` documents have at its place becomes `<*>
 the lines of one pattern into one template. A template recurs, and its lines are dropped, if enough
 of it is constant and at least `min_docs` different documents hold it.
 
-Documents count as different by their surroundings: a line's surrounding is the smallest hash among
-the document's other lines. Copies of a document share it, so a group of copies does not turn its
-prose into a template; a template needs surroundings numbering at least `VARIED` of its documents.
-
-`drop_templates`, the pipeline's form, counts different documents absolutely: copies of a text are
-one, and a document differs from its near copies by its own lines, those that fewer than `min_docs`
-texts hold. If they are long enough for that (`OWN`), the smallest hash among them is the document's
-sign, and if not, the smallest among its other lines, which near copies share. A template recurs if
-its documents have at least `min_docs` signs, however many copies there are besides.
+Different documents are counted absolutely, however many copies there are besides: copies of a text
+are one, and a document differs from its near copies by its own lines, those that fewer than
+`min_docs` texts hold. If they are long enough for that (`OWN`), the smallest hash among them is the
+document's sign, and if not, the smallest among its other lines, which near copies share. A template
+recurs if its documents have at least `min_docs` signs.
 
 Rules for the constant part: at least 3 constant words; with generalised places at least 5 constant
 words and four fifths of all.
@@ -37,12 +33,12 @@ from contactgrid.sources.tables import read_table
 
 LEAD = 3
 MIN_DOCS = 10
-#: Least share of different surroundings among a template's documents, in tenths.
-VARIED = 6
 #: Own characters that set a document apart, as a share of the others: an eighth of k shared ones
 #: on both sides is a similarity of k / (k + 2k/8), which is 0.8.
 OWN = 8
 WILD = "<*>"
+#: Parts into which the rows of one line are dealt where they meet what is known of it.
+SALTS = 16
 #: A word with a digit, from its first character; possessive, so long words cost linear time.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
@@ -75,101 +71,90 @@ def leaf_of(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, leaf, line, hash, around: one row per document and distinct masked line."""
+    """doc_id, tie, branch, hash, line: one row per document and distinct masked line.
+
+    `branch` is the hash of the line's tree path, `tie` that of the whole text.
+    """
     text = F.coalesce("text", F.lit(""))
     lines = F.array_distinct(F.filter(lines_of(text), lambda line: line != ""))
-    entries = F.transform("lines", lambda line: F.struct(
-        hashed(line).alias("hash"), line.alias("line")))
-    step = docs.select("doc_id", F.xxhash64(text).alias("tie"), lines.alias("lines"))
-    step = step.select("doc_id", "tie", F.inline(F.array(F.struct(entries.alias("entries")))))
-    two = F.slice(F.sort_array(F.transform("entries", lambda entry: entry["hash"])), 1, 2)
-    step = step.select("doc_id", "tie", "entries", two.alias("two"))
-    step = step.select("doc_id", "tie", "two", F.inline("entries"))
-    first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
-    around = F.when(first != F.col("hash"), first).otherwise(F.coalesce(second, F.lit(0)))
-    return step.select("doc_id", "tie", leaf_of(F.col("line")).alias("leaf"), "line", "hash",
-                       around.alias("around"))
-
-
-def signed_lines(work: Workspace, lines: DataFrame, min_docs: int) -> DataFrame:
-    """`lines` once for each text, with `around` the sign of the text instead."""
-    once = work.keep(lines.dropDuplicates(["tie", "hash"]), "text-lines")
-    held = once.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(
-        "hash", F.lit(True).alias("held"))
-    parts = once.select("tie", "hash", F.length("line").alias("chars")).join(
-        held, "hash", "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    own, other = ~F.col("held"), F.col("held")
+    step = docs.select("doc_id", F.xxhash64(text).alias("tie"), F.explode(lines).alias("line"))
+    return step.select("doc_id", "tie", F.xxhash64(leaf_of(F.col("line"))).alias("branch"),
+                       hashed(F.col("line")).alias("hash"), "line")
+
+
+def meet_lines(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """`rows` (tie, hash, ..) joined with one row per hash, a line's rows in `SALTS` parts."""
+    salts = F.explode(F.array(*map(F.lit, range(SALTS))))
+    salted = rows.withColumn("salt", F.pmod("tie", F.lit(SALTS)).cast("int"))
+    return salted.join(known.withColumn("salt", salts), ["hash", "salt"], how).drop("salt")
+
+
+def text_signs(once: DataFrame, held: DataFrame) -> DataFrame:
+    """(tie, sign) of every text, from its lines and those that enough texts hold."""
+    parts = meet_lines(once.select("tie", "hash", "chars"),
+                       held.select("hash", F.lit(True).alias("held")), "left")
+    own, other = F.col("held").isNull(), F.col("held").isNotNull()
     signs = parts.groupBy("tie").agg(
         F.sum(F.when(own, F.col("chars")).otherwise(0)).alias("own"),
         F.sum(F.when(other, F.col("chars")).otherwise(0)).alias("other"),
         F.min(F.when(own, F.col("hash"))).alias("own_sign"),
         F.min(F.when(other, F.col("hash"))).alias("other_sign"))
-    sign = F.when(F.col("own") * OWN > F.col("other"), F.col("own_sign")).otherwise(
-        F.col("other_sign"))
-    signs = signs.select("tie", sign.alias("around"))
-    signed = work.keep(once.drop("around").join(signs, "tie"), "signed-lines")
-    work.drop(once)
-    return signed
+    return signs.select("tie", F.when(
+        F.col("own") * OWN > F.col("other"), F.col("own_sign")).otherwise(
+            F.col("other_sign")).alias("sign"))
 
 
-def recurring_lines(work: Workspace, lines: DataFrame, min_docs: int,
-                    absolute: bool = False) -> DataFrame:
-    """(leaf, hash) of every line whose template recurs.
+def recurring_lines(work: Workspace, lines: DataFrame, min_docs: int) -> DataFrame:
+    """`hash` of every line whose template recurs.
 
-    Leaves below `min_docs` lines cannot hold a template and
-    go first; what is left is grouped to distinct lines before words are compared. `absolute`
-    counts different documents by their signs and not as a share.
+    Signs are counted on hashes alone. Branches below `min_docs` texts cannot hold a template and
+    go before any text is shuffled; what is left is distinct lines before words are compared.
     """
-    if absolute:
-        lines = signed_lines(work, lines, min_docs)
-    leaves = work.keep(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(
-        F.col("n") >= min_docs).select("leaf"), "leaves")
-    busy = lines.join(leaves, "leaf", "left_semi")
-    distinct = (busy.groupBy("leaf", "line", "hash", "around").agg(F.count("*").alias("n"))
-                .groupBy("leaf", "line", "hash")
-                .agg(F.sum("n").alias("docs"), F.count("*").alias("varied")))
-    distinct = work.keep(distinct, "distinct-lines")
-    placed = distinct.select("leaf", "hash", "docs", "varied", F.posexplode(
+    once = work.keep(lines.select("tie", "branch", "hash", F.length("line").alias("chars"))
+                     .dropDuplicates(["tie", "hash"]), "text-lines")
+    held = work.keep(once.groupBy("hash").agg(F.count("*").alias("n")).where(
+        F.col("n") >= min_docs).select("hash"), "held-lines")
+    signs = work.keep(text_signs(once, held), "signs")
+    branches = work.keep(once.groupBy("branch").agg(F.count("*").alias("n")).where(
+        F.col("n") >= min_docs).select("branch"), "branches")
+    signed = work.keep(once.join(branches, "branch", "left_semi").join(signs, "tie").select(
+        "hash", "sign").distinct(), "signed-lines")
+    texts = lines.select("branch", "hash", "line").join(branches, "branch", "left_semi").select(
+        "hash", "line").distinct()
+    varied = signed.groupBy("hash").agg(F.count("*").alias("varied"))
+    distinct = work.keep(texts.join(varied, "hash").select(
+        leaf_of(F.col("line")).alias("leaf"), "hash", "line", "varied"), "distinct-lines")
+    work.drop(once, held, signs, branches)
+    placed = distinct.select("leaf", "hash", "varied", F.posexplode(
         F.split("line", " ", -1)).alias("place", "word"))
     common = placed.groupBy("leaf", "place", "word").agg(F.sum("varied").alias("n")).where(
         F.col("n") >= min_docs).select("leaf", "place", "word", F.lit(True).alias("common"))
     judged = placed.join(common, ["leaf", "place", "word"], "left").select(
-        "leaf", "hash", "docs", "varied", "place", "word",
-        F.coalesce("common", F.lit(False)).alias("common"))
+        "leaf", "hash", "place", "word", F.coalesce("common", F.lit(False)).alias("common"))
     shape = F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("place", "word", "common"))),
         lambda entry: F.when(entry["common"], entry["word"]).otherwise(WILD)), " ")
     templates = judged.groupBy("leaf", "hash").agg(
-        shape.alias("template"), F.first("docs").alias("docs"),
-        F.first("varied").alias("varied"),
+        shape.alias("template"),
         F.count_if(F.col("common") & (F.col("word") != WILD)).alias("constant"),
         F.count_if(~F.col("common") & (F.col("word") != WILD)).alias("wild"),
         F.count("*").alias("words"))
-    templates = work.keep(templates, "templates")
     fixed = (F.col("constant") >= 3) & ((F.col("wild") == 0) | (
         (F.col("constant") >= 5) & (F.col("constant") * 5 >= F.col("words") * 4)))
-    kept = templates.where(fixed)
-    if absolute:
-        signs = busy.select("leaf", "hash", "around").distinct().join(
-            kept.select("leaf", "hash", "template"), ["leaf", "hash"]).select(
-                "leaf", "template", "around").distinct()
-        recurring = signs.groupBy("leaf", "template").agg(F.count("*").alias("varied")).where(
-            F.col("varied") >= min_docs)
-        return kept.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "hash")
-    recurring = kept.groupBy("leaf", "template").agg(
-        F.sum("docs").alias("docs"), F.sum("varied").alias("varied")).where(
-            (F.col("varied") >= min_docs) & (F.col("varied") * 10 >= F.col("docs") * VARIED))
-    return kept.join(recurring.select("leaf", "template"), ["leaf", "template"]).select(
-        "leaf", "hash")
-
-
-def mark_lines(docs: DataFrame, min_docs: int, absolute: bool = False) -> DataFrame:
-    """row (struct of all columns), lines, gone: `docs` with the hashes of its recurring lines."""
+    kept = work.keep(templates.where(fixed).select("leaf", "hash", "template"), "templates")
+    counted = signed.join(kept, "hash").select("leaf", "template", "sign").distinct()
+    recurring = counted.groupBy("leaf", "template").agg(F.count("*").alias("varied")).where(
+        F.col("varied") >= min_docs)
+    return kept.join(recurring, ["leaf", "template"], "left_semi").select("hash").distinct()
+
+
+def mark_lines(docs: DataFrame, min_docs: int) -> DataFrame:
+    """row (struct of all columns), gone: `docs` with the hashes of its recurring lines."""
     work = Workspace(docs.sparkSession)
     lines = work.keep(line_table(docs), "lines")
-    found = work.keep(recurring_lines(work, lines, min_docs, absolute), "recurring")
-    gone = lines.select("doc_id", "tie", "leaf", "hash").join(found, ["leaf", "hash"], "left_semi").groupBy("doc_id", "tie").agg(
-        F.collect_set("hash").alias("gone"))
+    found = work.keep(recurring_lines(work, lines, min_docs), "recurring")
+    gone = meet_lines(lines.select("doc_id", "tie", "hash"), found, "left_semi").groupBy(
+        "doc_id", "tie").agg(F.collect_set("hash").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie"), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"),
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
@@ -177,12 +162,12 @@ def mark_lines(docs: DataFrame, min_docs: int, absolute: bool = False) -> DataFr
         F.col("tie") == F.col("gone_tie")), "left").select("row", "gone")
 
 
-def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, absolute: bool = False) -> DataFrame:
+def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """row, text (without recurring lines), n_lines, n_dropped."""
     raw, text = F.col("row.text"), F.coalesce("row.text", F.lit(""))
     paired = F.when(F.col("gone").isNotNull(), F.arrays_zip(
         F.split(text, "\n", -1).alias("raw"), lines_of(text).alias("line")))
-    step = mark_lines(docs, min_docs, absolute).select(
+    step = mark_lines(docs, min_docs).select(
         "row", "gone", F.inline(F.array(F.struct(paired.alias("pairs")))))
     stay = F.filter("pairs", lambda pair: (pair["line"] == "") | ~F.array_contains(
         "gone", hashed(pair["line"])))
@@ -202,7 +187,7 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """`docs` without lines that enough different documents hold, columns as before."""
     fields = [F.col("text") if name == "text" else F.col(f"row.`{name}`")
               for name in docs.columns]
-    return cleaned(docs, min_docs, absolute=True).select(*fields)
+    return cleaned(docs, min_docs).select(*fields)
 
 
 SQL = rf"""
@@ -213,33 +198,40 @@ l AS (
   SELECT rid, pos, raw_line, trim(regexp_replace(regexp_replace(
     raw_line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '{WILD}', 'g'),
     '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line FROM raw),
+u AS (SELECT min(rid) AS rid FROM d GROUP BY coalesce(text, '')),
 h AS (
   SELECT DISTINCT rid, line, string_split(line, ' ') AS ws,
-    ('0x' || substr(md5(line), 1, 15))::BIGINT AS hash FROM l WHERE line <> ''),
+    ('0x' || substr(md5(line), 1, 15))::BIGINT AS hash
+  FROM l SEMI JOIN u USING (rid) WHERE line <> ''),
+o AS (SELECT *, count(*) OVER (PARTITION BY line) < {MIN_DOCS} AS own FROM h),
+signs AS (
+  SELECT rid, CASE
+    WHEN coalesce(sum(length(line)) FILTER (own), 0) * {OWN}
+      > coalesce(sum(length(line)) FILTER (NOT own), 0)
+    THEN min(hash) FILTER (own) ELSE min(hash) FILTER (NOT own) END AS sign
+  FROM o GROUP BY rid),
 s AS (
-  SELECT *, len(ws)::VARCHAR || ' ' || array_to_string(ws[1:{LEAD}], ' ') AS leaf,
-    coalesce(list_min(list_filter(list(hash) OVER (PARTITION BY rid), lambda x: x <> hash)), 0)
-      AS around
-  FROM h),
+  SELECT h.*, sign, len(ws)::VARCHAR || ' ' || array_to_string(ws[1:{LEAD}], ' ') AS leaf
+  FROM h JOIN signs USING (rid)),
 busy AS (SELECT leaf FROM s GROUP BY leaf HAVING count(*) >= {MIN_DOCS}),
 lines AS (
-  SELECT leaf, line, ws, count(*) AS docs, count(DISTINCT around) AS varied
+  SELECT leaf, line, ws, count(DISTINCT sign) AS varied
   FROM s SEMI JOIN busy USING (leaf) GROUP BY ALL),
 p AS (
-  SELECT leaf, line, docs, varied, unnest(ws) AS word, generate_subscripts(ws, 1) AS place
+  SELECT leaf, line, varied, unnest(ws) AS word, generate_subscripts(ws, 1) AS place
   FROM lines),
 j AS (SELECT *, sum(varied) OVER (PARTITION BY leaf, place, word) >= {MIN_DOCS} AS common FROM p),
 t AS (
-  SELECT leaf, line, docs, varied,
+  SELECT leaf, line,
     string_agg(CASE WHEN common THEN word ELSE '{WILD}' END, ' ' ORDER BY place) AS template,
     count(*) FILTER (common AND word <> '{WILD}') AS constant,
     count(*) FILTER (NOT common AND word <> '{WILD}') AS wild, count(*) AS words
-  FROM j GROUP BY leaf, line, docs, varied),
+  FROM j GROUP BY leaf, line),
 f AS (SELECT * FROM t WHERE constant >= 3
         AND (wild = 0 OR (constant >= 5 AND constant * 5 >= words * 4))),
 r AS (
-  SELECT leaf, template FROM f GROUP BY leaf, template
-  HAVING sum(varied) >= {MIN_DOCS} AND sum(varied) * 10 >= sum(docs) * {VARIED}),
+  SELECT leaf, template FROM f JOIN s USING (leaf, line) GROUP BY leaf, template
+  HAVING count(DISTINCT sign) >= {MIN_DOCS}),
 gone AS (SELECT DISTINCT line FROM f SEMI JOIN r USING (leaf, template)),
 m AS (SELECT l.*, g.line IS NOT NULL AS gone FROM l LEFT JOIN gone g ON l.line = g.line),
 per AS (

@@ -105,6 +105,20 @@ def test_copies_of_a_document_do_not_protect_a_template(make_docs):
         assert rows[doc] == text.removesuffix(f"\n{BOILER}")
 
 
+def test_three_hundred_copies_do_not_keep_a_line_in_the_query(make_docs):
+    rng = random.Random(8)
+    texts = [(n, "\n".join([words_line(rng), words_line(rng), BOILER]), "a") for n in range(20)]
+    texts += [(100 + n, texts[3][1], "b") for n in range(300)]
+    rows = line_templates.cleaned(make_docs(texts)).collect()
+    assert len(rows) == 320
+    assert all(r.n_dropped == 1 and BOILER not in r.text for r in rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [t[:2] for t in texts])
+    assert sorted((r.row.doc_id, r.text, r.n_lines, r.n_dropped) for r in rows) == sorted(
+        con.sql(line_templates.SQL).fetchall())
+
+
 def test_a_block_of_shared_lines_goes_whole(make_docs):
     rng = random.Random(6)
     block = [words_line(rng) for _ in range(10)]
