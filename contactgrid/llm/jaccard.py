@@ -462,6 +462,8 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, tenths: int = TENTHS)
     points = sets.join(trees.select("node").distinct(), "node", "left_semi").select(
         "node", "of.size", F.inline("of.points"))
     points = work.keep(points, "points")
+    cut = trees.groupBy("token", "level").agg(F.count("*").alias("many")).where(
+        F.col("many") > NODE_ROWS).select("token", "level")
     by_token = Window.partitionBy("node").orderBy("token", "level")
     members = trees.withColumn("rank", F.row_number().over(by_token)).where(
         F.col("rank") <= FIRST_TREES).drop("rank")
@@ -479,9 +481,10 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, tenths: int = TENTHS)
         links = work.keep(verified(pairs, texts, shingle, tenths), "links")
         edges = work.keep(links if edges is None else edges.union(links), "edges")
         roots = work.keep(components(work, edges), "roots")
-        # a tree without surviving pairs has none in later rounds either
+        # a whole tree without surviving pairs has none in later rounds either; of one that was
+        # cut, the pairs across its parts are still to be met
         members = trees if step == "first" else trees.join(
-            found.select("token", "level").distinct(), ["token", "level"])
+            found.select("token", "level").union(cut).distinct(), ["token", "level"])
     rows = keyed.select("doc_id", "tie", "node", "size")
     return rows.join(roots, "node", "left").select(
         "doc_id", "tie", "node", "size", F.coalesce("root", "node").alias("root"))

@@ -284,6 +284,23 @@ def test_links_of_similar_sets(make_docs, monkeypatch, rows):
     assert 20 < sum(i == c for i, _, c in expected) < len(expected)
 
 
+def test_links_across_the_parts_of_a_cut_tree(make_docs, monkeypatch):
+    """Families share eight shingles of ten, too few for links; one pair in each shares nine."""
+    monkeypatch.setattr(jaccard, "NODE_ROWS", 1)
+    rng, texts = random.Random(3), []
+    for family in range(40):
+        words = [f"w{family}x{i}" for i in range(12)]
+        ends = [[f"e{family}x{n}", f"f{family}x{n}"] for n in range(2)]
+        ends += [[f"pair{family}", "left"], [f"pair{family}", "right"]]
+        rng.shuffle(ends)
+        texts += [(4 * family + n, " ".join(words + end), "a") for n, end in enumerate(ends)]
+    want = {doc_id: component for doc_id, _, component in brute_components(texts)}
+    assert len(set(want.values())) == len(texts) - 40
+    roots = {r.doc_id: r.root for r in jaccard.similar_sets(make_docs(texts)).collect()}
+    smallest = {root: min(i for i in roots if roots[i] == root) for root in set(roots.values())}
+    assert {i: smallest[root] for i, root in roots.items()} == want
+
+
 def test_odd_documents_and_the_query(spark, odd, none, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     got = jaccard.op13_count_vector_join(spark, str(tmp_path)).collect()
