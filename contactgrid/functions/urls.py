@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -156,43 +157,88 @@ def error_message(code: Column, hostname_known: Column) -> Column:
     return message
 
 
+_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*+):"
+_NETLOC = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*+:)?//([^/?#]*+)"
+_PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*+:)?(?://[^/?#]*+)?([^?#]*+)"
+
+
+def _staged(url: Column, *stages: Callable[[Column], dict[str, Column]]) -> Column:
+    """The value `result` of the last stage; every value of the stages is computed once a row.
+
+    Written as one expression, the later values would hold copies of the earlier ones, dozens of
+    regular expressions a row.
+    """
+    names = ["url"]
+
+    def extend_with(stage: Callable[[Column], dict[str, Column]]) -> Callable[[Column], Column]:
+        def extend(one: Column) -> Column:
+            values = stage(one)
+            kept = [one[name].alias(name) for name in names]
+            names.extend(values)
+            return F.struct(*kept, *[value.alias(name) for name, value in values.items()])
+
+        return extend
+
+    step = F.array(F.struct(url.alias("url")))
+    for stage in stages:
+        step = F.transform(step, extend_with(stage))
+    return F.get(step, F.lit(0))["result"]
+
+
+def _split_netloc(c: Column) -> dict[str, Column]:
+    host, port = _host_port(c["netloc"])
+    return {"host": host, "port": port, "broken": _broken_port(c["netloc"])}
+
+
 def storage_url(url: Column) -> Column:
     """Stored form: no user info, query, fragment or default port; blank when there is nothing."""
-    text = strip_space(F.coalesce(url, F.lit("")))
-    scheme = F.lower(F.regexp_extract(text, r"^([a-zA-Z][a-zA-Z0-9+.\-]*+):", 1))
-    netloc = F.regexp_extract(text, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*+:)?//([^/?#]*+)", 1)
-    path = F.regexp_extract(
-        text, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*+:)?(?://[^/?#]*+)?([^?#]*+)", 1)
-    host, port = _host_port(netloc)
-    default = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
-    shown = F.when(port.isNotNull() & ~default, F.concat(host, F.lit(":"), port.cast("string")))
-    clean = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), F.lit("//"),
-        F.coalesce(shown, host),
-        F.when(path == "", F.lit("/")).otherwise(path))
-    broken = _broken_port(netloc)
-    return (
-        F.when(text == "", F.lit(""))
-        .when(broken, F.coalesce(sanitize_text(url), F.lit("")))
-        .when(host == "", strip_space(path))
-        .otherwise(clean)
-    )
+    def text(c: Column) -> dict[str, Column]:
+        return {"text": strip_space(F.coalesce(c["url"], F.lit("")))}
+
+    def parts(c: Column) -> dict[str, Column]:
+        return {"scheme": F.lower(F.regexp_extract(c["text"], _SCHEME, 1)),
+                "netloc": F.regexp_extract(c["text"], _NETLOC, 1),
+                "path": F.regexp_extract(c["text"], _PATH, 1)}
+
+    def result(c: Column) -> dict[str, Column]:
+        scheme, host, port, path = c["scheme"], c["host"], c["port"], c["path"]
+        default = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
+        shown = F.when(
+            port.isNotNull() & ~default, F.concat(host, F.lit(":"), port.cast("string")))
+        clean = F.concat(
+            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), F.lit("//"),
+            F.coalesce(shown, host),
+            F.when(path == "", F.lit("/")).otherwise(path))
+        return {"result": (
+            F.when(c["text"] == "", F.lit(""))
+            .when(c["broken"], F.coalesce(sanitize_text(c["url"]), F.lit("")))
+            .when(host == "", strip_space(path))
+            .otherwise(clean)
+        )}
+
+    return _staged(url, text, parts, _split_netloc, result)
 
 
 def audit_url(url: Column) -> Column:
     """Audit form: no user info, query or fragment; the port stays as given."""
-    scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*+):", 1))
-    netloc = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*+:)?//([^/?#]*+)", 1)
-    path = F.regexp_extract(
-        url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*+:)?(?://[^/?#]*+)?([^?#]*+)", 1)
-    host, port = _host_port(netloc)
-    shown = F.when(port > 0, F.concat(host, F.lit(":"), port.cast("string"))).otherwise(host)
-    clean = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        F.when(netloc != "", F.concat(F.lit("//"), shown)).otherwise(F.lit("")), path)
-    plain = F.substring_index(F.substring_index(url, "?", 1), "#", 1)
-    return F.when(url.isNull() | (url == ""), F.lit(None).cast("string")).when(
-        _broken_port(netloc), plain).otherwise(clean)
+    def parts(c: Column) -> dict[str, Column]:
+        return {"scheme": F.lower(F.regexp_extract(c["url"], _SCHEME, 1)),
+                "netloc": F.regexp_extract(c["url"], _NETLOC, 1),
+                "path": F.regexp_extract(c["url"], _PATH, 1)}
+
+    def result(c: Column) -> dict[str, Column]:
+        scheme, host, port = c["scheme"], c["host"], c["port"]
+        shown = F.when(port > 0, F.concat(host, F.lit(":"), port.cast("string"))).otherwise(host)
+        clean = F.concat(
+            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
+            F.when(c["netloc"] != "", F.concat(F.lit("//"), shown)).otherwise(F.lit("")),
+            c["path"])
+        plain = F.substring_index(F.substring_index(c["url"], "?", 1), "#", 1)
+        empty = c["url"].isNull() | (c["url"] == "")
+        return {"result": F.when(empty, F.lit(None).cast("string")).when(
+            c["broken"], plain).otherwise(clean)}
+
+    return _staged(url, parts, _split_netloc, result)
 
 
 def _host_port(netloc: Column) -> tuple[Column, Column]:
@@ -201,7 +247,9 @@ def _host_port(netloc: Column) -> tuple[Column, Column]:
     host = F.when(bracketed, F.regexp_extract(address, r"^\[([^\]]*+)\]", 1)).otherwise(
         F.substring_index(address, ":", 1))
     port = F.regexp_extract(address, r":([0-9]+)$", 1)
-    return F.lower(host), F.when(~address.endswith("]"), port.try_cast("int"))
+    # a failed cast costs more than all the rest: most addresses name no port
+    given = address.contains(":") & ~address.endswith("]")
+    return F.lower(host), F.when(given, port.try_cast("int"))
 
 
 def _broken_port(netloc: Column) -> Column:

@@ -14,6 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows that a task sorts or groups at once, about.
+PARTITION_ROWS = 1 << 20
+#: A key with more rows is crowded: its rows do not meet in one task.
+CROWD = 1 << 17
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which null keys match; `right` must not share other column names."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -34,17 +40,53 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> D
     return null_safe_join(df, grouped, keys, "inner")
 
 
+def spread(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """`df`, of at most `rows` rows, dealt by `keys` for work that sorts or groups by them.
+
+    The partitions grow in number with the rows, so that a task's memory does not; where the
+    session's own partitions are small enough, Spark shuffles as usual.
+    """
+    parts = -(-rows // PARTITION_ROWS)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys) if parts > usual else df
+
+
+def split_crowded(
+    df: DataFrame, keys: Sequence[str], crowd: int = CROWD
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys with at most `crowd` rows, and those of the others.
+
+    The crowded keys are broadcast: there is at most one of them for every `crowd` rows.
+    """
+    crowded = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).filter(
+        F.col("__size") > crowd).select(*keys))
+    return (null_safe_join(df, crowded, keys, "left_anti"),
+            null_safe_join(df, crowded, keys, "left_semi"))
+
+
 def sequence_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str,
-    wider: Sequence[Column] = (),
+    wider: Sequence[Column] = (), rows: int | None = None, crowd: int = CROWD,
 ) -> DataFrame:
     """Exact `row_number() over (partition by keys order by order)`.
 
-    `bucket` must be non-decreasing in `order` (a time slice, an index range). Only the row
-    counts of the buckets meet in one task per key. Where even these are many, `wider` names
-    groups of buckets, each a function of the bucket that does not decrease, the widest first: then
-    only the counts inside one group, and those of the widest groups, meet in a task.
+    Keys of up to `crowd` rows are numbered in one task each. The others are cut by `bucket`, which
+    must be non-decreasing in `order` (a time slice, an index range): only the row counts of the
+    buckets meet in one task per key. Where even these are many, `wider` names groups of buckets,
+    each a function of the bucket that does not decrease, the widest first: then only the counts
+    inside one group, and those of the widest groups, meet in a task. `rows` is the size of `df`,
+    if it is known.
     """
+    plain, crowded = split_crowded(df, keys, crowd)
+    numbered = spread(plain, keys, rows or 0).withColumn(
+        name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    return numbered.unionByName(_sequence_in_buckets(crowded, keys, order, bucket, name, wider))
+
+
+def _sequence_in_buckets(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str,
+    wider: Sequence[Column],
+) -> DataFrame:
     levels = [*(f"__wide{i}" for i in range(len(wider))), "__bucket"]
     df = df.withColumns(dict(zip(levels, [*wider, bucket])))
     local = df.withColumn(

@@ -46,7 +46,8 @@ def urls(spark: SparkSession, folder: str, numbered: bool = False) -> DataFrame:
     if numbered:
         order = [F.col(c) for c in items.columns if c != "l_orderkey"]
         items = sequence_within(
-            items, ["l_orderkey"], order, bucket=F.floor(F.col("l_partkey") / 4096), name="rn")
+            items, ["l_orderkey"], order, bucket=F.floor(F.col("l_partkey") / 4096), name="rn",
+            rows=items.count())
     columns = {
         "job_id": F.col("l_orderkey"),
         "status": status,

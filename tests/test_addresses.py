@@ -301,3 +301,15 @@ def test_host_policy_of_any_user_id_matches_its_sql(spark, many_users):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{many_users}/events.parquet/*.parquet'")
     got = entry.queries()["url17_host_policy"](spark, many_users)
     assert check_queries.compare(got, con, entry.oracle_sql()["url17_host_policy"]) == []
+
+
+def test_stored_addresses_name_each_part_once(spark):
+    odd = [None, "", "  ", "//h:80", "http://h:80/x", "https://h:443", "https://h:99999/p?q",
+           "http://[2001:db8::1]:8080/x", "http://[2001:db8::1]", "http://u@h:/a", "h:12", "p?q#r"]
+    df = spark.createDataFrame([(u,) for u in odd], "u string")
+    for form in (urls.storage_url, urls.audit_url):
+        plan = df.select(form(F.col("u")).alias("x"))._jdf.queryExecution().optimizedPlan()
+        assert plan.toString().count("regexp_extract") <= 12
+    got = [r.s for r in df.select(urls.storage_url(F.col("u")).alias("s")).collect()]
+    assert got == ["", "", "", "//h:80/", "http://h/x", "https://h/", "https://h:99999/p?q",
+                   "http://2001:db8::1:8080/x", "http://2001:db8::1/", "http://h/a", "12", "p"]
