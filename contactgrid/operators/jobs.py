@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from contactgrid import reference_data as ref
 from contactgrid.config import BackoffPolicy, FetchRetryPolicy
-from contactgrid.operators.keyed import null_safe_join, winner_per_key
+from contactgrid.operators.keyed import null_safe_join, spread, winner_per_key
 
 
 def url_status(outcome: Column, findings: Column) -> tuple[Column, Column]:
@@ -217,7 +217,7 @@ def ready_to_finalize(jobs: DataFrame, urls: DataFrame) -> DataFrame:
 
 def cancel_urls(urls: DataFrame, cancelled_jobs: DataFrame, now: Column) -> DataFrame:
     """New snapshot of URL rows after cancelling jobs: open and expired rows are cancelled."""
-    marked = urls.join(
+    marked = spread(urls, ["job_id"], urls.count()).join(
         cancelled_jobs.select("job_id", F.lit(True).alias("__cancel")), "job_id", "left")
     stopped = F.col("status").isin("PENDING", "QUEUED", "RETRY_WAIT") | (
         (F.col("status") == "SCANNING") & (F.col("lease_expires_at") <= now))
