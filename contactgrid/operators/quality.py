@@ -9,7 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactgrid import reference_data as ref
-from contactgrid.operators.keyed import sequence_within
+from contactgrid.operators.keyed import (
+    CROWD,
+    null_safe_join,
+    sequence_within,
+    split_crowded,
+    spread,
+)
 
 
 #: Parts into which a range of values is cut when a rank is looked for.
@@ -18,44 +24,62 @@ PARTS = 1024
 
 def values_at_ranks(
     df: DataFrame, value: str, by: Sequence[str], ranks: Callable[[Column], Column],
-    rounds: int = 2,
+    rounds: int = 2, crowd: int = CROWD,
 ) -> DataFrame:
     """Values at given positions (from zero) of the sorted values of each group.
 
-    `ranks` maps the group size to an array of (name, rank). Each round cuts the range of values
-    that holds a rank into `PARTS` equal parts, counts them, and goes on with the part that holds
-    the rank, narrowed to its own least and greatest value: first the group's whole range, then that
-    part. Only the values of the last part are ordered. Widths follow from the data, so values in
-    microseconds and in seconds are cut alike.
+    `ranks` maps the group size to an array of (name, rank). Groups of up to `crowd` values are
+    sorted in one task each. For the others, each round cuts the range of values that holds a rank
+    into `PARTS` equal parts, counts them, and goes on with the part that holds the rank, narrowed
+    to its own least and greatest value: first the group's whole range, then that part. Only the
+    values of the last part are ordered. Widths follow from the data, so values in microseconds and
+    in seconds are cut alike.
     """
     df = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__value"))
+    plain, crowded = split_crowded(df, by, crowd)
+    group = W.partitionBy(*by)
+    placed = spread(plain, by, df.count()).select(
+        *by, "__value", F.count(F.lit(1)).over(group).alias("n"),
+        (F.row_number().over(group.orderBy("__value")) - 1).alias("__place"))
+    found = placed.select(*by, "__value", "n", "__place", F.inline(ranks(F.col("n")))).filter(
+        F.col("rank") == F.col("__place"))
+    return found.select(*by, "n", "name", "rank", F.col("__value").alias(value)).unionByName(
+        _values_by_parts(crowded, value, by, ranks, rounds))
+
+
+def _values_by_parts(
+    df: DataFrame, value: str, by: Sequence[str], ranks: Callable[[Column], Column], rounds: int
+) -> DataFrame:
+    """`values_at_ranks` of few large groups: what is sought is sent to the values."""
     keys = [*by, "__low", "__high"]
     stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__value").alias("__low"),
                                 F.max("__value").alias("__high"))
     wanted = stats.select(*keys, "n", F.lit(0).cast("long").alias("__before"),
                           F.inline(ranks(F.col("n"))))
+
+    def inside(wanted: DataFrame) -> DataFrame:
+        ranges = F.broadcast(wanted.select(*keys).distinct())
+        return null_safe_join(df, ranges, by, "inner").filter(
+            F.col("__value").between(F.col("__low"), F.col("__high")))
+
     for _ in range(rounds):
         low, high = F.col("__low").cast("double"), F.col("__high").cast("double")
         share = (F.col("__value").cast("double") - low) / F.nullif(high - low, F.lit(0.0))
         part = F.least(F.coalesce(F.floor(share * PARTS), F.lit(0)), F.lit(PARTS - 1))
-        inside = df.join(wanted.select(*keys).distinct(), list(by)).filter(
-            F.col("__value").between(F.col("__low"), F.col("__high")))
-        counts = inside.groupBy(*keys, part.alias("__part")).agg(
+        counts = inside(wanted).groupBy(*keys, part.alias("__part")).agg(
             F.count(F.lit(1)).alias("__n"), F.min("__value").alias("__from"),
             F.max("__value").alias("__to"))
         earlier = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
         placed = counts.withColumn("__less", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
         offset = F.col("rank") - F.col("__before")
-        wanted = wanted.join(placed, keys).filter(
+        wanted = null_safe_join(wanted, placed, keys, "inner").filter(
             (F.col("__less") <= offset) & (offset < F.col("__less") + F.col("__n"))).select(
             *by, F.col("__from").alias("__low"), F.col("__to").alias("__high"), "n",
             (F.col("__before") + F.col("__less")).alias("__before"), "name", "rank")
-    last = df.join(wanted.select(*keys).distinct(), list(by)).filter(
-        F.col("__value").between(F.col("__low"), F.col("__high"))).groupBy(
-        *keys, "__value").agg(F.count(F.lit(1)).alias("__c"))
+    last = inside(wanted).groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__c"))
     upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__value"))
     offset = F.col("rank") - F.col("__before")
-    return wanted.join(last.withColumn("__upto", upto), keys).filter(
+    return null_safe_join(wanted, last.withColumn("__upto", upto), keys, "inner").filter(
         (F.col("__upto") - F.col("__c") <= offset) & (offset < F.col("__upto"))
     ).select(*by, "n", "name", "rank", F.col("__value").alias(value))
 
