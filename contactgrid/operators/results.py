@@ -167,13 +167,32 @@ def transient_checksum(attempts: DataFrame) -> DataFrame:
 def replay_status(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """NEW, REPLAY or CONFLICT per incoming attempt; `stored` has one row per key."""
     known = stored.select(*keys, F.col("result_checksum").alias("__stored"))
-    status = F.when(F.col("__stored").isNull(), F.lit("NEW")).when(
-        F.col("__stored") == F.col("result_checksum"), F.lit("REPLAY")).otherwise(
-        F.lit("CONFLICT"))
+    status = _replay(F.col("__stored").isNull(), F.col("__stored") == F.col("result_checksum"))
     return incoming.join(known, list(keys), "left").withColumn("replay_status", status).drop(
         "__stored")
 
 
+def later_replays(
+    attempts: DataFrame, keys: Sequence[str], order: str, content: str, stored: Column
+) -> DataFrame:
+    """`replay_status` of every attempt of a key after its first one by `order`, which is unique.
+
+    The first one counts as stored where `stored`, a condition on the keys, holds; checksums are
+    those of `content`. Attempts are shuffled once, and checksums not at all.
+    """
+    first = attempts.groupBy(*keys).agg(
+        F.min(order).alias("__first"), F.min_by(content, order).alias("__content"))
+    later = null_safe_join(attempts, first, keys, "inner").filter(
+        F.col(order) != F.col("__first"))
+    same = F.sha2("__content", 256) == F.sha2(content, 256)
+    return later.withColumn("replay_status", _replay(~stored, same)).drop(
+        "__first", "__content")
+
+
+def _replay(new: Column, same: Column) -> Column:
+    return F.when(new, F.lit("NEW")).when(same, F.lit("REPLAY")).otherwise(F.lit("CONFLICT"))
+
+
 # --- idempotent writes -----------------------------------------------------------------------
 def upsert_findings(
     state: DataFrame, delta: DataFrame, keys: Sequence[str], now: Column

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactgrid.config import BackoffPolicy, FetchRetryPolicy, ResultCaps
 from contactgrid.functions.text import csv_cell
-from contactgrid.operators import audit, paging, quality, results
+from contactgrid.operators import audit, keyed, paging, quality, results
 from contactgrid.operators import jobs as J
 from contactgrid.operators import operations as O
 from contactgrid.operators import scheduling as S
@@ -341,3 +341,45 @@ def test_sequence_with_wider_groups_equals_a_plain_window(spark):
     plain = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
     assert got.columns == plain.columns
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [0, 150, 10_000])
+def test_positions_of_plain_and_crowded_keys(spark, crowd):
+    df = spark.range(600).selectExpr(
+        "id", "nullif(id % 7 % 3, 2) AS k", "pmod(xxhash64(id), 50) AS v")
+    order = [F.col("v"), F.col("id")]
+    got = sequence_within(df, ["k"], order, F.floor(F.col("v") / 9), "n", crowd=crowd)
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [0, 150, 10_000])
+def test_medians_of_plain_and_crowded_groups(spark, crowd):
+    df = spark.range(600).selectExpr(
+        "nullif(id % 7 % 3, 2) AS k", "nullif(pmod(xxhash64(id), 40), 3) / 7 AS v")
+    got = quality.values_at_ranks(df, "v", ["k"], lambda n: F.array(F.struct(
+        F.lit("median").alias("name"), F.floor(n / 2).alias("rank"))), crowd=crowd)
+    groups = {}
+    for r in df.where("v IS NOT NULL").collect():
+        groups.setdefault(r.k, []).append(r.v)
+    assert {r.k: (r.n, r.v) for r in got.collect()} == {
+        k: (len(v), sorted(v)[len(v) // 2]) for k, v in groups.items()}
+
+
+def test_partitions_grow_with_the_rows_to_cancel(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "PARTITION_ROWS", 50)
+    urls = spark.range(1000).selectExpr(
+        "id % 90 AS job_id", "'QUEUED' AS status", "now() AS lease_expires_at",
+        "now() AS completed_at")
+    got = J.cancel_urls(urls, spark.range(40).toDF("job_id"), F.now())
+    assert got.rdd.getNumPartitions() == 20
+    assert got.groupBy("new_status").count().count() == 2
+
+
+def test_replays_after_the_first_attempt(spark):
+    rows = [(1, 0, 5, "a"), (1, 0, 6, "a"), (1, 0, 7, "b"), (1, 2, 8, "a"), (1, 2, 9, "a"),
+            (None, None, 1, "a"), (None, None, 2, None), (2, 1, 3, None), (2, 1, 4, "a")]
+    df = spark.createDataFrame(rows, "job int, attempt int, id int, status string")
+    got = results.later_replays(df, ["job", "attempt"], "id", "status", F.col("attempt") != 2)
+    assert {r.id: r.replay_status for r in got.collect()} == {
+        6: "REPLAY", 7: "CONFLICT", 9: "NEW", 2: "CONFLICT", 4: "CONFLICT"}
