@@ -46,11 +46,13 @@ OTHER_SPACE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 SPACE = " \n" + OTHER_SPACE
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:[{OTHER_SPACE}][{SPACE}]*[^{SPACE}]*)*|[{SPACE}]+")
 #: Chunks, and characters of them, that a worker remembers before it starts anew.
-REMEMBERED, REMEMBERED_CHARS = 1 << 18, 1 << 24
+REMEMBERED, REMEMBERED_CHARS = 1 << 17, 1 << 23
 #: Characters of documents that are aligned at once; a longer document is taken alone.
-TAKEN_CHARS = 1 << 21
+TAKEN_CHARS = 1 << 20
 #: Chunks whose bytes are compared with their tokens' at once, before any alone.
 SPELLED = 1 << 10
+#: Chunks that A's library encodes at once: what it returns holds far more than the ids.
+ENCODED = 1 << 12
 #: Pairs that a counting task holds before it sums them up.
 COUNTED = 1 << 21
 #: Largest number of id pairs whose counts (17 bytes each) are sent to all tasks.
@@ -126,7 +128,9 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> None:
         """Encode and align new chunks, all at once."""
-        ids_a = [found.ids for found in self.a.encode_batch(chunks, add_special_tokens=False)]
+        ids_a = [found.ids for begin in range(0, len(chunks), ENCODED)
+                 for found in self.a.encode_batch(
+                     chunks[begin:begin + ENCODED], add_special_tokens=False)]
         ids_b = self._pieces(chunks)
         sound = np.ones(len(chunks), bool)
         for begin in range(0, len(chunks), SPELLED):

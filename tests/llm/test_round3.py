@@ -107,6 +107,23 @@ def test_links_are_counted_over_the_corpus(odd, none, libraries, table, shipped)
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def test_chunks_are_encoded_in_bounded_batches(libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "ENCODED", 7)
+    one = alignment.Aligner(open(public_tokenizers.path(alignment.BYTE_VOCABULARY)).read(), open(
+        public_tokenizers.path(alignment.PIECE_VOCABULARY), "rb").read())
+
+    class Watched:
+        def encode_batch(self, chunks, **options):
+            assert len(chunks) <= 7
+            return library.encode_batch(chunks, **options)
+
+    library, texts = one.a, [prose(n, 60) for n in range(3)]
+    want = [row[:5] for row in one.align(texts)]
+    one.forget()
+    one.a = Watched()
+    assert [row[:5] for row in one.align(texts)] == want
+
+
 def brute_repair(turns):
     """Counts and the cheapest repair of ordered (turn, role, text), by shortest paths."""
     known = [turn for turn, _, _ in turns if turn is not None]
