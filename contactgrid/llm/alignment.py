@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -46,13 +47,14 @@ OTHER_SPACE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 SPACE = " \n" + OTHER_SPACE
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:[{OTHER_SPACE}][{SPACE}]*[^{SPACE}]*)*|[{SPACE}]+")
 #: Chunks, and characters of them, that a worker remembers before it starts anew.
-REMEMBERED, REMEMBERED_CHARS = 1 << 17, 1 << 23
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 1 << 24
 #: Characters of documents that are aligned at once; a longer document is taken alone.
 TAKEN_CHARS = 1 << 20
 #: Chunks whose bytes are compared with their tokens' at once, before any alone.
 SPELLED = 1 << 10
-#: Chunks that A's library encodes at once: what it returns holds far more than the ids.
-ENCODED = 1 << 12
+#: Chunks that A's library takes as one text, and texts that it encodes at once: what it returns
+#: holds far more than the ids.
+JOINED, ENCODED = 1 << 6, 1 << 6
 #: Pairs that a counting task holds before it sums them up.
 COUNTED = 1 << 21
 #: Largest number of id pairs whose counts (17 bytes each) are sent to all tasks.
@@ -80,6 +82,28 @@ def overlaps(starts_a: np.ndarray, ends_a: np.ndarray, starts_b: np.ndarray, end
     return group[:len(starts_a)], group[len(starts_a):], left, right
 
 
+def sums(values: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Sums of the first many[0] values, of the next many[1], and so on."""
+    total = np.r_[0, np.cumsum(values)]
+    ends = np.cumsum(many)
+    return total[ends] - total[ends - many]
+
+
+class Numbers(dict):
+    """Numbers of chunks; one that is asked for first gets the next number and is noted in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.chars = 0
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self.chars += len(chunk)
+        self[chunk] = number = len(self)
+        return number
+
+
 class Aligner:
     """Aligned chunks of texts, remembered up to a bound."""
 
@@ -99,13 +123,16 @@ class Aligner:
         self.size_a = np.array([len(one) for one in self.bytes_a])
         self.size_b = np.array([len(one) for one in self.bytes_b])
         self.space = self.b.piece_to_id("▁")
+        self.ids = max(len(self.bytes_a), len(self.bytes_b))
+        self.words = [f"{number}{mark}" for mark in ",|;" for number in range(self.ids)]
+        self.word_sizes = np.array([len(word) for word in self.words])
         self.forget()
 
     def forget(self) -> None:
         """Start anew with no chunks."""
-        self.known: dict[str, int] = {}
-        self.chars = 0
-        self.shown: list[str] = []
+        self.known = Numbers()
+        #: Per chunk: its groups as the digest takes them, each with its closing mark.
+        self.shown: list[bytes] = []
         #: Per chunk: sound (its tokens give it back), A tokens, B tokens, groups, links.
         self.facts = np.zeros((0, 5), np.int64)
         self.pairs = np.zeros(0, np.int64)
@@ -122,28 +149,74 @@ class Aligner:
                 found[place] = ids[1:] if ids[:1] == [self.space] else []
         return found
 
-    def _spelled(self, ids_a: list[list[int]], ids_b: list[list[int]], raw: bytes) -> bool:
-        return all(b"".join([table[i] for one in ids for i in one]) == raw for table, ids in (
-            (self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+    def _letters(self, chunks: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all chunks, and how many each has.
+
+        The library takes texts of many chunks, at less than half the cost of as many texts. Those
+        are cut again where the chunks' bytes end; a text whose tokens do not end there, and a chunk
+        with white space at its end, which could join what follows, are encoded chunk by chunk.
+        """
+        alone = [chunk[0] not in " \n" or chunk[-1] in SPACE for chunk in chunks]
+        texts, ends = [], []
+        begin = 0
+        for place in range(1, len(chunks) + 1):
+            if place == len(chunks) or place - begin == JOINED or alone[place - 1] or alone[place]:
+                texts.append("".join(chunks[begin:place]))
+                ends.append(place)
+                begin = place
+        ids, many = [], []
+        begin = 0
+        for number, found in enumerate(self._encode(texts)):
+            place, size = ends[number], self.size_a[found]
+            bounds = np.searchsorted(np.cumsum(size), np.cumsum(sizes[begin:place])) + 1
+            bounds = np.minimum(bounds, len(size))
+            counts = np.diff(bounds, prepend=0)
+            if bounds[-1] != len(size) or (sums(size, counts) != sizes[begin:place]).any():
+                parts = list(self._encode(chunks[begin:place]))
+                found, counts = np.concatenate(parts), np.array([len(one) for one in parts])
+            ids.append(found)
+            many.append(counts)
+            begin = place
+        return np.concatenate(ids), np.concatenate(many)
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for begin in range(0, len(texts), ENCODED):
+            for found in self.a.encode_batch(
+                    texts[begin:begin + ENCODED], add_special_tokens=False):
+                yield np.array(found.ids, np.int64)
+
+    def _sound(self, raws: list[bytes], sizes: np.ndarray,
+               sides: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which chunks the bytes of both sides' tokens give back."""
+        sound = np.ones(len(raws), bool)
+        for table, table_sizes, flat, many in sides:
+            ends = np.cumsum(many)
+            sound &= sums(table_sizes[flat], many) == sizes
+            for begin in range(0, len(raws), SPELLED):
+                part = slice(begin, begin + SPELLED)
+                first, last = ends[begin] - many[begin], ends[part][-1]
+                spelled = b"".join(map(table.__getitem__, flat[first:last].tolist()))
+                if spelled == b"".join(raws[part]):
+                    continue
+                for place, raw in enumerate(raws[part], begin):
+                    ids = flat[ends[place] - many[place]:ends[place]].tolist()
+                    sound[place] &= b"".join(map(table.__getitem__, ids)) == raw
+        return sound
 
     def learn(self, chunks: list[str]) -> None:
         """Encode and align new chunks, all at once."""
-        ids_a = [found.ids for begin in range(0, len(chunks), ENCODED)
-                 for found in self.a.encode_batch(
-                     chunks[begin:begin + ENCODED], add_special_tokens=False)]
-        ids_b = self._pieces(chunks)
-        sound = np.ones(len(chunks), bool)
-        for begin in range(0, len(chunks), SPELLED):
-            part = slice(begin, begin + SPELLED)
-            if self._spelled(ids_a[part], ids_b[part], "".join(chunks[part]).encode()):
-                continue
-            for place, chunk in enumerate(chunks[part], begin):
-                sound[place] = self._spelled([ids_a[place]], [ids_b[place]], chunk.encode())
-                if not sound[place]:
-                    ids_a[place] = ids_b[place] = []
-        many_a, many_b = (np.array([len(one) for one in ids]) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.array([i for one in ids for i in one], np.int64)
-                          for ids in (ids_a, ids_b))
+        raws = [chunk.encode() for chunk in chunks]
+        sizes = np.array([len(raw) for raw in raws])
+        flat_a, many_a = self._letters(chunks, sizes)
+        pieces = self._pieces(chunks)
+        many_b = np.array([len(one) for one in pieces])
+        flat_b = np.fromiter(chain.from_iterable(pieces), np.int64, many_b.sum())
+        sound = self._sound(raws, sizes, [
+            (self.bytes_a, self.size_a, flat_a, many_a),
+            (self.bytes_b, self.size_b, flat_b, many_b)])
+        if not sound.all():
+            flat_a, flat_b = flat_a[np.repeat(sound, many_a)], flat_b[np.repeat(sound, many_b)]
+            many_a, many_b = many_a * sound, many_b * sound
         ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
         starts_a, starts_b = ends_a - self.size_a[flat_a], ends_b - self.size_b[flat_b]
         group_a, group_b, left, right = overlaps(starts_a, ends_a, starts_b, ends_b)
@@ -155,42 +228,40 @@ class Aligner:
             sound, many_a, many_b, np.bincount(owner, minlength=len(chunks)),
             np.bincount(chunk_a[left], minlength=len(chunks))], 1)]
         self.pairs = np.r_[self.pairs, flat_b[right] * PAIR + flat_a[left]]
-        sides = []
-        for flat, group in ((flat_a, group_a), (flat_b, group_b)):
-            names = list(map(str, flat.tolist()))
-            bounds = np.searchsorted(group, np.arange(groups + 1)).tolist()
-            sides.append([",".join(names[p:q]) for p, q in zip(bounds, bounds[1:], strict=False)])
-        shown = [f"{one}|{two}" for one, two in zip(*sides, strict=True)]
-        bounds = np.searchsorted(owner, np.arange(len(chunks) + 1)).tolist()
-        self.shown += [";".join(shown[p:q]) for p, q in zip(bounds, bounds[1:], strict=False)]
+        # One row of words in the digest's order: a group's A tokens, then its B tokens.
+        before_b = np.searchsorted(group_b, np.arange(groups))
+        upto_a = np.searchsorted(group_a, np.arange(groups), "right")
+        words = np.empty(len(flat_a) + len(flat_b), np.int64)
+        for flat, group, place, mark in (
+                (flat_a, group_a, np.arange(len(flat_a)) + before_b[group_a], 1),
+                (flat_b, group_b, np.arange(len(flat_b)) + upto_a[group_b], 2)):
+            words[place] = flat + self.ids * np.where(np.diff(group, append=-1) != 0, mark, 0)
+        row = "".join(map(self.words.__getitem__, words.tolist())).encode()
+        lengths = np.cumsum(sums(self.word_sizes[words], many_a + many_b)).tolist()
+        self.shown += [row[p:q] for p, q in zip([0, *lengths], lengths, strict=False)]
 
     def align(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, digest, linked pairs, times) of each text."""
-        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if len(self.known) > REMEMBERED or self.known.chars > REMEMBERED_CHARS:
             self.forget()
         cut = [CHUNK.findall(" " + text) if text else [] for text in texts]
-        new = []
-        for chunks in cut:
-            for chunk in chunks:
-                if chunk not in self.known:
-                    self.known[chunk] = len(self.known)
-                    self.chars += len(chunk)
-                    new.append(chunk)
-        if new:
-            self.learn(new)
+        places = [np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+                  for chunks in cut]
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
         links = self.facts[:, 4]
         begins = np.cumsum(links) - links
         rows = []
-        for chunks in cut:
-            place = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        for place in places:
             facts = self.facts[place]
             if not len(place) or not facts[:, 0].all():
                 rows.append((0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 continue
             many = facts[:, 4]
             at = np.arange(many.sum()) + np.repeat(begins[place] - np.cumsum(many) + many, many)
-            shown = ";".join(map(self.shown.__getitem__, place.tolist()))
-            rows.append((*facts[:, 1:].sum(0).tolist(), hashlib.sha256(shown.encode()).hexdigest(),
+            shown = b"".join(map(self.shown.__getitem__, place.tolist()))[:-1]
+            rows.append((*facts[:, 1:].sum(0).tolist(), hashlib.sha256(shown).hexdigest(),
                          *np.unique(self.pairs[at], return_counts=True)))
         return rows
 

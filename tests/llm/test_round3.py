@@ -124,6 +124,26 @@ def test_chunks_are_encoded_in_bounded_batches(libraries, monkeypatch):
     assert [row[:5] for row in one.align(texts)] == want
 
 
+def test_chunks_share_the_texts_that_are_encoded(libraries, table):
+    given = []
+
+    class Watched:
+        def encode_batch(self, chunks, **options):
+            given.extend(chunks)
+            return library.encode_batch(chunks, **options)
+
+    library, texts = table.a, [prose(n, 300) for n in range(4)] + ["ends in a tab\t", " ", "a \t b"]
+    want = [aligned(text, libraries, table)[0] for text in texts]
+    chunks = {chunk for text in texts for chunk in alignment.CHUNK.findall(" " + text)}
+    table.forget()
+    table.a = Watched()
+    try:
+        assert [row[:5] for row in table.align(texts)] == want
+    finally:
+        table.a = library
+    assert len(given) < len(chunks) / 10 and sum(map(len, given)) == sum(map(len, chunks))
+
+
 def brute_repair(turns):
     """Counts and the cheapest repair of ordered (turn, role, text), by shortest paths."""
     known = [turn for turn, _, _ in turns if turn is not None]
