@@ -260,14 +260,16 @@ def representatives(docs: DataFrame, rooted: DataFrame) -> DataFrame:
 
     The smallest doc_id stays. Null ids come last; a group of null ids only keeps one document.
     """
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
+    unnamed = F.col("doc_id").isNull().alias("unnamed")
+    first = F.struct(unnamed, "doc_id", "tie")
     chosen = rooted.groupBy("root").agg(F.min(first).alias("first")).select(
-        "first.doc_id", F.col("first.tie").alias("chosen"))
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"),
+        "first.unnamed", F.coalesce("first.doc_id", F.lit(0)).alias("key"), "first.tie")
+    row = docs.select(F.struct("*").alias("row"), unnamed,
+                      F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"),
                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    kept = row.join(chosen, F.col("key").eqNullSafe(
-        F.col("doc_id")) & (F.col("tie") == F.col("chosen")), "left_semi")
-    return kept.dropDuplicates(["key", "tie"]).select("row.*")
+    # one key for both steps: texts are shuffled once
+    key = ["unnamed", "key", "tie"]
+    return row.join(chosen, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
