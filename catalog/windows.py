@@ -148,6 +148,7 @@ def _(spark, sf):
     rows = read_table(spark, sf, "pages").select(
         F.col("page_id").alias("original_index"),
         F.regexp_extract("url", "://([^/?#]+)", 1).alias("original_input"))
-    work = coalesce_batch(rows).filter(F.col("item_role") == "OWNER")
+    work = coalesce_batch(rows).filter(F.col("item_role") == "OWNER").select(
+        "original_index", "domain_key")
     return interleave_by_domain(work).select(
         "original_index", "domain_key", "domain_rank", "position")

@@ -20,6 +20,7 @@ from contactgrid.functions.suffixes import (
 )
 from contactgrid.operators.quality import ordered_checksum
 from contactgrid.operators.keyed import sequence_within, with_group_values
+from contactgrid.session import materialize
 
 
 def normalize_urls(
@@ -394,10 +395,13 @@ def interleave_by_domain(
     """Round-robin over domains: `domain_rank`, the rank of an item within its domain, and
     `position`, its place (from 1) when all first items come first, by domain name, then all second
     ones.
+
+    `df` and its ranks are written to shared storage: a sequence reads its input in up to ten
+    branches, and two of them in a row would plan and run `df` sixty times.
     """
-    ranked = sequence_within(
-        df, [*batch, "domain_key"], [F.col(index)],
-        bucket=F.floor(F.col(index) / 100_000), name="domain_rank")
+    ranked = materialize(sequence_within(
+        materialize(df), [*batch, "domain_key"], [F.col(index)],
+        bucket=F.floor(F.col(index) / 100_000), name="domain_rank"))
     # a bucket is a round and the start of a name, so that no round meets in one task; the counts of
     # a round's buckets, of a thousand rounds, and of all thousands are added up apart
     return sequence_within(

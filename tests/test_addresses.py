@@ -218,6 +218,19 @@ def test_stored_and_audit_addresses(spark):
     assert {r.u: (r.s, r.a) for r in got} == cases
 
 
+def test_domains_in_turn_plan_the_list_once(spark):
+    names = ["b.com", "a.b.com", "a.com", "x.b.com", "a.com", None, "shop.a.com"]
+    listed_rows = listed(spark, [f"https://{n}/" if n else None for n in names])
+    work = A.coalesce_batch(listed_rows).filter(F.col("item_role") == "OWNER")
+    turns = A.interleave_by_domain(work)
+    got = [(r.position, r.domain_key, r.domain_rank, r.original_index)
+           for r in turns.orderBy("position").collect()]
+    assert got == [(1, "a.com", 1, 2), (2, "b.com", 1, 0), (3, "a.com", 2, 6), (4, "b.com", 2, 1),
+                   (5, "b.com", 3, 3)]
+    leaves = turns._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert leaves.size() <= 10
+
+
 def test_host_policy(spark):
     names = spark.createDataFrame(
         [("ok.com", "DOMAIN"), ("mixed.com", "DOMAIN"), ("none.com", "DOMAIN"),
